@@ -133,27 +133,23 @@ def upper_share(c) -> Column:
     return F.when(letters > 0, F.regexp_count(_col(c), F.lit(r"\p{Lu}")) / letters).otherwise(F.lit(0.0))
 
 
-def ngrams(words: Column, top: int = 2) -> Column:
-    """Word n-grams of sizes 1..top from a token array, inside the row (no shuffle)."""
-    parts = [words]
-    for n in range(2, top + 1):
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(
-            F.array().cast("array<int>"))
-        parts.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(words, i, n), " ")))
-    return F.concat(*parts) if len(parts) > 1 else words
-
-
-def char_ngrams(words: Column, low: int = 3, high: int = 5) -> Column:
-    """Character n-grams inside space-padded words."""
-
-    def of_word(word):
-        padded = F.concat(F.lit(" "), word, F.lit(" "))
-        grams = []
-        for n in range(low, high + 1):
-            count = F.length(padded) - (n - 1)
-            grams.append(F.when(count >= 1, F.transform(F.sequence(F.lit(1), count),
-                                                        lambda i, n=n: F.substr(padded, i, F.lit(n))))
-                         .otherwise(F.array().cast("array<string>")))
-        return F.concat(*grams)
-
-    return F.flatten(F.transform(words, of_word))
+def ngrams(words: Column, size: int = 2) -> Column:
+    """Word n-grams of exactly ``size`` from a token column, inside the row (no shuffle).
+
+    ``words`` must be a plain column: an expression would be evaluated again for every position.
+    """
+    starts = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - (size - 1))).otherwise(
+        F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, size), " "))
+
+
+def char_ngrams(word: Column, low: int = 3, high: int = 5) -> Column:
+    """Character n-grams inside one space-padded word."""
+    padded = F.concat(F.lit(" "), word, F.lit(" "))
+
+    def of_size(n: int) -> Column:
+        count = F.length(padded) - (n - 1)
+        return F.when(count >= 1, F.transform(F.sequence(F.lit(1), count), lambda i: F.substr(padded, i, F.lit(n)))).otherwise(
+            F.array().cast("array<string>"))
+
+    return F.concat(*[of_size(n) for n in range(low, high + 1)])

@@ -7,11 +7,15 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidence_spark.session import table
+from evidence_spark.session import spread, table
 
 Runner = Callable[[SparkSession, str], DataFrame]
 
 
+# Text work is heavy per row, so these are spread over the cores when they arrive as one split.
+TEXT_TABLES = {"documents", "pages", "conversations", "embeddings"}
+
+
 class Tables:
     """Lazy access to the parquet tables under one folder: ``t.documents``, ``t.labels``, ..."""
 
@@ -19,7 +23,8 @@ class Tables:
         self.spark, self.root = spark, root
 
     def __getattr__(self, name: str) -> DataFrame:
-        return table(self.spark, self.root, name)
+        df = table(self.spark, self.root, name)
+        return spread(df) if name in TEXT_TABLES else df
 
 
 @dataclass(frozen=True)

@@ -1,0 +1,243 @@
+"""Token-level queries over the documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from evidence_spark.functions import numbers as N
+from evidence_spark.functions import text as X
+from evidence_spark.lexicons import EUROPEAN
+from evidence_spark.operators import tokens as K
+from evidence_spark.operators.ranking import ordered_bins, top_per_key
+from evidence_spark.plans import sqltext as S
+from evidence_spark.plans.registry import query
+
+STOP = EUROPEAN.stop
+NEG = EUROPEAN.negations
+
+
+@query("token_counts", "C-01 F-01 F-02", f"""
+with s as (select doc_id, unnest({S.sentences('text')}) as sentence from documents),
+w as (select doc_id, unnest(list_transform({S.literal_words('sentence')}, lambda x, i: row(x, i))) as t from s),
+x as (select doc_id, t[1] as token, t[2] as pos, {S.norm('t[1]')} as n from w)
+select doc_id, count(*) as n_tokens, count(*) filter (where regexp_matches(token,'^\\p{{Lu}}')) as n_caps,
+  count(*) filter (where pos=1) as n_starts, count(distinct n) as n_forms,
+  count(distinct {S.stem("replace(n,' ','')")}) as n_stems from x group by doc_id""")
+def token_counts(t):
+    table = K.token_table(t.documents, "doc_id", "text")
+    return table.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_tokens"), F.count_if("is_cap").alias("n_caps"), F.count_if("sent_start").alias("n_starts"),
+        F.countDistinct("norm").alias("n_forms"), F.countDistinct("stem").alias("n_stems"))
+
+
+TOKENS = f"(select doc_id, lang, source, text, {S.tokens('text')} as toks from documents)"
+
+
+@query("bigram_top", "W-10", f"""
+select gram, count(*) as n from (select unnest(list_transform(range(1,len(toks)), lambda i: toks[i] || ' ' || toks[i+1])) as gram from {TOKENS})
+group by gram order by n desc, gram limit 100""")
+def bigram_top(t):
+    words = t.documents.select(X.tokens("text").alias("toks"))
+    grams = words.select(F.explode(X.ngrams(F.col("toks"), 2)).alias("gram"))
+    return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "gram").limit(100)
+
+
+@query("char_ngrams", "W-11", f"""
+with w as (select lang, unnest(toks) as w from {TOKENS}),
+c as (select lang, ' ' || w || ' ' as p, count(*) as m from w group by 1, 2)
+select lang, count(distinct gram) as n_grams, sum(m)::bigint as n from (
+  select lang, m, unnest(list_concat(
+    list_transform(range(1,length(p)-1), lambda i: substr(p,i,3)), list_transform(range(1,length(p)-2), lambda i: substr(p,i,4)),
+    list_transform(range(1,length(p)-3), lambda i: substr(p,i,5)))) as gram from c) group by lang""")
+def char_ngrams(t):
+    # Words repeat far more than their grams: count words first, then open each distinct word once.
+    words = t.documents.select("lang", F.explode(X.tokens("text")).alias("w")).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("m"))
+    grams = words.select("lang", "m", F.explode(X.char_ngrams(F.col("w"))).alias("gram"))
+    per_gram = grams.groupBy("lang", "gram").agg(F.sum("m").alias("n"))
+    return per_gram.groupBy("lang").agg(F.count(F.lit(1)).alias("n_grams"), F.sum("n").alias("n"))
+
+
+@query("vocabulary_stats", "A-25", f"""
+with p as (select doc_id, term, count(*) as tf from (select doc_id, unnest(toks) as term from {TOKENS}) group by 1, 2),
+v as (select term, sum(tf)::bigint as tf, count(*) as df from p group by term)
+select term, tf, df from v where df >= 2 and df <= 0.9*(select count(*) from documents) order by tf desc, term limit 3000""")
+def vocabulary_stats(t):
+    vocab = K.vocabulary_stats(t.documents, "doc_id", X.tokens("text"))
+    return K.prune_vocabulary(vocab, t.documents.agg(F.count(F.lit(1)).alias("n_docs")), 2, 0.9, 3000)
+
+
+@query("number_mentions", "F-05", f"""
+select number, count(*) as n_docs from (select doc_id, unnest({S.numbers_in('text')}) as number from documents) group by number""")
+def number_mentions(t):
+    return K.number_mentions(t.documents, "doc_id", "text").groupBy("number").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+@query("number_values", "F-06", """
+select raw, case when regexp_matches(raw,'^[0-9]{1,3}(\\.[0-9]{3})+(,[0-9]+)?$') then try_cast(replace(replace(raw,'.',''),',','.') as double)
+  when regexp_matches(raw,'^[0-9]{1,3}(,[0-9]{3})+$') and length(raw) > 5 then try_cast(replace(raw,',','') as double)
+  else try_cast(replace(raw,',','.') as double) end as value, count(*) as n
+from (select unnest(regexp_extract_all(text,'[0-9]+(?:[.,][0-9]+)*')) as raw from documents
+  union all select replace(printf('%.2f',o_totalprice),'.',',') from orders) group by 1, 2""")
+def number_values(t):
+    found = t.documents.select(F.explode(F.regexp_extract_all("text", F.lit(f"({X.NUMBER})"), F.lit(1))).alias("raw"))
+    money = t.orders.select(F.translate(F.format_string("%.2f", "o_totalprice"), ".", ",").alias("raw"))
+    raws = found.unionAll(money).groupBy("raw").agg(F.count(F.lit(1)).alias("n"))
+    return raws.select("raw", N.to_double("raw").alias("value"), "n")
+
+
+@query("stems_per_document", "F-03 F-04", f"""
+select doc_id, array_to_string(list_sort({S.stems_of('toks')}),' ') as stems, len(list_distinct(list_transform(toks, lambda w: regexp_replace(w,'s$',''))))::bigint as n_topics
+from {TOKENS}""")
+def stems_per_document(t):
+    toks = X.tokens("text")
+    return t.documents.select("doc_id", F.array_join(F.array_sort(X.stems_of_tokens(toks)), " ").alias("stems"),
+                              F.size(F.array_distinct(F.transform(toks, X.topic_key))).cast("long").alias("n_topics"))
+
+
+@query("negated_texts", "F-08 W-13", f"""
+with x as (select doc_id, toks, {S.words([])}::varchar[] as none from {TOKENS}),
+n as (select doc_id, len(list_intersect(toks, {S.words(NEG)})) > 0 as has_negation,
+  len(list_filter(range(1,len(toks)+1), lambda i: list_contains({S.words(NEG)}, toks[i]) and len(list_intersect(
+    list_transform(toks[i+1:i+4], lambda w: {S.stem('w')}), ['the','it','le','de','di','en'])) > 0)) > 0 as negated_near from x)
+select doc_id, has_negation, negated_near from n""")
+def negated_texts(t):
+    toks = t.documents.select("doc_id", X.tokens("text").alias("toks"))
+    targets = X.words_array(["the", "it", "le", "de", "di", "en"])
+    return toks.select("doc_id", X.has_any(F.col("toks"), NEG).alias("has_negation"),
+                       K.negated_near(F.col("toks"), NEG, targets).alias("negated_near"))
+
+
+@query("window_around_number", "W-12", f"""
+with x as (select doc_id, toks, unnest(list_filter(range(1,len(toks)+1), lambda i: regexp_matches(toks[i],'^[0-9][0-9,]*$'))) as i from {TOKENS})
+select doc_id, count(*) as n_numbers, sum(len(toks[greatest(i-5,1):least(i+5,len(toks))]))::bigint as n_window,
+  count(*) filter (where len(list_intersect(toks[greatest(i-5,1):i-1], ['with','the','version','de','la','mit'])) > 0) as n_near_anchor
+from x group by doc_id""")
+def window_around_number(t):
+    """Words within five positions of each number, and the anchors among the five words before it."""
+    toks = t.documents.select("doc_id", X.tokens("text").alias("toks"))
+    is_number = lambda w: w.rlike("^[0-9][0-9,]*$")
+    found = toks.select("doc_id", "toks", K.neighbourhood(F.col("toks"), is_number, 5, 5).alias("window"),
+                        F.filter(F.transform("toks", lambda w, i: F.when(is_number(w), i)), lambda i: i.isNotNull()).alias("at"))
+    anchors = X.words_array(["with", "the", "version", "de", "la", "mit"])
+    near = F.filter("at", lambda i: F.arrays_overlap(K.words_before(F.col("toks"), i, 5), anchors))
+    return found.filter(F.size("at") > 0).select(
+        "doc_id", F.size("at").cast("long").alias("n_numbers"), F.size("window").cast("long").alias("n_window"),
+        F.size(near).cast("long").alias("n_near_anchor"))
+
+
+COMPARATORS_EN = [("more than", "min_excl"), ("at least", "min"), ("version", "version"), ("by cc by nc", "licence"),
+                  ("with", "approx"), ("the", "article")]
+
+
+@query("comparator_before", "W-15", f"""
+with x as (select doc_id, toks, unnest(list_filter(range(1,len(toks)+1), lambda i: regexp_matches(toks[i],'^[0-9][0-9,]*$'))) as i from {TOKENS}),
+p as (select ' ' || array_to_string(toks[greatest(i-3,1):i-1],' ') as phrase from x)
+select case {' '.join(f"when ends_with(phrase,' {a}') then '{b}'" for a, b in COMPARATORS_EN)} else 'eq' end as comparator, count(*) as n from p group by 1""")
+def comparator_before(t):
+    toks = t.documents.select("doc_id", X.tokens("text").alias("toks"))
+    at = toks.select("toks", F.posexplode("toks").alias("pos", "w")).filter(F.col("w").rlike("^[0-9][0-9,]*$"))
+    named = K.comparator_before(F.col("toks"), F.col("pos"), COMPARATORS_EN)
+    return at.groupBy(named.alias("comparator")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("sentence_stats", "F-16", f"""
+with s as (select doc_id, lang, unnest({S.sentences('text')}) as sentence from documents)
+select lang, count(*) as n_sentences, count(*) filter (where length(sentence) between 50 and 320
+  and regexp_matches(sentence,'^["“(]?[A-ZÀ-Ý0-9]') and regexp_matches(sentence,'[.!?]["”)]?$') and not ends_with(sentence,'...')) as n_complete
+from s group by lang""")
+def sentence_stats(t):
+    sents = t.documents.select("lang", F.explode(X.sentences("text")).alias("sentence"))
+    return sents.groupBy("lang").agg(F.count(F.lit(1)).alias("n_sentences"), F.count_if(complete(F.col("sentence"))).alias("n_complete"))
+
+
+def complete(sentence):
+    """A sentence that stands alone: 50-320 characters, starts with a capital or digit, closed, no ellipsis."""
+    return (F.length(sentence).between(50, 320) & sentence.rlike('^["“(]?[A-ZÀ-Ý0-9]') & sentence.rlike('[.!?]["”)]?$')
+            & ~sentence.endswith("..."))
+
+
+@query("top_excerpts", "W-03", f"""
+with h as (select doc_id, {S.stems_of(S.tokens("string_split(text,chr(10))[1]"))} as head, text from documents),
+s as (select doc_id, head, unnest(list_transform({S.sentences('text')}, lambda x, i: row(x, i))) as p from h),
+r as (select doc_id, p[2] - 1 as sent, p[1] as sentence, len(list_intersect(head, {S.stems_of(S.tokens('p[1]'))})) as shared from s where length(p[1]) between 50 and 450),
+k as (select *, row_number() over (partition by doc_id order by shared desc, sent) as position from r where shared >= 2)
+select doc_id, position::integer as position, sent::integer as sent, shared::integer as shared from k where position <= 2""")
+def top_excerpts(t):
+    heads = t.documents.withColumn("head", X.stems(F.substring_index("text", "\n", 1)))
+    sents = heads.select("doc_id", "head", F.posexplode(X.sentences("text")).alias("sent", "sentence"))
+    sents = sents.filter(F.length("sentence").between(50, 450))
+    shared = sents.withColumn("shared", F.size(F.array_intersect("head", X.stems("sentence")))).filter(F.col("shared") >= 2)
+    return top_per_key(shared.select("doc_id", "sent", "shared"), ["doc_id"], [F.desc("shared"), F.asc("sent")], 2).select(
+        "doc_id", "position", "sent", "shared")
+
+
+@query("claim_terms", "W-20", f"""
+with c as (select item_id, {S.sentences('text')} as s from benchmark),
+w as (select item_id, unnest(list_transform({S.tokens('s[1]')}, lambda w, i: {{'w': w, 'weight': 2, 'pos': i}})) as t from c
+  union all select item_id, unnest(list_transform({S.tokens("array_to_string(s[2:],' ')")}, lambda w, i: {{'w': w, 'weight': 1, 'pos': i+1000000}})) from c),
+g as (select item_id, {S.stem('t.w')} as stem, sum(t.weight) as score, min(t.pos) as first, arg_min(t.w, t.pos) as term from w
+  where length(t.w) >= 3 and not list_contains({S.words(STOP)}, t.w) and not regexp_matches(t.w,'^[0-9,]+$') group by 1, 2),
+r as (select *, row_number() over (partition by item_id order by score desc, first) as position from g)
+select item_id, position::integer as position, term, stem, score::bigint as score from r where position <= 6""")
+def claim_terms(t):
+    parts = t.benchmark.select("item_id", X.sentences("text").alias("s"))
+    main = X.tokens(F.get("s", F.lit(0)))
+    rest = X.tokens(F.array_join(F.slice("s", 2, 1_000_000), " "))
+    ranked = K.rank_terms(parts, "item_id", main, rest, STOP)
+    return ranked.select("item_id", "position", "term", "stem", "score")
+
+
+@query("repeated_topics", "A-26", f"""
+with b as (select doc_id, unnest(list_transform(list_filter(toks, lambda w: length(w) >= 3 and not list_contains({S.words(STOP)}, w)), lambda w: regexp_replace(w,'s$',''))) as topic from {TOKENS}),
+t as (select doc_id, topic from b group by 1, 2 having count(*) >= 2
+  union select doc_id, unnest(list_transform({S.tokens("string_split(text,chr(10))[1]")}, lambda w: regexp_replace(w,'s$',''))) from documents)
+select doc_id, count(*) as n_topics, min(topic) as first_topic from t group by doc_id""")
+def repeated_topics(t):
+    topics = K.repeated_topics(t.documents, "doc_id", F.substring_index("text", "\n", 1), F.col("text"), STOP)
+    return topics.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_topics"), F.min("topic").alias("first_topic"))
+
+
+@query("context_vocabulary", "A-27", f"""
+with c as (select doc_id, {S.stems_of(S.tokens("string_split(text,chr(10))[1]"))} as claim, text from documents),
+s as (select doc_id, claim, unnest({S.sentences('text')}) as sentence from c),
+w as (select doc_id, claim, unnest({S.tokens('sentence')}) as w from s where len(list_intersect(claim, {S.stems_of(S.tokens('sentence'))})) > 0),
+k as (select doc_id, {S.stem('w')} as stem, count(*) as n, min(w) as word from w
+  where length(w) >= 5 and not list_contains({S.words(STOP)}, w) and not regexp_matches(w,'[0-9]') and not list_contains(claim, {S.stem('w')}) group by 1, 2 having count(*) >= 2),
+r as (select *, row_number() over (partition by doc_id order by n desc, stem) as position from k)
+select doc_id, position::integer as position, word, n from r where position <= 3""")
+def context_vocabulary(t):
+    """Words repeated in the sentences that share a stem with the head line, without being in it."""
+    claim = t.documents.withColumn("claim", X.stems(F.substring_index("text", "\n", 1)))
+    sents = claim.select("doc_id", "claim", F.explode(X.sentences("text")).alias("sentence"))
+    near = sents.filter(F.arrays_overlap("claim", X.stems("sentence")))
+    words = near.select("doc_id", "claim", F.explode(X.tokens("sentence")).alias("w")).withColumn("stem", X.stem("w"))
+    usable = ((F.length("w") >= 5) & ~F.array_contains(X.words_array(STOP), F.col("w")) & ~F.col("w").rlike("[0-9]")
+              & ~F.array_contains("claim", F.col("stem")))
+    counts = words.filter(usable).groupBy("doc_id", "stem").agg(F.count(F.lit(1)).alias("n"), F.min("w").alias("word"))
+    return top_per_key(counts.filter(F.col("n") >= 2), ["doc_id"], [F.desc("n"), F.asc("stem")], 3).select(
+        "doc_id", "position", "word", "n")
+
+
+@query("length_quartile", "W-16", f"""
+with w as (select doc_id, length(text) as len from documents),
+e as (select quantile_cont(len,0.25) as a, quantile_cont(len,0.5) as b, quantile_cont(len,0.75) as c from w)
+select (1 + (len > a)::int + (len > b)::int + (len > c)::int)::integer as quartile, count(*) as n, min(len) as shortest, max(len) as longest from w, e group by 1""")
+def length_quartile(t):
+    sized = t.documents.select("doc_id", F.length("text").cast("long").alias("len"))
+    return ordered_bins(sized, "len", 4, "quartile").groupBy("quartile").agg(
+        F.count(F.lit(1)).alias("n"), F.min("len").alias("shortest"), F.max("len").alias("longest"))
+
+
+@query("concat_fields", "P-12", """
+select page_id, length(concat_ws(' ', regexp_extract(html,'<title>([^<]*)</title>',1), url))::bigint as n_chars from pages""")
+def concat_fields(t):
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    return t.pages.select("page_id", F.length(F.concat_ws(" ", title, F.coalesce("url", F.lit("")))).cast("long").alias("n_chars"))
+
+
+@query("acronyms", "F-10", f"""
+with h as (select doc_id, list_filter(string_split({S.norm("string_split(text,chr(10))[1]")},' '), lambda w: w <> '' and not list_contains({S.words(EUROPEAN.connectors)}, w)) as ws from documents)
+select doc_id, case when len(ws) >= 2 then array_to_string(list_transform(ws, lambda w: substr(w,1,1)),'') end as acronym from h""")
+def acronyms(t):
+    words = X.tokens(F.substring_index("text", "\n", 1))
+    return t.documents.select("doc_id", X.acronym(words, EUROPEAN.connectors).alias("acronym"))

@@ -31,6 +31,12 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(root, f"{name}.parquet"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core on an input that came as fewer splits than cores (one small file); larger inputs pass untouched."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint for iterative jobs.
 

@@ -44,10 +44,12 @@ def rows_of(columns, rows):
 
 
 def compare(spark, con, root, q):
+    start = time.time()
     df = q.run(spark, root)
     cols, got = rows_of(df.columns, df.collect())
+    took = f" spark {time.time() - start:.2f}s"
     if q.sql is None:
-        return True, f"{len(got)} rows (no oracle)"
+        return True, f"{len(got)} rows (no oracle){took}"
     cur = con.execute(q.sql)
     ocols, want = rows_of([d[0] for d in cur.description], cur.fetchall())
     if cols != ocols:
@@ -56,7 +58,7 @@ def compare(spark, con, root, q):
         extra = [r for r in got if r not in want][:3] if len(got) < 20000 else "?"
         missing = [r for r in want if r not in got][:3] if len(want) < 20000 else "?"
         return False, f"rows {len(got)} vs {len(want)}\n   spark only: {str(extra)[:900]}\n   duckdb only: {str(missing)[:900]}"
-    return True, f"{len(got)} rows"
+    return True, f"{len(got)} rows{took}"
 
 
 def main():
