@@ -12,6 +12,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidence_spark.session import cut_lineage
+
 BUCKETS = 256
 
 
@@ -30,9 +32,10 @@ def running_totals(df: DataFrame, order: str, totals: Mapping[str, str], descend
                    ties: Sequence[str] = ()) -> DataFrame:
     """Add running sums (``new column -> summed column``) over all rows in ``order``.
 
-    Rows must be distinct on ``order`` plus ``ties``: aggregate first. The current row is included.
+    Rows must be distinct on ``order`` plus ``ties``: aggregate first. The current row is included. The input is read
+    three times (bounds, bucket totals, result), so it is written once to the checkpoint folder.
     """
-    staged = with_bucket(df, order)
+    staged = with_bucket(cut_lineage(df), order)
     direction = F.desc if descending else F.asc
     per_bucket = staged.groupBy("_bucket").agg(*[F.sum(src).alias(f"_t_{new}") for new, src in totals.items()])
     before = Window.orderBy(direction("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
@@ -52,7 +55,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilitie
     keys = list(keys)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(
         F.count(F.lit(1)).alias("_n"))
-    staged = with_bucket(counts, "_v")
+    staged = with_bucket(cut_lineage(counts), "_v")
     per_bucket = staged.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_bn"))
     whole = Window.partitionBy(*keys)
     before = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -111,3 +114,20 @@ def ordered_bins(df: DataFrame, value: str, bins: int, out: str = "bin") -> Data
     packed = edges.agg(F.array_sort(F.collect_list("quantile")).alias("_edges"))  # bins - 1 numbers
     return df.join(F.broadcast(packed)).withColumn(
         out, F.size(F.filter("_edges", lambda e: F.col(value) > e)) + 1).drop("_edges")
+
+
+def positions_by_hash(df: DataFrame, keys: Sequence[str], hashed: str, position: str = "position") -> DataFrame:
+    """1-based position inside each key in the order of a hex hash column, plus the key's size as ``key_rows``.
+
+    The first three hex digits split every key into 4,096 slices, so even one key holding all rows is ranked in parallel.
+    """
+    keys = list(keys)
+    staged = cut_lineage(df).withColumn("_slice", F.substring(hashed, 1, 3))
+    sizes = staged.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*keys, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
+                           F.sum("_n").over(whole).alias("key_rows"))
+    inside = Window.partitionBy(*keys, "_slice").orderBy(hashed)
+    return staged.withColumn("_r", F.row_number().over(inside)).join(offsets, [*keys, "_slice"]).withColumn(
+        position, F.col("_start") + F.col("_r")).drop("_slice", "_r", "_start")
