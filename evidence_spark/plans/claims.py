@@ -1,0 +1,359 @@
+"""Claim structuring and relevance queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from evidence_spark import lexicons as L
+from evidence_spark.functions import numbers as N
+from evidence_spark.functions import text as X
+from evidence_spark.operators import claims as C
+from evidence_spark.operators import joins as J
+from evidence_spark.operators.ranking import best_per_key
+from evidence_spark.operators.simjoin import blocked_candidates
+from evidence_spark.plans import sqltext as S
+from evidence_spark.plans.registry import query
+
+LEX = L.EUROPEAN
+STOP, NEG = LEX.stop, LEX.negations
+USER = "(select conv_id * 1000 + turn as id, conv_id, turn, text from conversations where role = 'user')"
+LEADS = ["", "É verdade que ", "URGENTE - ", "Dizem que ", "Será que URGENTE: "]
+
+
+def now():
+    return F.lit("2024-06-01").cast("timestamp")
+
+
+def user_turns(t):
+    return t.conversations.filter(F.col("role") == "user").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "conv_id", "turn", "text")
+
+
+def led(t):
+    """User turns behind the lead-ins people write before a claim."""
+    lead = F.element_at(X.words_array(LEADS), (F.col("id") % len(LEADS) + 1).cast("int"))
+    return user_turns(t).withColumn("text", F.concat(lead, "text"))
+
+
+@query("clean_claim_text", "P-23", f"""
+with r as (select id, ({S.words(LEADS)})[(id % {len(LEADS)}) + 1] || text as text from {USER}),
+a as (select id, trim(regexp_replace(regexp_replace(substr(replace(text,chr(13),chr(10)),1,5000),'[ \\t ]+',' ','g'),'\\n{{2,}}',chr(10),'g')) as x from r),
+b as (select id, trim(regexp_replace(regexp_replace(x,{S.q(C.FUSED)},'\\1\\2 \\3\\4','g'),{S.q(C.LEAD_INS)},'')) as x from a)
+select id, regexp_replace(x,{S.q(C.EDGES)},'','g') as clean from b""")
+def clean_claim_text(t):
+    return led(t).select("id", C.clean_claim("text").alias("clean"))
+
+
+def ents_sql(src, key, col):
+    """Entity rows (key, p, n) of a text column, said with unnest and anti-join."""
+    pattern, link = S.q(C.run_pattern(LEX.connectors)), "|".join(LEX.connectors)
+    mark = f"lambda w: case when regexp_matches(w,'^\\p{{Lu}}') and list_contains({S.words(STOP)},{S.norm('w')}) then chr(1) else w end"
+    return f"""(with e0 as (select {key} as k, unnest(regexp_extract_all('.' || {col}, {pattern})) as m from {src}
+    where not (len(list_filter(list_filter({S.literal_words(col)}, lambda w: regexp_matches(w,'^\\p{{L}}') and length(w) >= 3), lambda w: not regexp_matches(w,'\\p{{Ll}}')))
+      > 0.6 * len(list_filter({S.literal_words(col)}, lambda w: regexp_matches(w,'^\\p{{L}}') and length(w) >= 3)))),
+  e1 as (select k, regexp_matches(m,'^[.!?:"“(\\n]') as start, string_split(array_to_string(list_transform(string_split_regex(regexp_replace(m,'^[^\\p{{Lu}}]+',''),'\\s+'), {mark}),' '),chr(1)) as ps from e0),
+  e2 as (select k, start, unnest(list_transform(ps, lambda p, i: row(p, i))) as q from e1),
+  e3 as (select k, trim(regexp_replace(trim(q[1]),'^(?:(?:{link})\\s+)+|(?:\\s+(?:{link}))+$','','g')) as p, start and q[2] = 1 as first from e2),
+  e4 as (select k, p, {S.norm('p')} as n from e3 where p <> '' and (regexp_matches(p,'\\s') or (length(p) >= 2 and not regexp_matches(p,'\\p{{Ll}}')) or not first)),
+  e5 as (select k, n, any_value(p) as p from e4 where length(n) >= 2 and not list_contains({S.words(STOP)}, n) and not list_contains({S.words([*LEX.months, 'feira'])}, n) group by k, n)
+  select k, p, n from e5 x where not exists (select 1 from e5 y where y.k = x.k and length(y.n) > length(x.n) and contains(' ' || y.n || ' ', ' ' || x.n || ' ')))"""
+
+
+@query("entity_mentions", "C-03", f"""
+select k as doc_id, count(*) as n_entities, string_agg(n, '|' order by n) as entities from {ents_sql('documents', 'doc_id', 'text')} group by k""")
+def entity_mentions(t):
+    found = t.documents.select("doc_id", F.explode(C.entities("text", LEX)).alias("e")).select("doc_id", X.norm("e").alias("n"))
+    # One document is one row, so its entities form a bounded group.
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_entities"), F.array_join(F.array_sort(F.collect_list("n")), "|").alias("entities"))
+
+
+BENCH_ENTS = ents_sql("documents", "doc_id", "string_split(text,chr(10))[1]")
+
+
+@query("entity_match", "C-04", f"""
+with e as (select k, p, n, list_filter(string_split(n,' '), lambda w: length(w) >= 3 and not list_contains({S.words(LEX.connectors)}, w)) as toks from {BENCH_ENTS}),
+x as (select k, p, n, toks from e where len(toks) > 0),
+d as (select doc_id, {S.norm('text')} as cn from documents),
+dd as (select doc_id, cn, list_distinct(string_split(cn,' ')) as s, array_to_string(list_filter(string_split(cn,' '), lambda w: not list_contains({S.words(LEX.connectors)}, w)),' ') as bare from d),
+w as (select doc_id, unnest(s) as w from dd),
+c as (select distinct k, n, toks, doc_id from x join w on w.w = x.toks[1] where k % 5 = 0),
+m as (select c.k, c.n, c.doc_id from c join dd using (doc_id) where contains(' ' || cn || ' ', ' ' || n || ' ') or (len(toks) <= 1)
+  or (len(toks) > 1 and contains(' ' || bare || ' ', ' ' || array_to_string(toks,' ') || ' ')))
+select n as entity, count(distinct doc_id) as n_docs from m group by n""")
+def entity_match(t):
+    """Documents that mention the names found in the head lines of every fifth document."""
+    named = t.documents.filter(F.col("doc_id") % 5 == 0).select(F.explode(C.entities(F.substring_index("text", "\n", 1), LEX)).alias("entity"))
+    named = named.withColumn("n", X.norm("entity")).groupBy("n").agg(F.min("entity").alias("entity"))
+    link = X.words_array(LEX.connectors)
+    named = named.withColumn("w", F.get(F.filter(F.split("n", " "), lambda w: (F.length(w) >= 3) & ~F.array_contains(link, w)), F.lit(0)))
+    docs = t.documents.select("doc_id", X.norm("text").alias("cn")).withColumn("toks", F.array_distinct(F.split("cn", " ")))
+    # Names meet documents on the name's first word; the word list of a document travels without its text first.
+    hits = docs.select("doc_id", F.explode("toks").alias("w")).join(named.filter(F.col("w").isNotNull()), "w").select("doc_id", "entity", "n")
+    none = F.array().cast("array<string>")
+    judged = hits.join(docs, "doc_id").filter(C.entity_match(F.col("entity"), F.col("cn"), F.col("toks"), none, LEX.connectors))
+    return judged.groupBy(F.col("n").alias("entity")).agg(F.countDistinct("doc_id").alias("n_docs"))
+
+
+QTOK = S.q(C.QUANTITY_TOKEN)
+QSQL = f"""with s as (select doc_id, regexp_extract_all(text,{QTOK}) as tk from documents),
+n as (select doc_id, tk, list_transform(tk, lambda w: case when w in ('%','R$','US$','€') then w else {S.norm('w')} end) as nt from s),
+i as (select doc_id, tk, nt, unnest(list_filter(range(1,len(tk)+1), lambda i: regexp_matches(tk[i],'^[0-9]+(?:[.,][0-9]+)*$'))) as i from n),
+v as (select doc_id, tk, nt, i, tk[i] as raw, case when nt[i+1] in ('mil') then i+2 else i+1 end as j0 from i
+  where not (regexp_matches(tk[i],'{C.YEAR}') and (nt[i+1] is null or nt[i+1] = '' or list_contains({S.words(STOP)},nt[i+1]) or not regexp_matches(nt[i+1],'^[a-z0-9]') or list_contains({S.words(L.QUALIFIER_STOP_PT)},nt[i+1])))),
+l as (select *, j0 + coalesce(list_position(list_transform(nt[j0:], lambda w: list_contains({S.words(L.QUALIFIER_LINKS_PT)},w)), false),len(nt[j0:])+1) - 1 as j1 from v),
+u as (select doc_id, i, raw, case when tk[j0] = '%' then '%' when regexp_matches(tk[j1],'^\\p{{L}}') and not list_contains({S.words(STOP)},nt[j1]) and not list_contains({S.words(L.QUALIFIER_STOP_PT)},nt[j1])
+  and not list_contains({S.words(L.SCALES_PT)},nt[j1]) then tk[j1] end as unit from l)"""
+
+
+@query("quantities", "C-06", QSQL + f"""
+select doc_id, (i-1)::integer as pos, raw, unit, case when unit = '%' then '%' else {S.stem("replace(" + S.norm('unit') + ",' ','')")} end as unit_key from u
+where unit is not null and (not contains(raw,'.') or regexp_matches(raw,'^[0-9]{{1,3}}(\\.[0-9]{{3}})+(,[0-9]+)?$') or regexp_matches(raw,'^[0-9]+\\.[0-9]+$'))""")
+def quantities(t):
+    return C.quantities(t.documents, ["doc_id"], "text", LEX).select("doc_id", "pos", "raw", "unit", "unit_key")
+
+
+@query("quantity_types", "F-14 F-15", """
+with q as (select l_orderkey as k, l_quantity*100 as v, case l_linenumber % 6 when 0 then 'approx' when 1 then 'min' when 2 then 'min_excl' when 3 then 'max' when 4 then 'max_excl' else 'eq' end as c, l_extendedprice/10 as w from lineitem),
+i as (select *, case when c='approx' then v*0.9 when c='min' then v when c='min_excl' then v*1.0000001+1e-9 when c in ('max','max_excl') then 0 when v>=1000 then v*0.995 else v end as lo,
+ case when c='approx' then v*1.1 when c in ('min','min_excl') then 'infinity'::double when c='max' then v when c='max_excl' then v*0.9999999 when v>=1000 then v*1.005 else v end as hi,
+ case when w>=1000 then w*0.995 else w end as wlo, case when w>=1000 then w*1.005 else w end as whi from q)
+select c as comparator, count(*) as n, count(*) filter (where lo<=whi and wlo<=hi) as compatible, count(*) filter (where abs(v-w) <= 0.005*greatest(abs(v),abs(w),1e-9)) as same_value from i group by c""")
+def quantity_types(t):
+    names = X.words_array(["approx", "min", "min_excl", "max", "max_excl", "eq"])
+    rows = t.lineitem.select((F.col("l_quantity") * 100).alias("v"), (F.col("l_extendedprice") / 10).alias("w"),
+                             F.element_at(names, F.col("l_linenumber") % 6 + 1).alias("c"))
+    ok = N.compatible(N.interval(F.col("v"), F.col("c")), N.interval(F.col("w"), F.lit("eq")))
+    return rows.groupBy(F.col("c").alias("comparator")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("compatible"), F.count_if(N.same_value(F.col("v"), F.col("w"))).alias("same_value"))
+
+
+@query("split_claims", "C-02", f"""
+with s as (select id, unnest(list_transform({S.sentences('text')}, lambda x, i: row(x, i))) as p from {USER}),
+k as (select id, p[1] as sentence, row_number() over (partition by id order by p[2]) as position from s
+  where len(list_filter({S.tokens('p[1]')}, lambda w: length(w) >= 3 and not list_contains({S.words(STOP)}, w))) >= 4)
+select id, position::integer as position, length(sentence)::bigint as n_chars from k where position <= 3""")
+def split_claims(t):
+    return C.split_claims(user_turns(t), "id", "text", LEX).select("id", "position", F.length("sentence").cast("long").alias("n_chars"))
+
+
+@query("interpret_claims", "C-05 C-07 F-22", f"""
+with c as (select id, {S.sentences('text')} as s, text from {USER}),
+m as (select id, text, s, coalesce(list_filter(s, lambda x: len(list_filter({S.tokens('x')}, lambda w: not list_contains({S.words(STOP)}, w))) >= 3)[1], s[1], '') as main from c),
+y as (select *, len(list_distinct(list_filter(regexp_extract_all(text,'[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_matches(w,'{C.YEAR}')))) as n_years from m)
+select id, length(main)::bigint as n_main, len(list_intersect({S.tokens('text')}, {S.words(NEG)})) > 0 as negated, least(n_years,3)::integer as n_years,
+  ends_with(rtrim(text),'?') or regexp_matches(text,{S.q(C.QUESTION)}) as question,
+  case when regexp_matches({S.norm('main')},{S.q(C.EN_PATTERNS.opinion)}) then 'opiniao' when regexp_matches({S.norm('main')},{S.q(C.EN_PATTERNS.future)}) then 'previsao'
+    when regexp_matches({S.norm('main')},{S.q(C.EN_PATTERNS.recent)}) then 'acontecimento_recente' else 'acontecimento' end as claim_type from y""")
+def interpret_claims(t):
+    got = C.interpret(user_turns(t), "id", "text", 2024, LEX, C.EN_PATTERNS)
+    return got.select("id", F.length("main").cast("long").alias("n_main"), "negated", F.size("years").alias("n_years"), "question", "claim_type")
+
+
+@query("claim_structure", "C-07")
+def claim_structure(t):
+    return C.structure(C.interpret(user_turns(t), "id", "text", 2024, LEX, C.EN_PATTERNS), "id")
+
+
+@query("claim_queries", "C-12")
+def claim_queries(t):
+    return C.build_queries(C.interpret(user_turns(t), "id", "text", 2024, LEX, C.EN_PATTERNS), "id")
+
+
+@query("fetch_plan", "C-13", """
+with q as (select o_orderkey as id, (o_orderkey % 6)::integer as pos, 'especifica' as purpose, o_orderpriority as query from orders),
+t as (select o_orderkey as id, case when o_orderkey % 4 = 0 then 'contagem' else 'acontecimento' end as claim_type from orders),
+p(stable, pos, provider) as (values (true,0,'bing_web'),(true,0,'google_news'),(true,0,'bing_news'),(true,1,'bing_web'),(true,2,'bing_web'),
+ (false,0,'google_news'),(false,0,'bing_news'),(false,0,'bing_web'),(false,1,'google_news'),(false,1,'bing_news'),(false,2,'google_news'),(false,3,'google_news'),(false,4,'google_news'))
+select provider, claim_type, count(*) as n from q join t using (id) join p on p.pos = q.pos and p.stable = (claim_type = 'contagem') group by all""")
+def fetch_plan(t):
+    queries = t.orders.select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 6).cast("int").alias("pos"),
+                              F.lit("especifica").alias("purpose"), F.col("o_orderpriority").alias("query"))
+    types = t.orders.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 4 == 0, "contagem").otherwise("acontecimento").alias("claim_type"))
+    plan = C.fetch_plan(queries, types, "id").join(types, "id")
+    return plan.groupBy("provider", "claim_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- relevance -----------------------------------------------------------------------------------------------------------------------
+
+def bench_claims(t):
+    return C.interpret(t.benchmark, "item_id", "text", 2024, LEX, C.EN_PATTERNS)
+
+
+def document_candidates(t):
+    """Documents as candidates: head line as title, the whole text as the text read."""
+    day = F.make_dt_interval((F.col("doc_id") % 200).cast("int"))
+    return t.documents.select(
+        "doc_id", F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("snippet"), F.lit("trecho").alias("content_kind"),
+        F.lit("bing_news").alias("origin"), (F.lit("2023-12-01").cast("timestamp") + day).alias("published"), F.lit(False).alias("disambiguation"), "source")
+
+
+def relevance_pairs(t):
+    claims = bench_claims(t)
+    stems = t.documents.select("doc_id", F.array_distinct(F.transform(X.title_key("text", STOP), X.stem)).alias("stems"))
+    wanted = claims.select("item_id", F.array_distinct(F.transform("terms", X.stem)).alias("stems"))
+    near = blocked_candidates(wanted, stems, "item_id", "doc_id", 60).drop("position")
+    # Only documents that some claim reads are prepared, once each.
+    prepared = C.prepare_candidates(J.keep_in(document_candidates(t), near.select("doc_id").distinct(), ["doc_id"]), LEX)
+    return near.join(prepared, "doc_id").join(claims, "item_id")
+
+
+def assessed(t):
+    return C.assess(relevance_pairs(t), now(), LEX)
+
+
+BAN = [*STOP, *NEG, *LEX.generic, *LEX.months]
+REL = f"""with c as (select item_id, {S.sentences('text')} as s, text from benchmark),
+m as (select item_id, text, s, coalesce(list_filter(s, lambda x: len(list_filter({S.tokens('x')}, lambda w: not list_contains({S.words(STOP)}, w))) >= 3)[1], s[1], '') as main from c),
+en as (select k as item_id, list(p) as ents, flatten(list(string_split(n,' '))) as etoks from {ents_sql('benchmark', 'item_id', 'text')} group by k),
+me as (select m.*, coalesce(ents, []) as ents, coalesce(etoks, []) as etoks, array_to_string(list_filter(s, lambda x: x <> main),' ') as rest from m left join en using (item_id)),
+w as (select item_id, unnest(list_transform(list_filter({S.tokens('main')}, lambda w: not list_contains(etoks, w)), lambda w, i: {{'w': w, 'weight': 2, 'pos': i}})) as t from me
+  union all select item_id, unnest(list_transform(list_filter({S.tokens('rest')}, lambda w: not list_contains(etoks, w)), lambda w, i: {{'w': w, 'weight': 1, 'pos': i+1000000}})) from me),
+g as (select item_id, {S.stem('t.w')} as stem, sum(t.weight) as score, min(t.pos) as first, arg_min(t.w, t.pos) as term from w
+  where length(t.w) >= 3 and not list_contains({S.words(BAN)}, t.w) and not regexp_matches(t.w,'^[0-9,]+$') group by 1, 2),
+r as (select *, row_number() over (partition by item_id order by score desc, first) as position from g),
+tm as (select item_id, list(stem order by position) as stems from r where position <= 6 group by 1),
+ds as (select doc_id, unnest(list_distinct(list_transform({S.title_key('text', STOP)}, lambda w: {S.stem('w')}))) as stem from documents),
+cs as (select item_id, unnest(stems) as stem from tm),
+p as (select item_id, doc_id, count(*) as shared from cs join ds using (stem) group by all),
+k as (select *, row_number() over (partition by item_id order by shared desc, doc_id) as position from p),
+d as (select doc_id, string_split(text,chr(10))[1] || '. ' || text as full_text, string_split(text,chr(10))[1] as title from documents),
+f as (select doc_id, {S.norm('full_text')} as cn, {S.stems_of(S.tokens('full_text'))} as cst, {S.stems_of(S.tokens('title'))} as tst, {S.numbers_in('full_text')} as nums from d),
+x as (select k.item_id, k.doc_id, me.ents[1:4] as ents, tm.stems[1:5] as tms, f.*,
+   list_filter({S.numbers_in('me.text')}, lambda n: n <> '' and not regexp_matches(n,'{C.YEAR}'))[1:4] as cnums
+   from k join me using (item_id) join tm using (item_id) join f using (doc_id) where k.position <= 60)
+"""
+
+
+@query("relevance_scores", "C-14", REL + """
+select item_id, doc_id, len(list_intersect(tms, cst))::integer as term_hits, round(0.5*(len(list_intersect(tms, cst))/len(tms)),3) as term_score,
+  len(list_intersect(cnums, nums))::integer as num_hits, len(list_intersect(tms, tst))::integer as title_term_hits from x""")
+def relevance_scores(t):
+    a = assessed(t)
+    return a.select("item_id", "doc_id", F.size("term_hits").alias("term_hits"), F.round(0.5 * F.col("term_cov"), 3).alias("term_score"),
+                    F.size("num_hits").alias("num_hits"), F.size(F.filter("tms", lambda w: F.array_contains("t_stems", X.stem(w)))).alias("title_term_hits"))
+
+
+@query("relevance", "C-14 T-06")
+def relevance(t):
+    return assessed(t).select("item_id", "doc_id", "score", "category", "title_hits", "strong", F.array_join("alerts", ",").alias("alerts"))
+
+
+@query("reassess_with_page", "C-15")
+def reassess_with_page(t):
+    """First pass on titles only, second pass on the opening of the text: promotion only. Both passes prepare each
+    document once and meet the claims in one join."""
+    claims = bench_claims(t)
+    stems = t.documents.select("doc_id", F.array_distinct(F.transform(X.title_key("text", STOP), X.stem)).alias("stems"))
+    wanted = claims.select("item_id", F.array_distinct(F.transform("terms", X.stem)).alias("stems"))
+    near = blocked_candidates(wanted, stems, "item_id", "doc_id", 60).drop("position")
+    read = J.keep_in(document_candidates(t), near.select("doc_id").distinct(), ["doc_id"])
+    texts = F.array(F.struct(F.lit(1).alias("reading"), F.lit("").alias("snippet")),
+                    F.struct(F.lit(2), C.opening_of(X.stems("title"), F.col("snippet")).alias("snippet")))
+    twice = read.select(*[c for c in read.columns if c != "snippet"], F.inline(texts))
+    judged = C.assess(near.join(C.prepare_candidates(twice, LEX), "doc_id").join(claims, "item_id"), now(), LEX)
+    return C.best_of_readings(judged, ["item_id", "doc_id"])
+
+
+@query("claim_evidence", "J-07 C-14 W-01")
+def claim_evidence(t):
+    """Flagship: for every claim, its sources by relevance class - best class and score first, copies of a text counted once."""
+    judged = assessed(t).filter(F.col("category") != "descartado")
+    rank = F.struct(C.category_rank("category"), "score", -F.col("doc_id"))
+    unique = best_per_key(judged.withColumn("copy_key", F.xxhash64("c_norm")), ["item_id", "copy_key"], rank, ["doc_id", "category", "score", "published", "source"])
+    return unique.select("item_id", "doc_id", "category", "score", "source", "published")
+
+
+# --- small deciders ---------------------------------------------------------------------------------------------------------------------
+
+KINDS = ["mesmo_acontecimento", "detalhe_divergente", "contexto_relacionado", "outro_acontecimento", "relacao_incerta"]
+DECIDED = f"(select event_id, ({S.words(KINDS)})[(event_id % 5)+1] as kind, user_id % 7 = 0 as earlier, user_id % 2 = 0 as has_action, round((value % 10)/10,4) as score, case when event_type <> 'error' then date_diff('day', cast(ts as date), date '2024-01-31') end as age from events)"
+
+
+def decided(t):
+    e = t.events
+    return e.select("event_id", F.element_at(X.words_array(KINDS), (F.col("event_id") % 5 + 1).cast("int")).alias("kind"),
+                    (F.col("user_id") % 7 == 0).alias("earlier"), (F.col("user_id") % 2 == 0).alias("has_action"),
+                    F.round(F.col("value") % 10 / 10, 4).alias("score"),
+                    F.when(F.col("event_type") != "error", F.datediff(F.lit("2024-01-31").cast("date"), F.to_date("ts"))).alias("age"))
+
+
+@query("model_promotion", "C-18", f"""
+with d as (select *, kind in ('relacao_incerta','contexto_relacionado','outro_acontecimento') and (not has_action or not earlier) as doubtful,
+  score >= case when has_action then 0.93 else 0.9 end as confirm, score >= case when has_action then 0.86 else 0.783151 end as promote from {DECIDED})
+select kind, case when doubtful and confirm then 'mesmo_acontecimento' when doubtful and promote then 'relacao_incerta' else kind end as verdict,
+  case when doubtful and confirm then 'confirmed' when doubtful and promote then 'promoted' when kind in ('mesmo_acontecimento','detalhe_divergente') and score < 0.2 then 'warning' else 'unchanged' end as note,
+  count(*) as n from d group by all""")
+def model_promotion(t):
+    verdict, note = C.model_promotion(F.col("kind"), F.col("earlier"), F.col("has_action"), F.col("score"))
+    return decided(t).select("kind", verdict.alias("verdict"), note.alias("note")).groupBy("kind", "verdict", "note").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("seal", "C-19", f"""
+with s as (select case when kind in ('mesmo_acontecimento','detalhe_divergente') then 'regra: ' || kind when score >= 0.874239 and age <= 1 then 'provável mesmo fato'
+  when score >= 0.874239 then 'mesmo assunto, confira a data' else 'regra: ' || kind end as seal, score from {DECIDED})
+select seal, count(*) as n, round(avg(score),6) as mean_score from s group by seal""")
+def seal(t):
+    sealed = decided(t).select(C.seal(F.col("kind"), F.col("score"), 0.874239, F.col("age")).alias("seal"), "score")
+    return sealed.groupBy("seal").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean_score"))
+
+
+@query("act_stage", "F-21", " union all ".join([f"""
+select stage, count(*) as n from (select case {' '.join(f"when regexp_matches(' ' || {S.norm('x')} || ' ', {S.q(' (' + p + ') ')}) then '{n}'" for n, p in L.STAGES_PT)} end as stage
+from (select (['Senado aprova','Governo quer','Justiça derruba','Ministro nega','Lei entra em vigor','Decreto determina','Obra prevista','Sem etapa'])[(o_orderkey % 8)+1] || ' ' || o_orderpriority || ' e ' ||
+ (['discute','vetou','publica','vai'])[(o_custkey % 4)+1] as x from orders)) group by stage"""]))
+def act_stage(t):
+    heads = X.words_array(["Senado aprova", "Governo quer", "Justiça derruba", "Ministro nega", "Lei entra em vigor", "Decreto determina", "Obra prevista", "Sem etapa"])
+    tails = X.words_array(["discute", "vetou", "publica", "vai"])
+    x = F.concat_ws(" ", F.element_at(heads, (F.col("o_orderkey") % 8 + 1).cast("int")), "o_orderpriority", F.lit("e"),
+                    F.element_at(tails, (F.col("o_custkey") % 4 + 1).cast("int")))
+    return t.orders.select(C.act_stage(x).alias("stage")).groupBy("stage").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("fact_dates", "C-09 F-12 F-13", """
+with o as (select o_orderkey, o_orderdate::date as pub, o_orderkey % 6 as kind from orders),
+f as (select o_orderkey, pub, kind, case kind when 0 then make_date(year(pub), month(pub), 1) when 1 then pub - 1 when 2 then pub
+  when 3 then make_date(2001, 3, 1) when 4 then pub - ((isodow(pub) % 7 - 2 + 7) % 7)::integer else pub end as day,
+  case kind when 3 then 'mes' else 'dia' end as granularity, kind <> 5 as explicit from o)
+select o_orderkey, strftime(day,'%Y-%m-%d') as day, granularity, explicit,
+  case when granularity = 'mes' then case when year(day) <> year(pub) or month(day) <> month(pub) then 'mes' end when abs(day - pub) > 1 then 'dia' end as gap from f""")
+def fact_dates(t):
+    kind, pub = F.col("o_orderkey") % 6, F.to_date("o_orderdate")
+    text = (F.when(kind == 0, F.concat(F.lit("Reunião em 1/"), F.month(pub).cast("string"), F.lit("/"), F.year(pub).cast("string")))
+            .when(kind == 1, F.lit("Ontem houve reunião")).when(kind == 2, F.lit("A reunião é hoje à noite"))
+            .when(kind == 3, F.lit("Foi em março de 2001")).when(kind == 4, F.lit("Nesta terça-feira houve reunião")).otherwise(F.lit("Houve reunião")))
+    rows = t.orders.select("o_orderkey", text.alias("text"), F.col("o_orderdate").alias("pub"))
+    found = C.fact_dates(rows, "o_orderkey", "text", "pub").join(rows.select("o_orderkey", F.to_date("pub").alias("p")), "o_orderkey")
+    from evidence_spark.functions.dates import date_gap
+    gap = date_gap(F.struct("day", "granularity"), F.struct(F.col("p").alias("day"), F.lit("dia").alias("granularity")))
+    return found.select("o_orderkey", F.date_format("day", "yyyy-MM-dd").alias("day"), "granularity", "explicit", gap.alias("gap"))
+
+
+@query("relate_detail", "C-17", f"""
+with n as (select doc_id, {S.numbers_in('text')} as nums, text from documents),
+c as (select doc_id, list_min(nums) as number, text from n where len(nums) > 0),
+p as (select c.doc_id, c.number, d.doc_id as other_id, d.text from c join documents d on d.doc_id = c.doc_id or d.doc_id = c.doc_id + 1),
+s as (select doc_id, other_id, number, list_transform(list_filter({S.sentences('text', '.!?;', 12)}, lambda s: true), lambda s: {{'nums': {S.numbers_in('s')}, 'about': len(list_intersect({S.stems_of(S.tokens('s'))}, ['the','with','versio','licens','token'])) > 0}}) as ss from p)
+select doc_id, other_id, case when len(list_filter(ss, lambda s: list_contains(s.nums, number) and s.about)) > 0 then 'cita_detalhe' else 'nao_cita_detalhe' end as detail_status from s""")
+def relate_detail(t):
+    numbered = t.documents.select("doc_id", F.array_min(N.numbers_in("text")).alias("number")).filter(F.col("number").isNotNull())
+    near = numbered.select("doc_id", "number", F.explode(F.array(F.col("doc_id"), F.col("doc_id") + 1)).alias("other_id"))
+    pairs = near.join(t.documents.select(F.col("doc_id").alias("other_id"), "text"), "other_id").withColumn("unit", F.lit("")).withColumn(
+        "topic", X.words_array(["the", "with", "versio", "licens", "token"]))
+    return C.relate_detail(pairs, ["doc_id", "other_id"], "number", "unit", "topic", "text").select("doc_id", "other_id", "detail_status")
+
+
+@query("claim_context", "C-08")
+def claim_context(t):
+    """Expansions, in the text itself, of the acronyms of each document."""
+    rows = t.documents.select("doc_id", X.literal_words("text").alias("w")).withColumn(
+        "acr", F.array_distinct(F.filter("w", lambda w: w.rlike(r"^\p{Lu}{2,6}$"))))
+    return C.alias_phrases(rows.filter(F.size("acr") > 0), "doc_id", "acr", "w", LEX)
+
+
+@query("disambiguation_options", "C-20", f"""
+with e as (select p_partkey, p_name as title, {S.norm('p_name')} as n from part), k as (select distinct string_split(p_name,' ')[2] as key from part)
+select key, count(*) as n_senses, count(distinct title) as n_titles from k join e on n = {S.norm('key')} or (contains(' ' || n || ' ', ' ' || {S.norm('key')} || ' ') and length(n) > length({S.norm('key')})) group by key""")
+def disambiguation_options(t):
+    keys = t.part.select(F.get(F.split("p_name", " "), F.lit(1)).alias("key")).filter(F.col("key").isNotNull()).distinct()
+    # Titles repeat: the sense join runs over distinct titles, carrying their counts.
+    titles = t.part.groupBy(F.col("p_name").alias("title")).agg(F.count(F.lit(1)).alias("n"))
+    return C.senses(titles, keys, "title", "key").groupBy("key").agg(F.sum("n").alias("n_senses"), F.countDistinct("title").alias("n_titles"))

@@ -6,7 +6,8 @@ from evidence_spark.functions.text import FOLD_FROM, FOLD_TO, NUMBER, STEM, WORD
 
 
 def q(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
+    # The oracle's regex engine folds case by code point already and has no ``u`` flag.
+    return "'" + text.replace("'", "''").replace("(?iu)", "(?i)") + "'"
 
 
 def words(items) -> str:

@@ -13,7 +13,7 @@ SKIP_TAGS = ("script style noscript nav footer header aside form svg button ifra
 BLOCK_TAGS = ("p div article section main body html ul ol li table tr td h1 h2 h3 h4 h5 h6 blockquote pre hr").split()
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
             ("&copy;", "©"), ("&middot;", "·"), ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"), ("&amp;", "&")]
-INJECTION = (r"(?i)(ignore|ignora|desconsidere|disregard|forget)[^\p{L}\p{N}_]+(?:[\p{L}\p{N}_]+[^\p{L}\p{N}_]+){0,5}"
+INJECTION = (r"(?iu)(ignore|ignora|desconsidere|disregard|forget)[^\p{L}\p{N}_]+(?:[\p{L}\p{N}_]+[^\p{L}\p{N}_]+){0,5}"
              r"(instru|instruct|prompt|regras|rules)|system\s+prompt|you\s+are\s+(?:an?\s+)?(?:ai|assistant|language model|chatgpt)"
              r"|voc[eê]\s+(?:é|e)\s+(?:um|uma)\s+(?:ia|assistente|modelo)|as\s+an\s+ai|</?\s*(?:system|assistant|user)\s*>"
              r"|responda\s+(?:apenas|somente)\s+(?:com|que)")
