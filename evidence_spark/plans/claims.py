@@ -247,7 +247,7 @@ def reassess_with_page(t):
     near = blocked_candidates(wanted, stems, "item_id", "doc_id", 60).drop("position")
     read = J.keep_in(document_candidates(t), near.select("doc_id").distinct(), ["doc_id"])
     texts = F.array(F.struct(F.lit(1).alias("reading"), F.lit("").alias("snippet")),
-                    F.struct(F.lit(2), C.opening_of(X.stems("title"), F.col("snippet")).alias("snippet")))
+                    F.struct(F.lit(2).alias("reading"), C.opening_of(X.stems("title"), F.col("snippet")).alias("snippet")))
     twice = read.select(*[c for c in read.columns if c != "snippet"], F.inline(texts))
     judged = C.assess(near.join(C.prepare_candidates(twice, LEX), "doc_id").join(claims, "item_id"), now(), LEX)
     return C.best_of_readings(judged, ["item_id", "doc_id"])

@@ -1,0 +1,312 @@
+"""TF-IDF, linear scoring, pair models and training queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from evidence_spark.functions import text as X
+from evidence_spark.operators import evaluation as E
+from evidence_spark.operators import pairmodel as PM
+from evidence_spark.operators import splits as SP
+from evidence_spark.operators import tfidf as TI
+from evidence_spark.operators import training as TR
+from evidence_spark.operators.ranking import exact_quantiles
+from evidence_spark.plans import sqltext as S
+from evidence_spark.plans.pairs import pairs
+from evidence_spark.plans.registry import query
+
+FEATURES = 3000
+
+
+def words(t):
+    return t.documents.select("doc_id", X.tokens("text").alias("w"))
+
+
+def counts(t):
+    return TI.term_counts(words(t), "doc_id", "w")
+
+
+def n_docs(t):
+    return t.documents.agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+def vocabulary(t):
+    return TI.tfidf_fit(counts(t), n_docs(t), 2, 0.9, FEATURES)
+
+
+TFIDF = f"""with tk as (select doc_id, len({S.split_words('text')}) as n_words, {S.tokens('text')} as w from documents),
+c as (select doc_id, term, count(*) as tf from (select doc_id, unnest(w) as term from tk) group by all),
+n as (select count(*) as n_docs from documents),
+v0 as (select term, sum(tf) as tf, count(*) as df from c group by term),
+v as (select term, df, ln((1+n_docs)/(1+df))+1 as idf from (select * from v0, n where df >= 2 and df <= 0.9*n_docs order by tf desc, term limit {FEATURES}))"""
+
+
+@query("tfidf_top_terms", "M-05", TFIDF + """,
+w as (select doc_id, term, tf*idf/sqrt(sum(tf*idf*tf*idf) over (partition by doc_id)) as weight from c join v using (term)),
+r as (select *, row_number() over (partition by doc_id order by round(weight,9) desc, term) as position from w)
+select doc_id, position::integer as position, term, round(weight,6) as weight from r where position <= 3""")
+def tfidf_top_terms(t):
+    from evidence_spark.operators.ranking import top_per_key
+    weights = TI.tfidf_transform(counts(t), vocabulary(t), "doc_id", max_features=FEATURES)
+    top = top_per_key(weights, ["doc_id"], [F.desc(F.round("weight", 9)), F.asc("term")], 3)
+    return top.select("doc_id", "position", "term", F.round("weight", 6).alias("weight"))
+
+
+MODEL = TFIDF + """,
+l as (select doc_id, toxic = 1 as y from labels), lt as (select count(*) filter (where y) as pos, count(*) filter (where not y) as neg from l),
+per as (select term, count(*) filter (where y) as p, count(*) filter (where not y) as n from c join l using (doc_id) group by term),
+m as (select term, idf, ln((p+1)/(pos+2)) - ln((n+1)/(neg+2)) as coef from v join per using (term), lt),
+x as (select doc_id, term, tf*idf as w, coef from c join m using (term)),
+d as (select doc_id, sum(w*coef)/sqrt(sum(w*w)) as decision, count(*) as known_terms from x group by doc_id)"""
+
+
+def model(t):
+    labels = t.labels.select("doc_id", (F.col("toxic") == 1).alias("y"))
+    return TI.log_odds_model(counts(t), labels, "doc_id", "y", vocabulary(t))
+
+
+@query("linear_scores", "J-13", MODEL + "\nselect doc_id, round(decision,6) as decision, known_terms from d")
+def linear_scores(t):
+    scored = TI.linear_scores(counts(t), model(t), "doc_id")
+    return scored.select("doc_id", F.round("decision", 6).alias("decision"), "known_terms")
+
+
+@query("text_signal", "M-12 F-17", MODEL + """,
+s as (select doc_id, decision, n_words from d join tk using (doc_id) where n_words >= 60)
+select doc_id, n_words::integer as n_words, case when n_words < 150 then 'curto' else 'normal' end as regime,
+  case when decision < case when n_words < 150 then -1.0 else -0.75 end then 'desinformacao' when decision >= 0.3 then 'noticia' else 'sem_sinal' end as band,
+  round(1.0 - least(1.0, greatest(0.0, (round(decision,9) + 1.5)/3.0)),3) as position from s""")
+def text_signal(t):
+    sized = t.documents.select("doc_id", F.size(X.split_words("text")).alias("n_words")).filter(F.col("n_words") >= TI.MIN_WORDS)
+    scored = TI.linear_scores(counts(t), model(t), "doc_id").join(sized, "doc_id")
+    d, n = F.round("decision", 9), F.col("n_words")
+    return scored.select("doc_id", "n_words", TI.regime(n).alias("regime"), TI.band(F.col("decision"), n).alias("band"), TI.position(d).alias("position"))
+
+
+@query("top_contributions", "T-05", MODEL + """,
+k as (select doc_id, term, w*coef/sqrt(sum(w*w) over (partition by doc_id)) as c from x),
+r as (select *, row_number() over (partition by doc_id order by c, term) as lo, row_number() over (partition by doc_id order by c desc, term) as hi from k)
+select doc_id, 'low' as side, count(*) as n, round(sum(c),6) as total from r where lo <= 5 and c <= -0.03 group by doc_id
+union all select doc_id, 'high', count(*), round(sum(c),6) from r where hi <= 5 and c >= 0.03 group by doc_id""")
+def top_contributions(t):
+    found = TI.contributions(counts(t), model(t), "doc_id")
+    return found.groupBy("doc_id", "side").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c"), 6).alias("total"))
+
+
+@query("calibrate_bands", "M-13", MODEL + """,
+cut(name, k) as (values ('completo', 1000000000), ('100', 100), ('60', 60)),
+z as (select doc_id, name, len(w[1:k]) as nw, w[1:k] as ws from tk, cut where len(w) >= 60),
+zc as (select doc_id, name, any_value(nw) as nw, term, count(*) as tf from (select doc_id, name, nw, unnest(ws) as term from z) group by doc_id, name, term),
+zd as (select doc_id, name, any_value(nw) as nw, sum(tf*idf*coef)/sqrt(sum(tf*idf*tf*idf)) as decision from zc join m using (term) group by doc_id, name),
+b as (select name, case when decision < case when nw < 150 then -1.0 else -0.75 end then 'desinformacao' when decision >= 0.3 then 'noticia' else 'sem_sinal' end as band from zd),
+g as (select name as cut, count(*) as n, count(*) filter (where band='desinformacao') as desinformacao, count(*) filter (where band='noticia') as noticia, count(*) filter (where band='sem_sinal') as sem_sinal from b group by name)
+select *, round(greatest(0,((desinformacao/n+1.96*1.96/(2*n))/(1+1.96*1.96/n)) - 1.96*sqrt(desinformacao/n*(1-desinformacao/n)/n+1.96*1.96/(4*n*n))/(1+1.96*1.96/n)),3) as low,
+ round(least(1,((desinformacao/n+1.96*1.96/(2*n))/(1+1.96*1.96/n)) + 1.96*sqrt(desinformacao/n*(1-desinformacao/n)/n+1.96*1.96/(4*n*n))/(1+1.96*1.96/n)),3) as high from g""")
+def calibrate_bands(t):
+    return TI.calibrate_bands(words(t), "doc_id", "w", model(t), [None, 100, 60])
+
+
+@query("parity_check", "E-14 F-19", MODEL + """,
+e as (select doc_id, round(decision,4) as r, decision from d)
+select count(*) as n, round(max(abs(decision-r)),12) <= 0.00005 as close, count(*) filter (where (decision >= 0.3) <> (r >= 0.3)) as flipped,
+  0 as unmatched, true as within_tolerance from e""")
+def parity_check(t):
+    exact = TI.linear_scores(counts(t), model(t), "doc_id").select("doc_id", "decision")
+    rounded = exact.withColumn("decision", F.round("decision", 4))
+    out = PM.parity_check(exact, rounded, "doc_id", "decision", 0.3, 1e-4)
+    return out.select("n", (F.col("max_difference") <= 0.00005).alias("close"), "flipped", "unmatched", "within_tolerance")
+
+
+@query("pair_word_product", "J-19", TFIDF + f""",
+w as (select doc_id, term, tf*idf/sqrt(sum(tf*idf*tf*idf) over (partition by doc_id)) as weight from c join v using (term)),
+p as (select doc_id as a_id, doc_id + 1 as b_id from documents)
+select a_id, b_id, count(*) as shared, round(sum(x.weight*y.weight),6) as cosine from p join w x on x.doc_id = a_id join w y on y.doc_id = b_id and y.term = x.term group by all""")
+def pair_word_product(t):
+    weights = TI.tfidf_transform(counts(t), vocabulary(t), "doc_id", max_features=FEATURES)
+    near = t.documents.select(F.col("doc_id").alias("a_id"), (F.col("doc_id") + 1).alias("b_id"))
+    product = TI.word_product(near, weights.withColumnRenamed("doc_id", "a_id"), weights.withColumnRenamed("doc_id", "b_id"), "a_id", "b_id")
+    return product.groupBy("a_id", "b_id").agg(F.count(F.lit(1)).alias("shared"), F.round(F.sum("product"), 6).alias("cosine"))
+
+
+# --- pair recipes ---------------------------------------------------------------------------------------------------------------
+
+WHO = ["mesmo", "nao_sabe", "outro", "sem", "novo"]
+WHEN = ["antes", "compativel", "materia_sem_data", "sem"]
+PROVIDERS = ["ausente", "bing_news", "bing_web", "google_news", "wikipedia"]
+
+
+def pair_features(t):
+    """Pair features derived from the events: numbers from values, age in days, flags and categories from ids."""
+    e = t.events
+    pick = lambda names, c: F.element_at(X.words_array(names), (c % len(names) + 1).cast("int"))
+    age = F.when(F.col("event_type") != "error", F.datediff(F.lit("2024-01-31").cast("date"), F.to_date("ts")))
+    return e.select("event_id", "user_id", F.least(F.col("value") / 100, F.lit(1.0)).alias("cosine"), (F.col("user_id") % 10 / 10).alias("overlap"),
+                    (F.col("value") % 1).alias("text_score"), age.alias("age_days"), age.isNotNull().cast("int").alias("has_age"),
+                    (F.col("event_id") % 2).cast("int").alias("compared"), (F.col("event_id") % 3 == 0).cast("int").alias("title_cut"),
+                    pick(WHO, F.col("event_id")).alias("who"), F.lit("equivale").alias("action"), F.lit("em_comum").alias("subject"),
+                    pick(WHEN, F.col("user_id")).alias("when_"), pick(PROVIDERS, F.col("event_id") + F.col("user_id")).alias("provider"),
+                    F.lit("contagem").alias("claim_type"), (F.col("value") > 60).alias("y"))
+
+
+PF = f"""(select event_id, user_id, least(value/100,1.0) as cosine, (user_id%10)/10 as overlap, value%1 as text_score,
+ case when event_type<>'error' then date_diff('day', ts::date, date '2024-01-31') end as age_days, (event_type<>'error')::int as has_age, event_id%2 as compared, (event_id%3=0)::int as title_cut,
+ ({S.words(WHO)})[(event_id%{len(WHO)})+1] as who, ({S.words(WHEN)})[(user_id%{len(WHEN)})+1] as when_, ({S.words(PROVIDERS)})[((event_id+user_id)%{len(PROVIDERS)})+1] as provider, value > 60 as y from events)"""
+
+
+def _cat(column, weights):
+    return "(case " + column + " " + " ".join(f"when '{k}' then {w!r}" for k, w in weights.items()) + " else 0 end)"
+
+
+R = PM.FULL_RECIPE
+Z = (f"{R.intercept!r} + " + " + ".join(f"{w!r}*({n}-{m!r})/{s!r}" for n, (m, s, w) in R.numbers.items())
+     + f" + {R.age[4]!r}*(coalesce(case when age_days is not null then ln(1+greatest(age_days,0)) end,{R.age[1]!r})-{R.age[2]!r})/{R.age[3]!r} + " + " + ".join(f"{w!r}*{n}" for n, w in R.flags.items())
+     + " + " + _cat("who", R.categories["who"]) + f" + {R.categories['action']['equivale']!r} + {R.categories['subject']['em_comum']!r} + "
+     + _cat("when_", R.categories["when_"]) + " + " + _cat("provider", R.categories["provider"]) + f" + {R.categories['claim_type']['contagem']!r}")
+
+
+@query("score_pairs", "M-11 F-18", f"""
+select event_id, round(1/(1+exp(-({Z}))),6) as score, 1/(1+exp(-({Z}))) >= {R.cut} as shown from {PF}""")
+def score_pairs(t):
+    return PM.score_pairs(pair_features(t)).select("event_id", F.round("score", 6).alias("score"), "shown")
+
+
+PZ = f"{PM.PAIR_INTERCEPT!r} + " + " + ".join(f"{PM.PAIR_WEIGHTS[n]!r}*({n}-{PM.PAIR_MEANS[n]!r})/{PM.PAIR_STDS[n]!r}" for n in PM.PAIR_MEANS)
+
+
+@query("pair_model_scores", "M-11 F-18", f"select event_id, round(1/(1+exp(-({PZ}))),6) as score from {PF}")
+def pair_model_scores(t):
+    score = PM.pair_score(F.col("cosine"), F.col("overlap"), F.col("text_score"))
+    return pair_features(t).select("event_id", F.round(score, 6).alias("score"))
+
+
+@query("pair_preprocessor", "M-08", f"""
+with f as (select *, user_id % 5 <> 0 as train, case when age_days is not null then ln(1+greatest(age_days,0)) end as la from {PF}), md as (select quantile_cont(la,0.5) as med from f where train),
+g as (select f.*, coalesce(la, med) as a from f, md),
+s as (select avg(cosine) as mc, stddev_pop(cosine) as sc, avg(overlap) as mo, stddev_pop(overlap) as so, avg(a) as ma, stddev_pop(a) as sa from g where train)
+select event_id, round((cosine-mc)/sc,6) as cosine, round((overlap-mo)/so,6) as overlap, round((a-ma)/sa,6) as age_days, round((cosine-mc)/sc*(a-ma)/sa,6) as cosine_x_age_days,
+ (case when who='mesmo' then 1 else 0 end)::double as who_mesmo, (case when provider='wikipedia' then 1 else 0 end)::double as provider_wikipedia from g, s""")
+def pair_preprocessor(t):
+    features = pair_features(t)
+    fitted = PM.fit_preprocessor(features.filter(F.col("user_id") % 5 != 0), ["cosine", "overlap"], "age_days", ["has_age"], ["who", "provider"])
+    out = fitted.transform(features, ["event_id"], ("cosine", "age_days"))
+    rounded = [F.round(n, 6).alias(n) for n in ("cosine", "overlap", "age_days", "cosine_x_age_days")]
+    return out.select("event_id", *rounded, F.col("`who=mesmo`").alias("who_mesmo"), F.col("`provider=wikipedia`").alias("provider_wikipedia"))
+
+
+@query("population_shift", "E-15", f"""
+with f as (select *, case when event_id < (select avg(event_id) from events) then 'study' else 'holdout' end as fold from {PF}),
+s as (select avg(cosine) as mc, stddev_pop(cosine) as sc, avg(overlap) as mo, stddev_pop(overlap) as so from f where fold='study')
+select fold, 'cosine' as feature, round(avg((cosine-mc)/sc),6) as mean from f, s group by fold union all
+select fold, 'overlap', round(avg((overlap-mo)/so),6) from f, s group by fold""")
+def population_shift(t):
+    features = pair_features(t)
+    middle = features.agg(F.avg("event_id").alias("mid"))
+    folded = features.join(F.broadcast(middle)).withColumn("fold", F.when(F.col("event_id") < F.col("mid"), "study").otherwise("holdout"))
+    fitted = PM.fit_preprocessor(folded.filter(F.col("fold") == "study"), ["cosine", "overlap"], "age_days", [], [])
+    shift = PM.population_shift(fitted.transform(folded, ["fold"]), ["cosine", "overlap"], "fold")
+    return shift.withColumn("mean", F.round("mean", 6))
+
+
+@query("median_fit_audit", "E-16", f"""
+with f as (select *, user_id % 5 <> 0 as train, case when age_days is not null then ln(1+greatest(age_days,0)) end as la from {PF})
+select round(quantile_cont(la,0.5) filter (where train),6) as train_median, round(quantile_cont(la,0.5),6) as all_median,
+  round(quantile_cont(la,0.5) filter (where not train),6) as holdout_median from f""")
+def median_fit_audit(t):
+    logged = pair_features(t).select("user_id", PM.log_age(F.col("age_days")).alias("la"))
+    views = logged.select("la", F.explode(F.array(F.lit("all"), F.when(F.col("user_id") % 5 != 0, "train").otherwise("holdout"))).alias("part"))
+    medians = exact_quantiles(views, ["part"], "la", [0.5])
+    return medians.agg(*[F.round(F.max(F.when(F.col("part") == p, F.col("quantile"))), 6).alias(f"{p}_median") for p in ("train", "all", "holdout")])
+
+
+# --- training (seeded or iterative: rows only) -------------------------------------------------------------------------------------
+
+def labelled_words(t):
+    rows = t.documents.join(t.labels, "doc_id").select("doc_id", "source", (F.col("quality") == 1).cast("double").alias("label"), X.tokens("text").alias("words"))
+    return TR.balanced_weights(rows, "label").withColumn("test", F.substring(SP.seeded("doc_id", 3), 1, 1).isin("0", "1", "2"))
+
+
+@query("train_text_models", "M-06 T-01 A-30")
+def train_text_models(t):
+    from functools import reduce
+    from evidence_spark.session import cut_lineage
+    data = cut_lineage(labelled_words(t))
+    parts = []
+    for kind in TR.TEXT_MODELS:
+        fitted = TR.train_text(data.filter(~F.col("test")), kind, 2.0, 5000)
+        parts.append(TR.accuracy(fitted.transform(data.filter("test")).select("label", "prediction")).withColumn("model", F.lit(kind)))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@query("word_char_union", "M-07")
+def word_char_union(t):
+    data = labelled_words(t)
+    staged = TR.word_char_features(data, ~F.col("test"), 2000, 3000)
+    fitted = TR.TEXT_MODELS["linear_svm"]().fit(staged.filter(~F.col("test")))
+    return TR.accuracy(fitted.transform(staged.filter("test")).select("label", "prediction"))
+
+
+@query("leak_audit", "M-09 A-30")
+def leak_audit(t):
+    scored = pairs(t).select("pair_id", F.col("y").cast("double").alias("label"), "score", "n_words", F.col("quality").cast("double").alias("quality"),
+                             F.col("y").cast("double").alias("answer"), SP.seeded("pair_id", 3).substr(1, 1).isin("0", "1", "2", "3").alias("test"))
+    return TR.leak_audit(scored, {"length": ["n_words"], "density": ["score"], "quality": ["quality"], "answer": ["answer"]}, "label", "test")
+
+
+def study_parts(t):
+    features = pair_features(t).withColumn("fold", (F.col("user_id") % 5).cast("int"))
+    names = ["cosine", "overlap", "text_score"]
+    fitted = PM.fit_preprocessor(features.filter(F.col("fold") != 0), names, "age_days", ["has_age", "compared", "title_cut"], ["who", "when_", "provider"])
+    ready = TR.assemble(fitted.transform(features.withColumn("label", F.col("y").cast("double")), ["event_id", "user_id", "fold", "y", "label"]), fitted.features)
+    from evidence_spark.session import cut_lineage
+    weighted = cut_lineage(TR.balanced_weights(ready, "label"))
+    return weighted.filter(F.col("fold") != 0), weighted.filter(F.col("fold") == 0), fitted.features
+
+
+def fit_logistic(train, c=0.1):
+    total = train.agg(F.sum("weight")).first()[0]
+    return TR.logistic(c, total).fit(train)
+
+
+@query("feature_weights", "T-02 S-12")
+def feature_weights(t):
+    study, _, names = study_parts(t)
+    table = TR.export_linear(study.sparkSession, names, fit_logistic(study).coefficients)
+    return table.orderBy(F.desc(F.abs("coef")), "term").select("term", F.round("coef", 6).alias("coef"))
+
+
+@query("out_of_fold_stack", "M-15")
+def out_of_fold_stack(t):
+    study, _, _ = study_parts(t)
+    return TR.out_of_fold(study, [1, 2, 3, 4], "fold", fit_logistic, "event_id")
+
+
+@query("bake_off", "M-14")
+def bake_off(t):
+    study, held, _ = study_parts(t)
+    logistic = lambda s, h: TR.probability(fit_logistic(s).transform(h))
+    trees = lambda s, h: TR.probability(TR.train_gbt(s).transform(h))
+    rule = lambda s, h: h.withColumn("score", (F.col("event_id") % 10) / 10)
+    return TR.bake_off(study, held, {"ruler": logistic, "boosted_trees": trees, "id_rule": rule}, "y", 0.6, "ruler")
+
+
+@query("grid_search", "M-16")
+def grid_search(t):
+    from functools import reduce
+    study, held, _ = study_parts(t)
+    rows = []
+    for c in (0.003, 0.03, 0.1, 1.0):
+        scored = TR.probability(fit_logistic(study, c).transform(held))
+        rows.append(E.threshold_at_precision(scored, "y", "score", 0.6).withColumn("c", F.lit(c)))
+    grid = reduce(lambda a, b: a.unionByName(b), rows).withColumn("recall_per_10", F.round(10 * F.coalesce("recall", F.lit(0.0)), 2))
+    return TR.pick_config(grid, [0.1], ["c"], "recall_per_10")
+
+
+@query("shuffled_label_test", "M-10")
+def shuffled_label_test(t):
+    study, held, _ = study_parts(t)
+    dealt = TR.shuffled_labels(study.drop("y", "weight"), "label", "event_id", 17)
+    fake = fit_logistic(TR.balanced_weights(dealt, "label"))
+    real = E.average_precision(TR.probability(fit_logistic(study).transform(held)), "y", "score").withColumn("labels", F.lit("real"))
+    noise = E.average_precision(TR.probability(fake.transform(held)), "y", "score").withColumn("labels", F.lit("shuffled"))
+    alone = E.average_precision(held.join(pair_features(t).select("event_id", "cosine"), "event_id"), "y", "cosine").withColumn("labels", F.lit("similarity_alone"))
+    return real.unionByName(noise).unionByName(alone)
