@@ -56,14 +56,19 @@ def period_of(published, now, recent_days: int = 30) -> Column:
             .otherwise(F.lit("anterior")))
 
 
-def fact_date(text, published, months: dict[str, int] | None = None, coarse: bool = False) -> Column:
+def padded_fold(text) -> Column:
+    """Folded text between spaces: compute it as a column once, ``fact_date`` reads it many times."""
+    return F.concat(F.lit(" "), fold(text), F.lit(" "))
+
+
+def fact_date(folded, published, months: dict[str, int] | None = None, coarse: bool = False) -> Column:
     """Date of the fact cited in a text, resolved against the publication date: struct(day DATE, granularity).
 
     Order: day/month[/year]; weekday (last one on or before publication); relative words; month + year; and, when
-    ``coarse``, month alone or ``em <year>``.
+    ``coarse``, month alone or ``em <year>``. ``folded`` is a column made by ``padded_fold``.
     """
     months = months or MONTHS_PT
-    t = F.concat(F.lit(" "), fold(text), F.lit(" "))
+    t = _col(folded)
     pub = F.to_date(_col(published))
     names = "|".join(months)
     dm = r"(?<![0-9/])([0-9]{1,2})/([0-9]{1,2})(?:/([0-9]{2,4}))?(?![0-9/])"
@@ -79,7 +84,7 @@ def fact_date(text, published, months: dict[str, int] | None = None, coarse: boo
                 .when(t.rlike(" (hoje|nesta noite|nesta manha|nesta tarde) "), pub))
     my = r"(?<![a-z])(" + names + r") de ([0-9]{4})"
     mo = r"(?<![a-z])(?:em|de) (" + names + r")(?![a-z])(?! de [0-9]{4})"
-    month_of = lambda pattern: _month_number(F.regexp_extract(t, pattern, 1), months)
+    month_of = lambda pattern: _lookup(months, F.regexp_extract(t, pattern, 1))
     month_year = F.when(t.rlike(my), F.make_date(F.regexp_extract(t, my, 2).try_cast("int"), month_of(my), F.lit(1)))
     day_struct = lambda value, grain: F.when(value.isNotNull(), F.struct(value.alias("day"), F.lit(grain).alias("granularity")))
     options = [day_struct(explicit, "dia"), day_struct(by_weekday, "dia"), day_struct(relative, "dia"),
@@ -94,19 +99,14 @@ def fact_date(text, published, months: dict[str, int] | None = None, coarse: boo
     return F.coalesce(*options)
 
 
-def _month_number(name: Column, months: dict[str, int]) -> Column:
-    out = F.lit(None).cast("int")
-    for word, value in months.items():
-        out = F.when(name == word, F.lit(value)).otherwise(out)
-    return out
+def _lookup(values: dict[str, int], key: Column) -> Column:
+    return F.element_at(F.create_map(*[F.lit(v) for kv in values.items() for v in kv]), key)
 
 
 def _last_weekday(pub: Column, weekday: Column) -> Column:
     """Latest such weekday on or before ``pub``."""
-    target = F.lit(None).cast("int")
-    for i, name in enumerate(WEEKDAYS_PT, start=1):  # dayofweek: Sunday is 1
-        target = F.when(weekday == name, F.lit(i)).otherwise(target)
-    return F.date_add(pub, -F.pmod(F.dayofweek(pub) - target, F.lit(7)))
+    numbers = {name: i for i, name in enumerate(WEEKDAYS_PT, start=1)}  # dayofweek: Sunday is 1
+    return F.date_add(pub, -F.pmod(F.dayofweek(pub) - _lookup(numbers, weekday), F.lit(7)))
 
 
 def date_gap(a: Column, b: Column) -> Column:

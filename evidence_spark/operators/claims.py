@@ -602,7 +602,7 @@ def grounded(options: Column, allowed: Column) -> Column:
 
 def fact_dates(df: DataFrame, key: str, text: str, published: str, coarse: bool = True) -> DataFrame:
     """Date of the fact: cited in the text, or the publication date when none is."""
-    found = dates.fact_date(text, published, coarse=coarse)
-    out = df.select(key, found.alias("d"), F.to_date(published).alias("p"))
+    staged = df.select(key, dates.padded_fold(text).alias("_t"), published)
+    out = staged.select(key, dates.fact_date("_t", published, coarse=coarse).alias("d"), F.to_date(published).alias("p"))
     return out.select(key, F.coalesce("d.day", "p").alias("day"), F.coalesce("d.granularity", F.lit("dia")).alias("granularity"),
                       F.col("d").isNotNull().alias("explicit"))
