@@ -1,0 +1,63 @@
+"""Streaming queries and their batch twins."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from evidence_spark.plans.registry import query
+from evidence_spark.session import scratch_path
+from evidence_spark.streaming import jobs as ST
+
+DAILY = """select strftime(time_bucket(interval '1 day', ts),'%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as n, count(*) filter (where value > 100) as n_high,
+ round(sum(value)/count(*),6) as mean_value from events group by 1, 2"""
+
+
+@query("drift_watch_daily", "X-03", DAILY)
+def drift_watch_daily(t):
+    return ST.drift_watch(t.events, "ts", "event_type", "value")
+
+
+@query("drift_watch_sliding", "X-03", """
+with w as (select *, unnest(range(0,7)) as k from events), s as (select strftime(date_trunc('day', ts) - to_days(k::integer),'%Y-%m-%d %H:%M:%S') as start, event_type, value from w)
+select start, event_type, count(*) as n, count(*) filter (where value > 100) as n_high, round(sum(value)/count(*),6) as mean_value from s group by 1, 2""")
+def drift_watch_sliding(t):
+    return ST.drift_watch(t.events, "ts", "event_type", "value", "7 days", "1 day")
+
+
+@query("drift_watch_stream", "X-03", DAILY)
+def drift_watch_stream(t):
+    stream = ST.event_stream(t.spark, t.root, t.events.schema)
+    result = ST.drift_watch(stream, "ts", "event_type", "value", watermark="1 hour")
+    return ST.run_to_table(result, scratch_path(t.spark, "drift"), scratch_path(t.spark, "drift-state"))
+
+
+@query("fresh_keys", "X-01", """
+select event_id from (select event_id, epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id, event_type order by ts) as gap from events) where gap is null or gap > 6*3600*1000000""")
+def fresh_keys(t):
+    return ST.fresh_keys_batch(t.events, ["user_id", "event_type"], "ts", 6 * 3600).select("event_id")
+
+
+@query("fresh_keys_stream", "X-01")
+def fresh_keys_stream(t):
+    stream = ST.event_stream(t.spark, t.root, t.events.schema)
+    result = ST.fresh_keys(stream, ["user_id", "event_type"], "ts", "6 hours").select("event_id", "user_id", "event_type")
+    return ST.run_to_table(result, scratch_path(t.spark, "fresh"), scratch_path(t.spark, "fresh-state"), "append")
+
+
+@query("latest_request", "X-02", """
+select user_id, max(event_id) as event_id, arg_max(event_type, event_id) as event_type from events group by user_id""")
+def latest_request(t):
+    return ST.latest_request_batch(t.events, "user_id", "event_id", ["event_type"])
+
+
+@query("latest_request_stream", "X-02")
+def latest_request_stream(t):
+    stream = ST.event_stream(t.spark, t.root, t.events.schema)
+    marked = ST.latest_request(stream, "user_id", "event_id")
+    return ST.run_to_table(marked, scratch_path(t.spark, "latest"), scratch_path(t.spark, "latest-state"), "append")
+
+
+@query("preview_totals", "X-04", "select user_id, count(*) as n, max(value) as best, min(value) as worst from events group by user_id")
+def preview_totals(t):
+    stream = ST.event_stream(t.spark, t.root, t.events.schema)
+    return ST.run_to_table(ST.preview_totals(stream, "user_id", "value"), scratch_path(t.spark, "preview"), scratch_path(t.spark, "preview-state"))

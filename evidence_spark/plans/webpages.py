@@ -268,12 +268,12 @@ def _feed(t):
 
 @query("feed_candidates", "S-04 S-05 F-11", f"""
 select page_id::varchar as query, {_plain("regexp_extract(html,'(?is)<title[^>]*>([^<]*)</title>',1)")} as title, url, 'Outlet ' || (page_id % 7) as outlet,
-  'outlet' || (page_id % 7) || '.example.com' as domain, timestamp '2024-02-05 13:00:00' + to_minutes(page_id % 60) as published
+  'outlet' || (page_id % 7) || '.example.com' as domain, strftime(timestamp '2024-02-05 13:00:00' + to_minutes(page_id % 60),'%Y-%m-%d %H:%M:%S') as published
 from pages where page_id % 50 <> 7 and {_plain("regexp_extract(html,'(?is)<title[^>]*>([^<]*)</title>',1)")} <> ''""")
 def feed_candidates(t):
     items, _ = feeds.read_feed_items(_feed(t))
     found = feeds.feed_to_candidates(items, "google_news", 20)
-    return found.select("query", "title", "url", "outlet", "domain", "published")
+    return found.select("query", "title", "url", "outlet", "domain", F.date_format("published", "yyyy-MM-dd HH:mm:ss").alias("published"))
 
 
 @query("feed_quarantine", "S-04", "select page_id::varchar as query, 'doctype_or_entity' as reason from pages where page_id % 50 = 7")
@@ -311,8 +311,8 @@ def source_texts(t):
 
 
 @query("page_dates", "F-11 F-12", """
-select page_id, timestamp '2024-02-05 13:00:00' + to_minutes(page_id % 60) as rfc, timestamp '2024-02-05 08:30:00' as iso from pages""")
+select page_id, strftime(timestamp '2024-02-05 13:00:00' + to_minutes(page_id % 60),'%Y-%m-%d %H:%M:%S') as rfc, '2024-02-05 08:30:00' as iso from pages""")
 def page_dates(t):
     rfc = F.concat(F.lit("Mon, 05 Feb 2024 10:"), F.lpad((F.col("page_id") % 60).cast("string"), 2, "0"), F.lit(":00 -0300"))
-    return t.pages.select("page_id", dates.parse_timestamp(rfc).alias("rfc"),
-                          dates.parse_timestamp(F.lit("2024-02-05T10:30:00+02:00")).alias("iso"))
+    return t.pages.select("page_id", F.date_format(dates.parse_timestamp(rfc), "yyyy-MM-dd HH:mm:ss").alias("rfc"),
+                          F.date_format(dates.parse_timestamp(F.lit("2024-02-05T10:30:00+02:00")), "yyyy-MM-dd HH:mm:ss").alias("iso"))

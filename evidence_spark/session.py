@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,19 +38,26 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint for iterative jobs.
-
-    The folder is the shared one the cluster names in ``spark.checkpoint.dir``. Only where nothing is set (tests on one
-    machine) is a temporary folder used.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """Folder every executor sees: the one the cluster names in ``spark.checkpoint.dir``; a temporary one on one machine."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", "") or context.getConf().get("spark.checkpoint.dir", "")
-        if not shared:
+    current = context.getCheckpointDir()
+    if current is None:
+        current = spark.conf.get("spark.checkpoint.dir", "") or context.getConf().get("spark.checkpoint.dir", "")
+        if not current:
             if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder before running iterative jobs")
-            shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        context.setCheckpointDir(shared)
+                raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
+            current = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        context.setCheckpointDir(current)
+    return current
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path for one run under the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint: iterative and many-times-read frames survive lost executors without being computed again."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
