@@ -32,7 +32,7 @@ def drift_watch_stream(t):
 
 
 @query("fresh_keys", "X-01", """
-select event_id from (select event_id, epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id, event_type order by ts) as gap from events) where gap is null or gap > 6*3600*1000000""")
+select event_id from (select event_id, epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id, event_type order by ts) as gap from events) where gap is null or gap > 6*3600*1000000::bigint""")
 def fresh_keys(t):
     return ST.fresh_keys_batch(t.events, ["user_id", "event_type"], "ts", 6 * 3600).select("event_id")
 
@@ -40,7 +40,7 @@ def fresh_keys(t):
 @query("fresh_keys_stream", "X-01")
 def fresh_keys_stream(t):
     stream = ST.event_stream(t.spark, t.root, t.events.schema)
-    result = ST.fresh_keys(stream, ["user_id", "event_type"], "ts", "6 hours").select("event_id", "user_id", "event_type")
+    result = ST.fresh_keys(stream, ["user_id", "event_type"], "event_id", "ts", 6 * 3600)
     return ST.run_to_table(result, scratch_path(t.spark, "fresh"), scratch_path(t.spark, "fresh-state"), "append")
 
 

@@ -18,13 +18,40 @@ def event_stream(spark: SparkSession, root: str, schema, files_per_trigger: int
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))  # event time must carry a zone
 
 
-def fresh_keys(stream: DataFrame, keys: Sequence[str], ts: str, ttl: str) -> DataFrame:
-    """First arrival of a key; the same key within the time to live is skipped. State expires with the watermark."""
-    return stream.withWatermark(ts, ttl).dropDuplicatesWithinWatermark(list(keys))
+def fresh_keys(stream: DataFrame, keys: Sequence[str], row_id: str, ts: str, seconds: int) -> DataFrame:
+    """Rows that find no stored answer: the first of a key, then the first after each kept one has expired.
+
+    A skipped row does not refresh the stored one. State is one timestamp per key and leaves when the watermark passes its
+    expiry. A trigger's rows of one key are searched in order, jumping from kept row to kept row.
+    """
+    micros = seconds * 1_000_000
+    fields = {f.name: f.dataType.simpleString() for f in stream.schema}
+    out = ", ".join(f"{c} {fields[c]}" for c in [*keys, row_id])
+
+    def keep(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames)).sort_values(["_t", row_id])
+        times = rows["_t"].to_numpy()
+        last = state.get[0] if state.exists else None
+        at = 0 if last is None else int(times.searchsorted(last + micros, side="right"))
+        kept = []
+        while at < len(times):
+            kept.append(at)
+            last = int(times[at])
+            at = int(times.searchsorted(last + micros, side="right"))
+        state.update((last,))
+        state.setTimeoutTimestamp(max((last + micros) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield rows.iloc[kept][[*keys, row_id]]
+
+    marked = stream.withWatermark(ts, f"{seconds} seconds").withColumn("_t", F.unix_micros(ts))
+    return marked.select(*keys, row_id, ts, "_t").groupBy(*keys).applyInPandasWithState(
+        keep, out, "kept long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def fresh_keys_batch(df: DataFrame, keys: Sequence[str], ts: str, seconds: int) -> DataFrame:
-    """Rows with no row of the same key in the ``seconds`` before them.
+    """Refreshing variant on a table: rows with no row of the same key in the ``seconds`` before them.
 
     The look-back is a range frame over (key, time bucket); each row is also shown to the next bucket, so a hot key is
     spread over its timeline.
