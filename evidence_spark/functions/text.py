@@ -44,14 +44,17 @@ def fold(c) -> Column:
     return F.regexp_replace(F.translate(F.lower(F.coalesce(_col(c), F.lit(""))), FOLD_FROM, FOLD_TO), r"\p{M}+", "")
 
 
-def norm(c) -> Column:
-    """Folded letters and digits separated by single spaces; ``5,2`` and ``1.000`` stay one token, with a comma."""
-    kept = F.regexp_replace(fold(c), r"(?<=[0-9])[.,](?=[0-9])", "\u0001")
-    return F.trim(F.translate(F.regexp_replace(kept, "[^a-z0-9\u0001]+", " "), "\u0001", ","))
+TOKEN = "[a-z0-9]+(?:(?<=[0-9]),(?=[0-9])[a-z0-9]+)*"
 
 
 def tokens(c) -> Column:
-    return F.filter(F.split(norm(c), " "), lambda w: w != "")
+    """Folded runs of letters and digits; ``5,2`` and ``1.000`` stay one token, written with a comma."""
+    return F.regexp_extract_all(F.translate(fold(c), ".", ","), F.lit(TOKEN), F.lit(0))
+
+
+def norm(c) -> Column:
+    """Tokens joined by single spaces."""
+    return F.array_join(tokens(c), " ")
 
 
 def stem(word) -> Column:

@@ -420,11 +420,11 @@ RELATIVE_MAX_AGE_DAYS, REFERENCE_WINDOW_DAYS = 14, 21
 def prepare_candidates(candidates: DataFrame, lexicon: L.Lexicon) -> DataFrame:
     """Word arrays of each candidate, computed once before it meets the claims. Reads title, snippet; keeps the rest."""
     full = F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.coalesce("snippet", F.lit("")))
-    out = candidates.withColumn("c_text", full).withColumn("c_norm", X.norm("c_text")).withColumn("c_tokens", F.split("c_norm", " "))
-    out = out.withColumn("c_set", F.array_distinct("c_tokens")).withColumn("c_stems", X.stems_of_tokens(F.col("c_tokens")))
-    out = out.withColumn("c_acronyms", acronyms_of(entities("c_text", lexicon), lexicon.connectors))
-    out = out.withColumn("c_numbers", N.numbers_in("c_text")).withColumn("t_norm", X.norm("title"))
-    return out.withColumn("t_tokens", F.split("t_norm", " ")).withColumn("t_stems", X.stems_of_tokens(F.col("t_tokens")))
+    out = candidates.withColumn("c_text", full)
+    out = out.withColumns({"c_tokens": X.tokens("c_text"), "t_tokens": X.tokens("title"), "c_numbers": N.numbers_in("c_text")})
+    return out.withColumns({
+        "c_norm": F.array_join("c_tokens", " "), "c_set": F.array_distinct("c_tokens"), "c_stems": X.stems_of_tokens(F.col("c_tokens")),
+        "t_norm": F.array_join("t_tokens", " "), "t_stems": X.stems_of_tokens(F.col("t_tokens"))})
 
 
 def months_in(tokens: Column, lexicon: L.Lexicon) -> Column:
@@ -438,34 +438,35 @@ def assess(pairs: DataFrame, now: Column, lexicon: L.Lexicon = L.PT) -> DataFram
     disambiguation).
     """
     none = F.array().cast("array<string>")
-    p = pairs.withColumn("ents", F.slice("entities", 1, 4)).withColumn("tms", F.slice("terms", 1, 5))
+    p = pairs.withColumns({"ents": F.slice("entities", 1, 4), "tms": F.slice("terms", 1, 5)})
+    # Only an all-capital name can meet an acronym, so the source's acronyms are read for such claims alone.
+    capital = F.exists("ents", lambda e: e.rlike(r"^\p{Lu}{2,}$"))
+    claim_months, cand_months = months_in(X.tokens("main"), lexicon), months_in(F.col("c_tokens"), lexicon)
+    p = p.withColumns({
+        "c_acronyms": F.when(capital, acronyms_of(entities("c_text", lexicon), lexicon.connectors)).otherwise(none),
+        "term_hits": F.filter("tms", lambda w: F.array_contains("c_stems", X.stem(w))), "core": F.slice("tms", 1, 2),
+        "num_hits": F.array_intersect("numbers", "c_numbers"), "month_hit": F.arrays_overlap(claim_months, cand_months),
+        "other_month": (F.size(claim_months) > 0) & ~F.arrays_overlap(claim_months, cand_months) & (F.size(cand_months) > 0)})
     match = lambda e, n, s: entity_match(e, n, s, F.col("c_acronyms"), lexicon.connectors)
-    p = p.withColumn("ent_hits", F.filter("ents", lambda e: match(e, F.col("c_norm"), F.col("c_set"))))
-    p = p.withColumn("term_hits", F.filter("tms", lambda w: F.array_contains("c_stems", X.stem(w))))
-    p = p.withColumn("core", F.slice("tms", 1, 2))
-    p = p.withColumn("core_hit", (F.size("core") == 2) & (F.size(F.array_except("core", "term_hits")) == 0))
-    p = p.withColumn("num_hits", F.array_intersect("numbers", "c_numbers"))
+    p = p.withColumns({
+        "ent_hits": F.filter("ents", lambda e: match(e, F.col("c_norm"), F.col("c_set"))),
+        "core_hit": (F.size("core") == 2) & (F.size(F.array_except("core", "term_hits")) == 0),
+        "title_hits": F.size(F.filter("ents", lambda e: match(e, F.col("t_norm"), F.col("t_tokens")))) + F.size(
+            F.filter("tms", lambda w: F.array_contains("t_stems", X.stem(w)))),
+        "near_neg": K.negated_near(F.col("c_tokens"), lexicon.negations, F.transform("core", X.stem))})
     ne, nt = F.size("ents"), F.size("tms")
     eh, th = F.size("ent_hits"), F.size("term_hits")
-    p = p.withColumn("ent_cov", F.when(ne > 0, eh / ne).otherwise(F.lit(1.0))).withColumn(
-        "term_cov", F.when(nt > 0, th / nt).otherwise(F.lit(0.0)))
     rank = F.element_at(F.create_map(*[F.lit(v) for kv in CONTENT_RANK.items() for v in kv]), F.col("content_kind"))
-    p = p.withColumn("score", F.round(0.5 * F.col("ent_cov") + 0.5 * F.col("term_cov") + 0.1 * F.size("num_hits") + 0.02 * rank, 3))
     stable = F.col("claim_type").isin("contagem", "quantidade_periodo", "fato_historico")
     need = F.when(ne == 0, F.when(nt <= 3, nt).otherwise(F.floor((2 * nt + 2) / 3))).otherwise(F.when(nt <= 1, 1).otherwise(2))
     need = F.when(F.col("quantity").isNull() & ~stable & (nt >= 4), F.greatest(need, F.floor((nt * 3 + 4) / 5))).otherwise(need)
-    p = p.withColumn("need", need.cast("int"))
     num_detail = (F.size("num_hits") > 0) & ((F.size("num_hits") == F.size("numbers")) | F.exists("num_hits", lambda n: F.length(n) >= 2))
-    claim_months, cand_months = months_in(X.tokens("main"), lexicon), months_in(F.col("c_tokens"), lexicon)
-    p = p.withColumn("month_hit", F.arrays_overlap(claim_months, cand_months))
-    p = p.withColumn("other_month", (F.size(claim_months) > 0) & ~F.col("month_hit") & (F.size(cand_months) > 0))
-    p = p.withColumn("detail_hits", th + num_detail.cast("int") + F.col("month_hit").cast("int"))
+    p = p.withColumns({
+        "ent_cov": F.when(ne > 0, eh / ne).otherwise(F.lit(1.0)), "term_cov": F.when(nt > 0, th / nt).otherwise(F.lit(0.0)),
+        "need": need.cast("int"), "detail_hits": th + num_detail.cast("int") + F.col("month_hit").cast("int")})
     full_ents = (ne == 0) | (F.col("ent_cov") == 1.0)
     dh = F.col("detail_hits")
     direct = (full_ents & (dh >= F.col("need"))) | ((F.col("ent_cov") >= 0.5) & (dh >= F.col("need") + 1))
-    title_hits = F.size(F.filter("ents", lambda e: match(e, F.col("t_norm"), F.col("t_tokens")))) + F.size(
-        F.filter("tms", lambda w: F.array_contains("t_stems", X.stem(w))))
-    p = p.withColumn("title_hits", title_hits)
     first = (F.when(F.col("origin") == "wikipedia",
                     F.when(F.col("disambiguation"), F.lit("descartado")).when(~stable & (th < 2), F.lit("descartado"))
                     .when((eh > 0) | (th > 0), F.lit("contexto")).otherwise(F.lit("descartado")))
@@ -477,8 +478,8 @@ def assess(pairs: DataFrame, now: Column, lexicon: L.Lexicon = L.PT) -> DataFram
              .when((eh > 0) & (dh > 0), F.lit("descartado")).when((ne == 0) & (th >= 2) & (F.col("term_cov") >= 0.5), F.lit("contexto"))
              .when((ne > 0) & (eh == 0) & (((th >= F.col("need")) & (F.col("term_cov") >= 0.6)) | F.col("core_hit")), F.lit("contexto"))
              .otherwise(F.lit("descartado")))
-    p = p.withColumn("triage", first).withColumn(
-        "near_neg", K.negated_near(F.col("c_tokens"), lexicon.negations, F.transform("core", X.stem)))
+    score = F.round(0.5 * F.col("ent_cov") + 0.5 * F.col("term_cov") + 0.1 * F.size("num_hits") + 0.02 * rank, 3)
+    p = p.withColumns({"triage": first, "score": score})
     pub, age = F.col("published"), F.datediff(now, F.col("published"))
     cited_year = F.exists("years", lambda y: F.contains(F.col("c_norm"), y.cast("string")))
     reference = F.col("reference_date") if "reference_date" in pairs.columns else F.lit(None).cast("timestamp")
@@ -498,8 +499,8 @@ def assess(pairs: DataFrame, now: Column, lexicon: L.Lexicon = L.PT) -> DataFram
         F.when((F.size("numbers") > 0) & (F.size("num_hits") == 0) & (F.size(plain_numbers) > 0) & (F.col("category") != "contexto"),
                F.lit("other_numbers")),
         F.when((eh < ne) & (F.col("category") == "direto"), F.lit("missing_names"))), lambda a: a.isNotNull())
-    p = p.withColumn("alerts", F.coalesce(alerts, none))
-    return p.withColumn("strong", (F.col("category") == "direto") & full_ents & (((ne > 0) & F.col("core_hit")) | (dh >= F.col("need") + 1)))
+    strong = (F.col("category") == "direto") & full_ents & (((ne > 0) & F.col("core_hit")) | (dh >= F.col("need") + 1))
+    return p.withColumns({"alerts": F.coalesce(alerts, none), "strong": strong})
 
 
 def category_rank(c) -> Column:

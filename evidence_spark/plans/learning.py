@@ -14,6 +14,7 @@ from evidence_spark.operators.ranking import exact_quantiles
 from evidence_spark.plans import sqltext as S
 from evidence_spark.plans.pairs import pairs
 from evidence_spark.plans.registry import query
+from evidence_spark.session import cut_lineage
 
 FEATURES = 3000
 
@@ -23,7 +24,10 @@ def words(t):
 
 
 def counts(t):
-    return TI.term_counts(words(t), "doc_id", "w")
+    """Term counts feed the vocabulary, the model and the scores: opened and counted once per query."""
+    if "counts" not in t.__dict__:
+        t.counts = cut_lineage(TI.term_counts(words(t), "doc_id", "w"))
+    return t.counts
 
 
 def n_docs(t):
@@ -31,7 +35,9 @@ def n_docs(t):
 
 
 def vocabulary(t):
-    return TI.tfidf_fit(counts(t), n_docs(t), 2, 0.9, FEATURES)
+    if "vocabulary" not in t.__dict__:
+        t.vocabulary = cut_lineage(TI.tfidf_fit(counts(t), n_docs(t), 2, 0.9, FEATURES))
+    return t.vocabulary
 
 
 TFIDF = f"""with tk as (select doc_id, len({S.split_words('text')}) as n_words, {S.tokens('text')} as w from documents),
