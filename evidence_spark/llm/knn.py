@@ -146,7 +146,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "ve
     left = (queries.withColumnRenamed("cell", "q_cell").join(route, ["dims", "q_cell"])
             .withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("parts")))
             .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select("dims", F.col("d_cell").alias("cell"), "block", "part", "vec_id", "v"))
+            .select(F.col("dims").alias("q_dims"), F.col("d_cell").alias("q_cell"), F.col("block").alias("q_block"), F.col("part").alias("q_part"),
+                    F.col("vec_id").alias("query_id"), F.col("v").alias("q")))
     right = (cells.join(placed, ["dims", "cell"]).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.col("blocks")).cast("int"))
              .withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts").cast("bigint") - 1)))
              .select("dims", "cell", "block", "part", "vec_id", "v"))
@@ -158,7 +159,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "ve
         ids = rows.column("vec_id").to_numpy()
         order = np.argsort(ids, kind="stable")
         ids, x = ids[order], _matrix(rows.column("v"))[order]
-        own, q = asks.column("vec_id").to_numpy(), _matrix(asks.column("v"))
+        own, q = asks.column("query_id").to_numpy(), _matrix(asks.column("q"))
         found: tuple[list, list, list] = ([], [], [])
         for begin in range(0, len(own), 256):
             mine = own[begin:begin + 256]
@@ -177,6 +178,6 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "ve
         return pa.table({c: pa.array(v, t) for (c, t), v in zip(kinds.items(), found)})
 
     keys = ["dims", "cell", "block", "part"]
-    local = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(solve, "query_id bigint, vec_id bigint, score bigint")
+    local = left.groupBy(*[f"q_{c}" for c in keys]).cogroup(right.groupBy(*keys)).applyInArrow(solve, "query_id bigint, vec_id bigint, score bigint")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return local.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidence_spark.llm import knn, pack, quality, urlfilter
+from evidence_spark.llm import knn, minhash, pack, quality, urlfilter
 from evidence_spark.llm.common import table
 from evidence_spark.llm.oracles import SQL
 
@@ -20,6 +20,10 @@ def tokenizer_path(name: str = TOKENIZER_FILE) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Settings(shingle=3, percent=85))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -37,5 +41,5 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_rules, op5_best_fit_packing, op9_url_filter, op10_exact_top_k)}
+    f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_rules, op5_best_fit_packing, op9_url_filter, op10_exact_top_k)}
 ORACLE_SQL = SQL
