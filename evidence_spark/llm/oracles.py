@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from evidence_spark.llm.shards import BITS, BYTE_LIMIT
 from evidence_spark.llm.urlfilter import PATTERN_RULES, SITE_RULES
 
 
@@ -45,4 +46,12 @@ reach(node, seen) AS (SELECT doc_id, doc_id FROM sets UNION SELECT r.node, e.b F
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.seen) AS component_id, s.doc_id = min(r.seen) AS kept
 FROM sets s JOIN reach r ON s.doc_id = r.node GROUP BY s.doc_id, s.s"""
 
-SQL: dict[str, str] = {"op1_minhash_near_dedup": NEAR_DUPLICATES, "op9_url_filter": _url_rules(), "op10_exact_top_k": TOP_K}
+EXTENDIBLE = f"""
+WITH keys AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes,
+       ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS bits FROM documents),
+levels AS (SELECT k.*, d.depth::INT AS depth, bits >> ({BITS} - d.depth)::INT AS bucket FROM keys k, range(0, {BITS} + 1) d(depth)),
+fits AS (SELECT depth, bucket FROM levels GROUP BY 1, 2 HAVING sum(n_bytes) <= {BYTE_LIMIT} OR count(*) = 1)
+SELECT doc_id, n_bytes, depth, bucket, 0::BIGINT AS part FROM levels JOIN fits USING (depth, bucket)
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY depth) = 1"""
+
+SQL: dict[str, str] = {"op1_minhash_near_dedup": NEAR_DUPLICATES, "op4_extendible_sharding": EXTENDIBLE, "op9_url_filter": _url_rules(), "op10_exact_top_k": TOP_K}

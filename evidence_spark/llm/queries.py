@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidence_spark.llm import knn, minhash, pack, quality, urlfilter
+from evidence_spark.llm import knn, minhash, pack, quality, shards, urlfilter, webtext
 from evidence_spark.llm.common import table
 from evidence_spark.llm.oracles import SQL
 
@@ -28,10 +28,18 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op4_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.assign(table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(pack.token_pieces(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webtext.main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
@@ -41,5 +49,5 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_rules, op5_best_fit_packing, op9_url_filter, op10_exact_top_k)}
+    f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_rules, op4_extendible_sharding, op5_best_fit_packing, op6_html_extraction, op9_url_filter, op10_exact_top_k)}
 ORACLE_SQL = SQL
