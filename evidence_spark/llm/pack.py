@@ -12,9 +12,11 @@ open; so the waste of many small groups does not remain. No group grows with the
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -28,36 +30,82 @@ GROUP_ROWS = 2048
 FULL = 0.999
 ROUNDS = 3
 MAX_CACHED_CHUNKS = 300_000
+JOINED = 500
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-# White space to the tokenizer's normaliser as well as to Python: cutting there never changes its ids.
+# str.split() also cuts at these, which are no white space to the tokenizer.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 _BLANKS = re.compile(r"[\t\n\r ]+")
 
 
-class ChunkIds(dict):
-    """Little-endian uint32 ids of blank-free chunks, by the given tokenizer; emptied when full."""
+def blank_free(text: str) -> list[str]:
+    """Chunks between white space. The tokenizer drops white space and never joins over it, so chunks are encoded alone."""
+    if any(c in text for c in SEPARATORS):
+        return [c for c in _BLANKS.split(text) if c]
+    return text.split()
+
+
+class ChunkIds:
+    """Little-endian uint32 ids of blank-free chunks, by the given tokenizer; emptied when full.
+
+    A word of letters is one unit to the tokenizer, and so is a stop behind it: new words are encoded ``JOINED`` at a time,
+    in lower case, and cut at the tokens that end a word. Any other chunk, and any batch whose word ends do not add up, is
+    encoded chunk by chunk. A capital sigma has two lower-case forms, so its words are encoded as they are.
+    """
 
     def __init__(self, tokenizer_path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.stops = {c: self._alone([c])[0] for c in ".,"}
+
+    def _alone(self, chunks: list[str]) -> list[bytes]:
+        return [np.array(code.ids, "<u4").tobytes() for code in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        for begin in range(0, len(words), JOINED):
+            part = words[begin:begin + JOINED]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(part):
+                data, at = ids.tobytes(), 0
+                for word, cut in zip(part, cuts.tolist()):
+                    self.words[word] = data[at:4 * cut]
+                    at = 4 * cut
+            else:
+                self.words.update(zip(part, self._alone(part)))
 
     def fill(self, chunks: set[str]) -> None:
-        new = [c for c in chunks if c not in self]
-        if len(self) + len(new) > MAX_CACHED_CHUNKS:
-            self.clear()
-            new = list(chunks)
-        for begin in range(0, len(new), 10_000):
-            part = new[begin:begin + 10_000]
-            for chunk, code in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self[chunk] = np.array(code.ids, "<u4").tobytes()
-
-
-def token_bytes(text: str, ids: ChunkIds, end_id: int) -> bytes:
+        """Makes ``known`` hold every chunk."""
+        new = chunks.difference(self.known)
+        if len(self.known) + len(new) > MAX_CACHED_CHUNKS:
+            self.known.clear()
+            new = chunks
+        split, odd = [], []
+        for chunk in new:
+            stop = chunk[-1] if chunk[-1] in self.stops else ""
+            word = (chunk[:-1] if stop else chunk).lower()
+            (split if word.isalpha() and "Σ" not in chunk and is_normalized("NFC", chunk) else odd).append((chunk, word, stop))
+        wanted = {word for _, word, _ in split}
+        if len(self.words) + len(wanted) > MAX_CACHED_CHUNKS:
+            self.words.clear()
+        self._learn([w for w in wanted if w not in self.words])
+        for chunk, word, stop in split:
+            self.known[chunk] = self.words[word] + self.stops[stop] if stop else self.words[word]
+        for begin in range(0, len(odd), 10_000):
+            part = [chunk for chunk, _, _ in odd[begin:begin + 10_000]]
+            self.known.update(zip(part, self._alone(part)))
+
+
+def token_bytes(chunks: list[str], ids: ChunkIds, end_id: int) -> bytes:
     """Ids of the whole text and then ``end_id``, as little-endian unsigned 32-bit words."""
-    chunks = [c for c in _BLANKS.split(text) if c]
     ids.fill(set(chunks))
-    return b"".join([ids[c] for c in chunks]) + np.array([end_id], "<u4").tobytes()
+    return b"".join([ids.known[c] for c in chunks]) + np.array([end_id], "<u4").tobytes()
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
@@ -68,7 +116,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = token_bytes(text or "", ids, end_id)
+                data = token_bytes(blank_free(text or ""), ids, end_id)
                 for piece, begin in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[begin:begin + 4 * capacity]
                     rows.append((doc_id, piece, begin // 4, len(part) // 4, zlib.crc32(part)))
