@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidence_spark.llm import knn, minhash, pack, quality, shards, urlfilter, webtext
+from evidence_spark.llm import knn, minhash, pack, pii, quality, shards, urlfilter, webtext
 from evidence_spark.llm.common import table
 from evidence_spark.llm.oracles import SQL
 
@@ -28,6 +28,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op3_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op4_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign(table(spark, sf_dir, "documents"))
 
@@ -49,5 +53,5 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_rules, op4_extendible_sharding, op5_best_fit_packing, op6_html_extraction, op9_url_filter, op10_exact_top_k)}
+    f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_rules, op3_contextual_pii, op4_extendible_sharding, op5_best_fit_packing, op6_html_extraction, op9_url_filter, op10_exact_top_k)}
 ORACLE_SQL = SQL
