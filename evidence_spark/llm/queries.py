@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidence_spark.llm import knn, minhash, pack, pii, quality, shards, urlfilter, webtext
+from evidence_spark.llm import knn, minhash, pack, passages, pii, quality, shards, urlfilter, webtext
 from evidence_spark.llm.common import table
 from evidence_spark.llm.oracles import SQL
 
@@ -44,6 +44,10 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webtext.main_text(table(spark, sf_dir, "pages"))
 
 
+def op7_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
@@ -53,5 +57,5 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_rules, op3_contextual_pii, op4_extendible_sharding, op5_best_fit_packing, op6_html_extraction, op9_url_filter, op10_exact_top_k)}
+    f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_rules, op3_contextual_pii, op4_extendible_sharding, op5_best_fit_packing, op6_html_extraction, op7_compact_windows, op9_url_filter, op10_exact_top_k)}
 ORACLE_SQL = SQL
