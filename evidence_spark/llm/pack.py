@@ -15,7 +15,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from unicodedata import is_normalized
 
 import numpy as np
@@ -29,8 +29,10 @@ CAPACITY = 4096
 GROUP_ROWS = 2048
 FULL = 0.999
 ROUNDS = 3
-MAX_CACHED_CHUNKS = 300_000
+MAX_CACHED_CHUNKS = 500_000
 JOINED = 500
+AT_ONCE = 100_000  # chunks of a group of documents looked up together
+STOPS = ".,;:!?#*$%&"
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 # str.split() also cuts at these, which are no white space to the tokenizer.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
@@ -47,9 +49,9 @@ def blank_free(text: str) -> list[str]:
 class ChunkIds:
     """Little-endian uint32 ids of blank-free chunks, by the given tokenizer; emptied when full.
 
-    A word of letters is one unit to the tokenizer, and so is a stop behind it: new words are encoded ``JOINED`` at a time,
-    in lower case, and cut at the tokens that end a word. Any other chunk, and any batch whose word ends do not add up, is
-    encoded chunk by chunk. A capital sigma has two lower-case forms, so its words are encoded as they are.
+    A word of letters is one unit to the tokenizer, and so is a run of ``STOPS`` behind it: new words are encoded ``JOINED``
+    at a time, in lower case, and cut at the tokens that end a word. Any other chunk, and any batch whose word ends do not
+    add up, is encoded chunk by chunk.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -62,7 +64,7 @@ class ChunkIds:
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
-        self.stops = {c: self._alone([c])[0] for c in ".,"}
+        self.stops: dict[str, bytes] = {}
 
     def _alone(self, chunks: list[str]) -> list[bytes]:
         return [np.array(code.ids, "<u4").tobytes() for code in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
@@ -82,30 +84,53 @@ class ChunkIds:
 
     def fill(self, chunks: set[str]) -> None:
         """Makes ``known`` hold every chunk."""
-        new = chunks.difference(self.known)
+        new = list(chunks.difference(self.known))
         if len(self.known) + len(new) > MAX_CACHED_CHUNKS:
             self.known.clear()
-            new = chunks
-        split, odd = [], []
-        for chunk in new:
-            stop = chunk[-1] if chunk[-1] in self.stops else ""
-            word = (chunk[:-1] if stop else chunk).lower()
-            (split if word.isalpha() and "Σ" not in chunk and is_normalized("NFC", chunk) else odd).append((chunk, word, stop))
-        wanted = {word for _, word, _ in split}
+            new = list(chunks)
+        # A capital sigma has two lower-case forms, and characters that NFC changes may not stay letters.
+        everything = " ".join(new)
+        fine = "Σ" not in everything and is_normalized("NFC", everything)
+        bare = [c.rstrip(STOPS) if fine or ("Σ" not in c and is_normalized("NFC", c)) else "" for c in new]
+        lower = [w.lower() for w in bare]
+        stop = [c[len(w):] for c, w in zip(new, bare)]
+        wanted = set(lower)
         if len(self.words) + len(wanted) > MAX_CACHED_CHUNKS:
             self.words.clear()
-        self._learn([w for w in wanted if w not in self.words])
-        for chunk, word, stop in split:
-            self.known[chunk] = self.words[word] + self.stops[stop] if stop else self.words[word]
+        self._learn([w for w in wanted.difference(self.words) if w.isalpha()])
+        words = self.words
+        plain = {s for s, w in zip(stop, lower) if w in words}
+        if len(self.stops) > MAX_CACHED_CHUNKS:
+            self.stops.clear()
+        unknown = list(plain.difference(self.stops))
+        self.stops.update(zip(unknown, self._alone(unknown)))
+        stops = self.stops
+        self.known.update([(c, words[w] + stops[s]) for c, w, s in zip(new, lower, stop) if w in words])
+        odd = [c for c, w in zip(new, lower) if w not in words]
         for begin in range(0, len(odd), 10_000):
-            part = [chunk for chunk, _, _ in odd[begin:begin + 10_000]]
+            part = odd[begin:begin + 10_000]
             self.known.update(zip(part, self._alone(part)))
 
 
-def token_bytes(chunks: list[str], ids: ChunkIds, end_id: int) -> bytes:
-    """Ids of the whole text and then ``end_id``, as little-endian unsigned 32-bit words."""
-    ids.fill(set(chunks))
-    return b"".join([ids.known[c] for c in chunks]) + np.array([end_id], "<u4").tobytes()
+def token_bytes(texts: Iterable[str], ids: ChunkIds, end_id: int) -> Iterator[bytes]:
+    """For each text its ids, whole, and then ``end_id``, as little-endian unsigned 32-bit words."""
+    end = np.array([end_id], "<u4").tobytes()
+
+    def encoded(group: list[list[str]]) -> Iterator[bytes]:
+        ids.fill(set().union(*group))
+        find = ids.known.__getitem__
+        for chunks in group:
+            yield b"".join(map(find, chunks)) + end
+
+    group, held = [], 0
+    for text in texts:
+        chunks = blank_free(text)
+        group.append(chunks)
+        held += len(chunks)
+        if held >= AT_ONCE:
+            yield from encoded(group)
+            group, held = [], 0
+    yield from encoded(group)
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
@@ -115,8 +140,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity
         ids = ChunkIds(tokenizer_path)
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = token_bytes(blank_free(text or ""), ids, end_id)
+            texts = (t or "" for t in batch.column(1).to_pylist())
+            for doc_id, data in zip(batch.column(0).to_pylist(), token_bytes(texts, ids, end_id)):
                 for piece, begin in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[begin:begin + 4 * capacity]
                     rows.append((doc_id, piece, begin // 4, len(part) // 4, zlib.crc32(part)))
