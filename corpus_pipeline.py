@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from evidence_spark.llm import pipeline as stages
 from evidence_spark.llm.common import stored, table
 
-STAGES = [("quality rules", stages.quality_stage)]
-# SQL can express neither the learned contexts nor the packing: tests/llm holds the stages against brute force.
+STAGES = [("quality rules", stages.quality_stage), ("near-dedup", stages.near_dedup_stage), ("substring dedup", stages.substring_stage),
+          ("personal data", stages.pii_stage), ("packing", stages.packing_stage)]
+# SQL can express neither the tokenizer nor the packing: tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 

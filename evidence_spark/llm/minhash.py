@@ -2,7 +2,8 @@
 
 Tensored banding: two collections of m half-keys, each made of t min-hashes. Every pair (i, j) of half-keys is a table
 key, so m^2 tables of 2t hashes cost 2mt min-hashes instead of 2tm^2. Two sets of similarity s meet in a table unless one
-collection misses altogether: with m = 11 and t = 4 a pair at 0.85 is met with probability (1 - (1 - 0.85^4)^11)^2 = 0.9994.
+collection misses altogether: with m = 11 a pair at 0.85 is met with probability (1 - (1 - 0.85^4)^11)^2 = 0.9994 under t = 4, and a
+pair at 0.80 with (1 - (1 - 0.80^3)^11)^2 = 0.9993 under t = 3.
 
 Steps, and what keeps each one bounded:
 
@@ -11,7 +12,7 @@ Steps, and what keeps each one bounded:
 2. Table keys of the remaining sets; keys held by one set go. Only (key, id) moves.
 3. Stars: in each bucket the member that shares most keys with others over all tables (the centre of a family of edited
    copies, usually its source) is compared with the rest: as many pairs as members, never all pairs.
-4. Signatures screen the pairs (``screen`` is four standard deviations under the threshold), full sets decide. Components.
+4. Signatures screen the pairs (four standard deviations under the threshold), full sets decide. Components.
 5. What is left open: members of one bucket in different components. They meet again grouped by half-key, in blocks of at
    most ``block`` members, with their sets; each pair is judged once, in the task, and only links come out. So no link is
    lost when the centre was not close enough to two members that are close to each other. Pairs inside one component are
@@ -43,14 +44,19 @@ class Settings:
     shingle: int = 5
     percent: int = 80
     halves: int = 11  # m; at most 16
-    width: int = 4  # t
-    screen: float = 0.15  # below the threshold
+    width: int = 3  # t
     block: int = 1024
 
     @property
     def hashes(self) -> int:
         return 2 * self.halves * self.width
 
+    @property
+    def screen(self) -> float:
+        """Equal min-hashes that a pair at the threshold reaches but for four standard deviations."""
+        p = self.percent / 100
+        return self.hashes * p - 4 * (self.hashes * p * (1 - p)) ** 0.5
+
 
 def shingle_set(data: bytes, width: int, cache: WordHashes) -> np.ndarray:
     """Sorted distinct shingle hashes of a text with A-Z lower-cased; empty without words."""
@@ -131,7 +137,7 @@ def table_keys(sets: DataFrame, s: Settings) -> DataFrame:
 
 def _screened(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     """Pairs (a, b) whose signatures agree often enough to be near the threshold."""
-    least = (s.percent / 100 - s.screen) * s.hashes
+    least = s.screen
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,7 +166,7 @@ def _confirmed(pairs: DataFrame, items: DataFrame, s: Settings) -> DataFrame:
 
 def _block_links(s: Settings):
     """Links between members of one half-key block that have different roots; each pair only under its first shared half."""
-    least = (s.percent / 100 - s.screen) * s.hashes
+    least = s.screen
 
     def solve(rows: pa.Table) -> pa.Table:
         ids, roots = rows.column("id").to_numpy(), rows.column("root").to_numpy()

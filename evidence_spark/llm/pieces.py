@@ -1,6 +1,7 @@
 """SentencePiece encoding and decoding by a batched Viterbi in numpy.
 
-Text falls into units (blanks and what follows them) over which no piece reaches. New units of one length advance
+Text falls into units (blanks and what follows them) over which no piece reaches, and these are cut where no piece
+holds the two characters side by side. New units of one length advance
 together: at each end position the hashes of the last 1 to 16 characters are looked up in the sorted hashes of all pieces,
 and the maximum over the admissible ones stores piece and backpointer.
 
@@ -62,11 +63,14 @@ class Pieces:
                          for t, _, kind in rows]
         self.unknown = len(rows)  # a character that is no piece
         self.longest = max(map(len, self.id_of))
+        # Neighbouring characters found inside a piece. Nothing merges over any other pair, so units are cut there.
+        self.touching = {t[i:i + 2] for t in self.id_of for i in range(len(t) - 1)}
         self.powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(self.longest, _BASE)]))
         hashes = np.array([self._hash(t) for t in self.id_of], np.uint64)
         order = np.argsort(hashes)
         self.hashes, self.ids = hashes[order], np.array(list(self.id_of.values()), np.int64)[order]
         self.units: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
         self.edges: dict[int, tuple] = {}
 
@@ -135,12 +139,11 @@ class Pieces:
         codes, back = np.unique(before * (self.unknown + 1) + piece, return_inverse=True)
         if len(self.pairs) > MAX_PAIRS:
             self.pairs.clear()
-        out = []
-        for code in codes.tolist():
-            known = self.pairs.get(code)
+        codes = codes.tolist()
+        out = list(map(self.pairs.get, codes))
+        for i, known in enumerate(out):
             if known is None:
-                known = self.pairs[code] = self.beside(*divmod(code, self.unknown + 1))
-            out.append(known)
+                out[i] = self.pairs[codes[i]] = self.beside(*divmod(codes[i], self.unknown + 1))
         return np.array(out, bool)[back]
 
     def viterbi(self, units: list[str]) -> list[bytes]:
@@ -152,26 +155,26 @@ class Pieces:
             prefix[i + 1] = prefix[i] * _BASE + (codes[i] + np.uint64(1))
         last, back = np.full((size + 1, n), -1, np.int64), np.zeros((size + 1, n), np.int64)
         for end in range(1, size + 1):
+            tries: list[tuple] = []
             for length in range(1, min(self.longest, end) + 1):
                 keys = self._probe(prefix[end] - prefix[end - length] * self.powers[length], length)
                 at = np.minimum(np.searchsorted(self.hashes, keys), len(self.hashes) - 1)
-                piece = np.where(self.hashes[at] == keys, self.ids[at], -1)
-                if length == 1:
-                    piece[piece < 0] = self.unknown
-                rows = np.flatnonzero((piece >= 0) & ((end == length) | (last[end - length] >= 0)))
-                if not len(rows):
-                    continue
-                piece = piece[rows]
-                before = last[end - length, rows] if end > length else np.full(len(rows), self.unknown)
-                good = rows[ok] if (ok := self._allowed(before, piece)).any() else rows[:0]
-                last[end, good], back[end, good] = piece[ok], length
+                hit = self.hashes[at] == keys
+                rows = np.arange(n) if length == 1 else np.flatnonzero(hit)
+                if len(rows):
+                    piece = np.where(hit, self.ids[at], self.unknown)[rows]
+                    before = last[end - length, rows] if end > length else np.full(len(rows), self.unknown)
+                    tries.append((rows, before, piece, np.full(len(rows), length)))
+            rows, before, piece, length = (np.concatenate(x) for x in zip(*tries))
+            good = self._allowed(before, piece)
+            last[end, rows[good]], back[end, rows[good]] = piece[good], length[good]
+        if (last[1:] < 0).any():
+            raise ValueError("a unit has no path")
         # Walk the backpointers of all units together.
         out = np.zeros((size, n), np.int64)
         used, at = np.zeros(n, np.int64), np.full(n, size)
         while (at > 0).any():
             live = np.flatnonzero(at > 0)
-            if (back[at[live], live] == 0).any():
-                raise ValueError("a unit has no path")
             out[used[live], live] = last[at[live], live]
             at[live] -= back[at[live], live]
             used[live] += 1
@@ -188,22 +191,33 @@ class Pieces:
             found.append(ids.astype("<u4").tobytes())
         return found
 
+    def _cut(self, unit: str) -> list[str]:
+        ends = [i for i in range(1, len(unit)) if unit[i - 1:i + 1] not in self.touching]
+        return [unit[a:b] for a, b in zip([0, *ends], [*ends, len(unit)])] if ends else [unit]
+
     def learn(self, units: set[str]) -> None:
+        """Makes ``units`` hold the ids of every unit."""
         new = units.difference(self.units)
         if len(self.units) + len(new) > MAX_UNITS:
             self.units.clear()
             new = units
+        cut = [(unit, self._cut(unit)) for unit in new]
+        wanted = {part for _, parts in cut for part in parts}
+        if len(self.parts) + len(wanted) > MAX_UNITS:
+            self.parts.clear()
         by_size: dict[int, list[str]] = {}
-        for unit in new:
-            if unit.startswith(BLANK * 2):
-                ids = [i for part in self.merged(unit) for i in ([self.id_of[part]] if part in self.id_of else [self.byte_ids[x] for x in part.encode()])]
-                self.units[unit] = np.array(ids, "<u4").tobytes()
+        for part in wanted.difference(self.parts):
+            if part.startswith(BLANK * 2):
+                ids = [i for x in self.merged(part) for i in ([self.id_of[x]] if x in self.id_of else [self.byte_ids[y] for y in x.encode()])]
+                self.parts[part] = np.array(ids, "<u4").tobytes()
             else:
-                by_size.setdefault(len(unit), []).append(unit)
+                by_size.setdefault(len(part), []).append(part)
         for group in by_size.values():
             for begin in range(0, len(group), BATCH):
-                part = group[begin:begin + BATCH]
-                self.units.update(zip(part, self.viterbi(part)))
+                some = group[begin:begin + BATCH]
+                self.parts.update(zip(some, self.viterbi(some)))
+        find = self.parts.__getitem__
+        self.units.update([(unit, find(parts[0]) if len(parts) == 1 else b"".join(map(find, parts))) for unit, parts in cut])
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Ids of each whole text, as little-endian uint32."""

@@ -155,7 +155,10 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span replaced by its kind in capitals and brackets; overlapping spans become one. Texts without spans stay as they are."""
+    """``docs`` with every span replaced by its kind in capitals and brackets, and ``n_chars``, if present, counted anew.
+
+    Overlapping spans become one. Texts without spans stay as they are, and so does their ``n_chars``.
+    """
     text = F.col("text")
     first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -165,4 +168,7 @@ def redact(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(inside, state["out"]).otherwise(F.concat(state["out"], fresh)).alias("out"))
 
     ended = F.aggregate("spans", first, cut, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.char_length(text))))
-    return find(docs).withColumn("text", F.when(F.size("spans") > 0, ended).otherwise(text)).select(*docs.columns)
+    out = find(docs).withColumn("text", F.when(F.size("spans") > 0, ended).otherwise(text))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)

@@ -7,21 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidence_spark.llm import knn, minhash, pack, passages, pii, quality, shards, urlfilter, webtext
-from evidence_spark.llm.common import table
+from evidence_spark.llm import knn, minhash, pack, passages, pieces, pii, quality, shards, urlfilter, webtext
+from evidence_spark.llm.common import table, tokenizer_path
 from evidence_spark.llm.oracles import SQL
 
-TOKENIZER_FILE = "word_bpe_49k.json"
-
-
-def tokenizer_path(name: str = TOKENIZER_FILE) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Settings(shingle=3, percent=85))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Settings(shingle=3, percent=85, width=4))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +39,10 @@ def op7_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op8_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
@@ -57,5 +52,5 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_rules, op3_contextual_pii, op4_extendible_sharding, op5_best_fit_packing, op6_html_extraction, op7_compact_windows, op9_url_filter, op10_exact_top_k)}
+    f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_rules, op3_contextual_pii, op4_extendible_sharding, op5_best_fit_packing, op6_html_extraction, op7_compact_windows, op8_sentencepiece_viterbi, op9_url_filter, op10_exact_top_k)}
 ORACLE_SQL = SQL
