@@ -31,8 +31,8 @@ PATTERNS = {
     "card": r"[0-9]++(?:[ -][0-9]++)*+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-# A chunk of letters, digits and joiners with a digit or @ in it; short ones are dropped later.
-LOOSE = r"[A-Za-z0-9._%+()/@:-]++"
+# A chunk of letters, digits and joiners with a digit or @ in it, from its start; short ones are dropped later.
+LOOSE = r"(?<![A-Za-z0-9._%+()/@:-])(?=[A-Za-z._%+()/:-]*+[0-9@])[A-Za-z0-9._%+()/@:-]++"
 MIN_DIGITS = 6
 ROUNDS, TRUST, SUPPORT, ACCEPT = 3, 0.5, 5, 0.8
 AROUND = 64  # code points looked at for the words on either side
@@ -132,12 +132,13 @@ def bootstrap(seen: DataFrame, rounds: int = ROUNDS, trust: float = TRUST, suppo
     return found
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """Every row of ``docs`` with ``base`` and ``spans`` (all spans) added. A null text has none.
+def find(docs: DataFrame, keep_text: bool = True) -> DataFrame:
+    """Every row of ``docs`` with ``base`` and ``spans`` (all spans) added, without the texts if they need not be kept. A null text has none.
 
     Rows equal in id and text get the same spans; a column that is called like one of these is replaced.
     """
-    rows = stored(scan(docs).withColumn("_row", F.xxhash64("doc_id", "text")), "scan")
+    rows = scan(docs).withColumn("_row", F.xxhash64("doc_id", "text"))
+    rows = stored(rows if keep_text else rows.drop("text"), "scan")
     seen = rows.filter(F.size("seen") > 0).select("doc_id", "_row", F.explode("seen").alias("s")).select("doc_id", "_row", "s.*")
     extra = seen.filter("kind IS NULL").select("doc_id", "_row", "start", "end", "hit").join(bootstrap(seen).select("hit", "kind"), "hit")
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
@@ -149,7 +150,7 @@ def find(docs: DataFrame) -> DataFrame:
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, counts of base spans by kind, base_sha256 and spans for every row."""
-    rows = find(docs.select("doc_id", F.col("text").cast("string").alias("text")))
+    rows = find(docs.select("doc_id", F.col("text").cast("string").alias("text")), keep_text=False)
     counts = [F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}") for kind in KINDS]
     return rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), *counts, F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
