@@ -8,6 +8,7 @@ import numpy as np
 import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import evidence_spark.llm
 from evidence_spark.session import scratch_path
@@ -31,6 +32,25 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def boxed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all other columns in one struct, so that no name of theirs can meet one of ours."""
+    others = [docs[c].alias(c) for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*others, F.lit(0).alias("_none")).alias("_box"))
+
+
+def unboxed(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` in their order from a boxed frame; ``n_chars``, if there, follows the text where ``_changed`` says so."""
+    def column(name: str):
+        if name in ("doc_id", "text"):
+            return F.col(name).cast(docs.schema[name].dataType).alias(name)
+        own = F.col("_box").getField(name)
+        if name == "n_chars":
+            own = F.when(F.col("_changed"), F.char_length("text").cast(docs.schema[name].dataType)).otherwise(own)
+        return own.alias(name)
+
+    return rows.select(*[column(c) for c in docs.columns])
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: cuts lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, name)

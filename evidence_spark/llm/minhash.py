@@ -102,8 +102,7 @@ def document_signatures(docs: DataFrame, s: Settings) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(sigs, pa.binary())],
                                              names=["doc_id", "n_shingles", "print", "sig"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, print binary, sig binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, print binary, sig binary")
 
 
 def shingle_sets(docs: DataFrame, s: Settings) -> DataFrame:
@@ -116,7 +115,7 @@ def shingle_sets(docs: DataFrame, s: Settings) -> DataFrame:
             prints = [xxhash.xxh3_128_digest(x) for x in items]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary()), pa.array(items, pa.binary())], names=["id", "print", "items"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "id bigint, print binary, items binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "id bigint, print binary, items binary")
 
 
 def table_keys(sets: DataFrame, s: Settings) -> DataFrame:
@@ -233,6 +232,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     add up. A row without id is linked with nothing, has a null component and is kept. Only doc_id and text are read.
     """
     s = settings
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     facts = stored(document_signatures(docs, s), "signatures")
     usable = facts.filter("print IS NOT NULL AND doc_id IS NOT NULL")
     sets = stored(usable.groupBy("print").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "sets")
@@ -256,5 +256,5 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     if not more.isEmpty():
         roots = components(links.union(more))
     named = members.join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("root", "id")).otherwise(F.col("doc_id"))
+    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("root", "id")).otherwise(F.col("doc_id"))
     return named.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -202,9 +202,10 @@ def _packer(capacity: int, base: int, stride: int, full: float, last: bool):
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS, full: float = FULL, rounds: int = ROUNDS) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to rows with ``length`` (1 to ``capacity``); other columns pass through.
 
-    Repeated rows are packed each on its own. Empty input gives an empty result. Lengths outside the range raise.
+    Repeated rows are packed each on its own. Columns called sequence_id, offset, _salt, _group or _done are replaced. Empty input gives an empty result. Lengths outside the range raise.
     """
     spark = pieces.sparkSession
+    pieces = pieces.drop("sequence_id", "offset", "_salt", "_group", "_done")
     columns = [F.col(c) for c in pieces.columns]
     waiting = stored(pieces.withColumn("_salt", F.xxhash64(*columns, F.monotonically_increasing_id())), "pieces")
     placed = None

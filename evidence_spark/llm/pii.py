@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidence_spark.llm.common import stored
+from evidence_spark.llm.common import boxed, stored, unboxed
 
 KINDS = ["email", "ip", "card", "phone"]
 PATTERNS = {
@@ -135,7 +135,7 @@ def bootstrap(seen: DataFrame, rounds: int = ROUNDS, trust: float = TRUST, suppo
 def find(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     """Every row of ``docs`` with ``base`` and ``spans`` (all spans) added, without the texts if they need not be kept. A null text has none.
 
-    Rows equal in id and text get the same spans; a column that is called like one of these is replaced.
+    Rows equal in id and text get the same spans. ``docs`` has doc_id, text and at most a box of other columns.
     """
     rows = scan(docs).withColumn("_row", F.xxhash64("doc_id", "text"))
     rows = stored(rows if keep_text else rows.drop("text"), "scan")
@@ -169,7 +169,5 @@ def redact(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(inside, state["out"]).otherwise(F.concat(state["out"], fresh)).alias("out"))
 
     ended = F.aggregate("spans", first, cut, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.char_length(text))))
-    out = find(docs).withColumn("text", F.when(F.size("spans") > 0, ended).otherwise(text))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    rows = find(boxed(docs)).withColumn("_changed", F.size("spans") > 0)
+    return unboxed(rows.withColumn("text", F.when(F.col("_changed"), ended).otherwise(text)), docs)

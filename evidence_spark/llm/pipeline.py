@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidence_spark.llm import minhash, pack, passages, pii, quality
-from evidence_spark.llm.common import tokenizer_path
+from evidence_spark.llm.common import boxed, tokenizer_path, unboxed
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose id is in ``ids``; a null id counts as an id."""
     ids = ids.select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    rows = boxed(docs).withColumn("_changed", F.lit(False))
+    return unboxed(rows.join(ids, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi"), docs)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

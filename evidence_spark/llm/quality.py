@@ -113,7 +113,7 @@ def divergence(p: Column, q: Column) -> Column:
         return F.when(a > 0, a * F.log2(a / m)).otherwise(F.lit(0.0))
 
     parts = F.zip_with(p, q, lambda a, b: side(a, (a + b) / 2) + side(b, (a + b) / 2))
-    return F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda s, x: s + x) / 2, F.lit(0.0)))
+    return F.when(q.isNotNull(), F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda s, x: s + x) / 2, F.lit(0.0))))
 
 
 def language_references(shapes: DataFrame) -> dict[str, dict[str, list[float]]]:

@@ -86,6 +86,6 @@ def _leaf(bits: str, depth: str) -> Column:
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = BYTE_LIMIT) -> None:
-    """Writes the rows of ``docs`` under ``path``, a folder per shard. Ids must be unique."""
+    """Writes the rows of ``docs`` under ``path``, a folder per shard. Ids must be unique; a column called shard is replaced."""
     where = assign(docs, limit).select("doc_id", F.concat_ws("-", "depth", "bucket", "part").alias("shard"))
-    docs.join(where, "doc_id").repartition("shard").write.partitionBy("shard").parquet(path)
+    docs.drop("shard").join(where, "doc_id").repartition("shard").write.partitionBy("shard").parquet(path)
