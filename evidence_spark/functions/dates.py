@@ -64,8 +64,8 @@ def padded_fold(text) -> Column:
 def fact_date(folded, published, months: dict[str, int] | None = None, coarse: bool = False) -> Column:
     """Date of the fact cited in a text, resolved against the publication date: struct(day DATE, granularity).
 
-    Order: day/month[/year]; weekday (last one on or before publication); relative words; month + year; and, when
-    ``coarse``, month alone or ``em <year>``. ``folded`` is a column made by ``padded_fold``.
+    Order: day/month[/year]; day of month[ of year] in words; weekday (the day in brackets behind it, or else the last one
+    on or before publication); relative words; month + year; and, when ``coarse``, month alone or ``em <year>``. ``folded`` is a column made by ``padded_fold``.
     """
     months = months or MONTHS_PT
     t = _col(folded)
@@ -77,6 +77,14 @@ def fact_date(folded, published, months: dict[str, int] | None = None, coarse: b
             .when(m > F.month(pub) + 1, F.year(pub) - 1).otherwise(F.year(pub)))
     explicit = F.when(t.rlike(dm) & d.between(1, 31) & m.between(1, 12),
                       F.try_to_date(F.format_string("%04d-%02d-%02d", year, m, d)))
+    in_words = r"(?<![0-9/])([0-9]{1,2})(?:o|º)? de (" + names + r")(?![a-z])(?: de ([0-9]{4}))?"
+    word_month = _lookup(months, F.regexp_extract(t, in_words, 2))
+    word_year = F.coalesce(F.regexp_extract(t, in_words, 3).try_cast("int"), F.when(word_month > F.month(pub) + 1, F.year(pub) - 1).otherwise(F.year(pub)))
+    by_words = F.when(t.rlike(in_words), F.try_to_date(F.format_string("%04d-%02d-%02d", word_year, word_month, F.regexp_extract(t, in_words, 1).try_cast("int"))))
+    bracket = r"(?<![a-z])(?:" + "|".join(WEEKDAYS_PT) + r")(?:-feira)? \(([0-9]{1,2})\)"
+    inside = F.regexp_extract(t, bracket, 1).try_cast("int")
+    month_start = F.when(inside > F.dayofmonth(pub), F.add_months(F.trunc(pub, "month"), -1)).otherwise(F.trunc(pub, "month"))
+    by_bracket = F.when(t.rlike(bracket) & inside.between(1, 31), F.try_to_date(F.concat(F.date_format(month_start, "yyyy-MM-"), F.lpad(inside.cast("string"), 2, "0"))))
     weekday = F.regexp_extract(t, r"(?<![a-z])(" + "|".join(WEEKDAYS_PT) + r")(?:-feira)?(?![a-z])", 1)
     by_weekday = F.when(weekday != "", _last_weekday(pub, weekday))
     relative = (F.when(t.contains(" anteontem "), F.date_add(pub, -2)).when(t.contains(" amanha "), F.date_add(pub, 1))
@@ -87,7 +95,7 @@ def fact_date(folded, published, months: dict[str, int] | None = None, coarse: b
     month_of = lambda pattern: _lookup(months, F.regexp_extract(t, pattern, 1))
     month_year = F.when(t.rlike(my), F.make_date(F.regexp_extract(t, my, 2).try_cast("int"), month_of(my), F.lit(1)))
     day_struct = lambda value, grain: F.when(value.isNotNull(), F.struct(value.alias("day"), F.lit(grain).alias("granularity")))
-    options = [day_struct(explicit, "dia"), day_struct(by_weekday, "dia"), day_struct(relative, "dia"),
+    options = [day_struct(explicit, "dia"), day_struct(by_words, "dia"), day_struct(by_bracket, "dia"), day_struct(by_weekday, "dia"), day_struct(relative, "dia"),
                day_struct(month_year, "mes")]
     if coarse:
         alone = month_of(mo)

@@ -17,8 +17,6 @@ from evidence_spark.functions import numbers as N
 from evidence_spark.functions import text as X
 from evidence_spark.operators import tokens as K
 
-MAX_INPUT = 5000
-
 # --- fixed patterns -----------------------------------------------------------------------------------------------------
 FRAMING = (r"(?:(?:é|e)\s+)?(?:verdade|fato|real)\s+que\s+|ser[aá]\s+que\s+|procede\s+que\s+|(?:eu\s+)?(?:vi|li|ouvi|recebi)\s+"
            r"(?:dizer\s+)?que\s+|(?:dizem|disseram|falaram|est[aã]o\s+dizendo|est[aã]o\s+falando)\s+que\s+|(?:é|e)\s+verdade\s*[:,\-]?\s*")
@@ -66,9 +64,10 @@ EN_PATTERNS = ClaimPatterns(
     recent=_words("today", "yesterday", "now", "this week", "recently"), how_many="^how many( |$)")
 
 
-def clean_claim(c) -> Column:
-    """Input cut to its limit, without framing, attention marks and media lead-ins, fused short words split."""
-    t = F.substring(F.replace(F.coalesce(X._col(c), F.lit("")), F.lit("\r"), F.lit("\n")), 1, MAX_INPUT)
+def clean_claim(c, max_chars: int | None = None) -> Column:
+    """Input (cut only if ``max_chars`` is given) without framing, attention marks and media lead-ins, fused short words split."""
+    t = F.replace(F.coalesce(X._col(c), F.lit("")), F.lit("\r"), F.lit("\n"))
+    t = F.substring(t, 1, max_chars) if max_chars else t
     t = F.trim(F.regexp_replace(F.regexp_replace(t, "[ \t ]+", " "), "\n{2,}", "\n"))
     t = F.trim(F.regexp_replace(F.regexp_replace(t, FUSED, "$1$2 $3$4"), LEAD_INS, ""))
     rest = F.trim(F.regexp_replace(t, MEDIA_START, ""))
@@ -210,7 +209,7 @@ def quantities(df: DataFrame, keys: Sequence[str], text: str, lexicon: L.Lexicon
     unit = (F.when(F.col("champion"), t).when(has_currency, F.col("currency")).when(percent | per_cent, F.lit("%")).when(noun_ok, noun))
     end = (F.when(F.col("champion"), i + 1).when(has_currency, j0).when(percent, j0 + 1).when(per_cent, j0 + 2).otherwise(j1 + 1))
     rows = rows.withColumn("unit", unit).withColumn("j", end).filter(F.col("unit").isNotNull())
-    key = F.when(F.col("champion"), F.lit("titulo")).otherwise(unit_key(F.col("unit")))
+    key = F.when(F.col("champion"), unit_key(F.lit("titulos"))).otherwise(unit_key(F.col("unit")))
     rows = rows.withColumn("unit_key", key)
     if wordy and weak is not None:
         rows = rows.filter(~n.isin(list(L.WEAK_NUMBERS_PT)) | in_(F.col(weak_units), F.col("unit_key")))

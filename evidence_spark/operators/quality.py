@@ -13,15 +13,19 @@ from evidence_spark.functions import text as X
 
 
 def headline_number_audit(df: DataFrame, key: str, head: str, body: str, min_body: int = 80) -> DataFrame:
-    """Numbers of the head that the body does not repeat: near (one digit away), year, or missing. Row-local work."""
+    """Numbers of the head that the body does not repeat: near (a doubled digit lost, or one digit away), year, or missing. Row-local work.
+
+    A year is near only to a number it gives by a doubled digit: other years differ from it by a digit without any slip.
+    """
     rows = df.filter(F.length(body) >= min_body).select(key, N.numbers_in(head).alias("heads"), N.numbers_in(body).alias("known"))
     rows = rows.select(key, "known", F.explode(F.array_except("heads", "known")).alias("number"))
     digits = lambda c: F.regexp_replace(c, "[^0-9]", "")
     near = F.filter("known", lambda k: (F.length(digits(F.col("number"))) >= 3)
                     & (F.levenshtein(digits(k), digits(F.col("number"))) == 1))
-    out = rows.select(key, "number", F.size(near).alias("n_near"))
-    verdict = (F.when(F.col("n_near") > 0, F.lit("near")).when(F.col("number").rlike("^(19|20)[0-9]{2}$"), F.lit("year"))
-               .otherwise(F.lit("missing")))
+    slip = F.exists("known", lambda k: doubled_digit_slip(digits(F.col("number")), digits(k)) | doubled_digit_slip(digits(k), digits(F.col("number"))))
+    out = rows.select(key, "number", F.size(near).alias("n_near"), slip.alias("slip"))
+    verdict = (F.when(F.col("slip"), F.lit("near")).when(F.col("number").rlike("^(19|20)[0-9]{2}$"), F.lit("year"))
+               .when(F.col("n_near") > 0, F.lit("near")).otherwise(F.lit("missing")))
     return out.select(key, "number", verdict.alias("verdict"), "n_near")
 
 

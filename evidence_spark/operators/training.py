@@ -6,10 +6,11 @@ import json
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes)
-from pyspark.ml.feature import CountVectorizer, IDF, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,13 +43,18 @@ TEXT_MODELS: Mapping[str, Callable] = {
 }
 
 
-def text_features(min_df: float = 2.0, max_features: int = 30_000) -> list:
-    return [CountVectorizer(inputCol="words", outputCol="tf", minDF=min_df, vocabSize=max_features), IDF(inputCol="tf", outputCol="features")]
+def weighted_terms(counts: DataFrame, tf: str, out: str) -> ElementwiseProduct:
+    """Term counts times ln((n + 1) / (df + 1)) + 1, with n and df from ``counts``; the library's own idf lacks the + 1."""
+    idf = IDF(inputCol=tf, outputCol=out).fit(counts.select(tf)).idf.toArray() + 1.0
+    return ElementwiseProduct(inputCol=tf, outputCol=out, scalingVec=Vectors.dense(idf))
 
 
 def train_text(train: DataFrame, kind: str, min_df: float = 2.0, max_features: int = 30_000):
     """``train`` has words (array), label (double), weight."""
-    return Pipeline(stages=[*text_features(min_df, max_features), TEXT_MODELS[kind]()]).fit(train)
+    vocabulary = CountVectorizer(inputCol="words", outputCol="tf", minDF=min_df, vocabSize=max_features).fit(train)
+    counts = vocabulary.transform(train)
+    weights = weighted_terms(counts, "tf", "features")
+    return PipelineModel(stages=[vocabulary, weights, TEXT_MODELS[kind]().fit(weights.transform(counts))])
 
 
 def word_char_features(df: DataFrame, train, max_words: int = 30_000, max_chars: int = 50_000) -> DataFrame:
@@ -59,10 +65,12 @@ def word_char_features(df: DataFrame, train, max_words: int = 30_000, max_chars:
     grams = cut_lineage(df.withColumn("wgrams", F.concat("words", X.ngrams(F.col("words"), 2))).withColumn(
         "cgrams", F.flatten(F.transform("words", lambda w: X.char_ngrams(w)))))
     stages = [CountVectorizer(inputCol="wgrams", outputCol="wtf", minDF=2.0, vocabSize=max_words),
-              CountVectorizer(inputCol="cgrams", outputCol="ctf", minDF=2.0, vocabSize=max_chars),
-              IDF(inputCol="wtf", outputCol="wx"), IDF(inputCol="ctf", outputCol="cx"),
-              VectorAssembler(inputCols=["wx", "cx"], outputCol="features")]
-    ready = Pipeline(stages=stages).fit(grams.filter(train)).transform(grams)
+              CountVectorizer(inputCol="cgrams", outputCol="ctf", minDF=2.0, vocabSize=max_chars)]
+    counts = Pipeline(stages=stages).fit(grams.filter(train)).transform(grams)
+    seen = counts.filter(train)
+    for weights in (weighted_terms(seen, "wtf", "wx"), weighted_terms(seen, "ctf", "cx")):
+        counts = weights.transform(counts)
+    ready = VectorAssembler(inputCols=["wx", "cx"], outputCol="features").transform(counts)
     return cut_lineage(ready.select(*[c for c in df.columns if c != "words"], "features"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["audit", "texts", "webpages", "matching", "metrics", "splits", "ranking", "claims", "events", "evidence",
+MODULES = ["audit", "texts", "webpages", "matching", "metrics", "splits", "claims", "events", "evidence",
            "learning", "io", "streams"]
 
 

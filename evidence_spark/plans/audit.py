@@ -83,14 +83,14 @@ def min_words_filter(t):
 
 
 @query("signal_eligible", "P-05", f"""
-select doc_id, length(substr(text,1,20000))::bigint as n_kept from (
+select doc_id, length(text)::bigint as n_kept from (
   select doc_id, text, length(regexp_replace(text,'[^\\p{{L}}]','','g')) as letters,
     length(regexp_replace(text,'[^\\p{{Lu}}]','','g')) as uppers from documents)
 where not regexp_matches(text,'^https?://[^\\s]+$') and len({S.split_words('text')}) >= 60
   and (letters = 0 or uppers::double/letters <= 0.7)""")
 def signal_eligible(t):
     ok = (~F.col("text").rlike(r"^https?://\S+$")) & (X.word_count("text") >= 60) & (X.upper_share("text") <= 0.7)
-    return t.documents.filter(ok).select("doc_id", F.length(F.substring("text", 1, 20000)).cast("long").alias("n_kept"))
+    return t.documents.filter(ok).select("doc_id", F.length("text").cast("long").alias("n_kept"))
 
 
 @query("binarise_label", "P-06", """

@@ -36,7 +36,7 @@ def led(t):
 
 @query("clean_claim_text", "P-23", f"""
 with r as (select id, ({S.words(LEADS)})[(id % {len(LEADS)}) + 1] || text as text from {USER}),
-a as (select id, trim(regexp_replace(regexp_replace(substr(replace(text,chr(13),chr(10)),1,5000),'[ \\t ]+',' ','g'),'\\n{{2,}}',chr(10),'g')) as x from r),
+a as (select id, trim(regexp_replace(regexp_replace(replace(text,chr(13),chr(10)),'[ \\t ]+',' ','g'),'\\n{{2,}}',chr(10),'g')) as x from r),
 b as (select id, trim(regexp_replace(regexp_replace(x,{S.q(C.FUSED)},'\\1\\2 \\3\\4','g'),{S.q(C.LEAD_INS)},'')) as x from a)
 select id, regexp_replace(x,{S.q(C.EDGES)},'','g') as clean from b""")
 def clean_claim_text(t):

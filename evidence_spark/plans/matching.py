@@ -253,14 +253,22 @@ def conflicting_values(t):
 
 # --- quality ------------------------------------------------------------------------------------------------------------
 
+def _slips(long: str, short: str) -> str:
+    """Whether dropping one of a doubled digit of ``long`` gives ``short``, for each place."""
+    a, b = (f"regexp_replace({x},'[^0-9]','','g')" for x in (long, short))
+    return f"list_transform(range(1, length({a})), lambda i: substr({a},i,1) = substr({a},i+1,1) and substr({a},1,i) || substr({a},i+2) = {b})"
+
+
+SLIPS_A, SLIPS_B = _slips("number", "k"), _slips("k", "number")
 HEAD_NUMBERS = f"""with d as (select doc_id, string_split(text,chr(10))[1] as head, substr(text,length(string_split(text,chr(10))[1])+2) as body from documents),
 h as (select doc_id, unnest({S.numbers_in('head')}) as number, {S.numbers_in('body')} as known, length(body) as n_body from d),
-m as (select doc_id, number, len(list_filter(known, lambda k: length(regexp_replace(number,'[^0-9]','','g')) >= 3 and levenshtein(regexp_replace(k,'[^0-9]','','g'), regexp_replace(number,'[^0-9]','','g')) = 1)) as n_near
+m as (select doc_id, number, len(list_filter(known, lambda k: length(regexp_replace(number,'[^0-9]','','g')) >= 3 and levenshtein(regexp_replace(k,'[^0-9]','','g'), regexp_replace(number,'[^0-9]','','g')) = 1)) as n_near,
+  len(list_filter(known, lambda k: list_contains(list_concat({SLIPS_A}, {SLIPS_B}), true))) > 0 as slip
   from h where n_body >= 80 and not list_contains(known, number))"""
 
 
 @query("number_audit", "Q-02 F-20", HEAD_NUMBERS + """
-select doc_id, number, case when n_near > 0 then 'near' when regexp_matches(number,'^(19|20)[0-9]{2}$') then 'year' else 'missing' end as verdict, n_near::integer as n_near from m""")
+select doc_id, number, case when slip then 'near' when regexp_matches(number,'^(19|20)[0-9]{2}$') then 'year' when n_near > 0 then 'near' else 'missing' end as verdict, n_near::integer as n_near from m""")
 def number_audit(t):
     head = F.substring_index("text", "\n", 1)
     body = F.substr(F.col("text"), F.length(head) + 2, F.length("text"))

@@ -129,10 +129,10 @@ def stratified_sample(t):
 
 
 @query("result_order", "T-06", """
-select o_orderkey, o_orderpriority, o_totalprice from orders order by substr(o_orderpriority,1,1)::int, o_totalprice desc, o_orderkey limit 200""")
+select o_orderkey, o_orderpriority, o_totalprice from orders order by substr(o_orderpriority,1,1)::int, o_totalprice desc, o_orderkey""")
 def result_order(t):
     return t.orders.orderBy(F.substring("o_orderpriority", 1, 1).cast("int"), F.desc("o_totalprice"), "o_orderkey").select(
-        "o_orderkey", "o_orderpriority", "o_totalprice").limit(200)
+        "o_orderkey", "o_orderpriority", "o_totalprice")
 
 
 @query("trace_stats", "A-24", """

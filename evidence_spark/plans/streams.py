@@ -31,13 +31,19 @@ def drift_watch_stream(t):
     return ST.run_to_table(result, scratch_path(t.spark, "drift"), scratch_path(t.spark, "drift-state"))
 
 
-@query("fresh_keys", "X-01", """
-select event_id from (select event_id, epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id, event_type order by ts) as gap from events) where gap is null or gap > 6*3600*1000000::bigint""")
+FRESH = """
+with recursive e as (select event_id, user_id, event_type, epoch_us(ts) as t from events),
+following as (select a.event_id, arg_min(b.event_id, row(b.t, b.event_id)) as after from e a join e b on a.user_id = b.user_id and a.event_type = b.event_type and b.t > a.t + 6*3600*1000000::bigint group by a.event_id),
+kept(event_id) as (select arg_min(event_id, row(t, event_id)) from e group by user_id, event_type union select f.after from kept k join following f on k.event_id = f.event_id)
+select user_id, event_type, event_id from e join kept using (event_id)"""
+
+
+@query("fresh_keys", "X-01", FRESH)
 def fresh_keys(t):
-    return ST.fresh_keys_batch(t.events, ["user_id", "event_type"], "ts", 6 * 3600).select("event_id")
+    return ST.fresh_keys_batch(t.events, ["user_id", "event_type"], "event_id", "ts", 6 * 3600)
 
 
-@query("fresh_keys_stream", "X-01")
+@query("fresh_keys_stream", "X-01", FRESH)
 def fresh_keys_stream(t):
     stream = ST.event_stream(t.spark, t.root, t.events.schema)
     result = ST.fresh_keys(stream, ["user_id", "event_type"], "event_id", "ts", 6 * 3600)
@@ -50,10 +56,18 @@ def latest_request(t):
     return ST.latest_request_batch(t.events, "user_id", "event_id", ["event_type"])
 
 
-@query("latest_request_stream", "X-02")
+STATUS = """select user_id, event_id, case when event_id < max(event_id) over (partition by user_id order by ts, event_id rows unbounded preceding) then 'late' else 'current' end as status from events"""
+
+
+@query("request_status", "X-02", STATUS)
+def request_status(t):
+    return ST.request_status_batch(t.events, "user_id", "event_id", "ts")
+
+
+@query("latest_request_stream", "X-02", STATUS)
 def latest_request_stream(t):
     stream = ST.event_stream(t.spark, t.root, t.events.schema)
-    marked = ST.latest_request(stream, "user_id", "event_id")
+    marked = ST.latest_request(stream, "user_id", "event_id", "ts")
     return ST.run_to_table(marked, scratch_path(t.spark, "latest"), scratch_path(t.spark, "latest-state"), "append")
 
 

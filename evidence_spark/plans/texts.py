@@ -35,11 +35,11 @@ TOKENS = f"(select doc_id, lang, source, text, {S.tokens('text')} as toks from d
 
 @query("bigram_top", "W-10", f"""
 select gram, count(*) as n from (select unnest(list_transform(range(1,len(toks)), lambda i: toks[i] || ' ' || toks[i+1])) as gram from {TOKENS})
-group by gram order by n desc, gram limit 100""")
+group by gram order by n desc, gram""")
 def bigram_top(t):
     words = t.documents.select(X.tokens("text").alias("toks"))
     grams = words.select(F.explode(X.ngrams(F.col("toks"), 2)).alias("gram"))
-    return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "gram").limit(100)
+    return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "gram")
 
 
 @query("char_ngrams", "W-11", f"""

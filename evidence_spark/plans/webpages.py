@@ -272,7 +272,7 @@ select page_id::varchar as query, {_plain("regexp_extract(html,'(?is)<title[^>]*
 from pages where page_id % 50 <> 7 and {_plain("regexp_extract(html,'(?is)<title[^>]*>([^<]*)</title>',1)")} <> ''""")
 def feed_candidates(t):
     items, _ = feeds.read_feed_items(_feed(t))
-    found = feeds.feed_to_candidates(items, "google_news", 20)
+    found = feeds.feed_to_candidates(items, "google_news")
     return found.select("query", "title", "url", "outlet", "domain", F.date_format("published", "yyyy-MM-dd HH:mm:ss").alias("published"))
 
 
@@ -283,7 +283,7 @@ def feed_quarantine(t):
 
 
 @query("encyclopedia_candidates", "S-06", f"""
-select page_id::varchar as query, title, url, substr(trim(regexp_replace(title || '  ' || title,'\\s+',' ','g')),1,900) as snippet, page_id % 9 = 0 as disambiguation
+select page_id::varchar as query, title, url, trim(regexp_replace(title || '  ' || title,'\\s+',' ','g')) as snippet, page_id % 9 = 0 as disambiguation
 from (select page_id, url, {_title_sql('html')} as title from pages) where title <> ''""")
 def encyclopedia_candidates(t):
     title = G.plain_text(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))

@@ -22,8 +22,7 @@ def _field(item: Column, tag: str) -> Column:
 def read_feed_items(feeds: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(items, quarantine) from rows (query, xml). Documents with entity or doctype declarations, or that are not a
     feed, are refused: they go to quarantine with a reason instead of looking like an empty answer."""
-    head = F.substring("xml", 1, 5000)
-    reason = (F.when(head.rlike(FORBIDDEN), F.lit("doctype_or_entity"))
+    reason = (F.when(F.col("xml").rlike(FORBIDDEN), F.lit("doctype_or_entity"))
               .when(~F.col("xml").rlike("(?i)<(rss|channel)[ >]"), F.lit("not_a_feed"))
               .when(F.regexp_count("xml", F.lit("<item[ >]")) != F.regexp_count("xml", F.lit("</item>")), F.lit("broken_xml")))
     marked = feeds.withColumn("reason", reason)
@@ -43,8 +42,8 @@ def unwrap_redirect(link: Column) -> Column:
     return F.when(urls.host(link).endswith("bing.com"), F.coalesce(target, F.lit(""))).otherwise(link)
 
 
-def feed_to_candidates(items: DataFrame, provider: str, limit: int) -> DataFrame:
-    """Candidate rows of one provider: google_news, bing_news or bing_web."""
+def feed_to_candidates(items: DataFrame, provider: str, limit: int | None = None) -> DataFrame:
+    """Candidate rows of one provider: google_news, bing_news or bing_web; the first ``limit`` items of a feed, or all."""
     title, source = plain_text(F.col("title")), F.col("source")
     if provider == "google_news":
         suffix = F.concat(F.lit(" - "), source)
@@ -59,7 +58,7 @@ def feed_to_candidates(items: DataFrame, provider: str, limit: int) -> DataFrame
         outlet = F.when(source != "", source).otherwise(domain)
     # The date of the web search feed is the crawl date, not the publication date.
     published = dates.parse_timestamp("pub_date") if provider != "bing_web" else F.lit(None).cast("timestamp")
-    rows = items.filter(F.col("pos") < limit).select(
+    rows = (items.filter(F.col("pos") < limit) if limit else items).select(
         "query", "pos", title.alias("title"), link.alias("url"), outlet.alias("outlet"), F.lit(provider).alias("origin"),
         published.alias("published"), snippet.alias("snippet"),
         F.when(snippet != "", F.lit("trecho")).otherwise(F.lit("titulo")).alias("content_kind"), domain.alias("domain"))
@@ -72,13 +71,13 @@ ENCYCLOPEDIA = T.StructType([T.StructField("query", T.StructType([T.StructField(
     T.StructField("pageprops", T.MapType(T.StringType(), T.StringType()))])))]))])
 
 
-def encyclopedia_to_candidates(answers: DataFrame, max_chars: int = 900) -> DataFrame:
-    """Candidate rows from JSON answers (query, json), in index order."""
+def encyclopedia_to_candidates(answers: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """Candidate rows from JSON answers (query, json), in index order; extracts are whole unless ``max_chars`` is given."""
     pages = answers.select("query", F.explode(F.from_json("json", ENCYCLOPEDIA)["query"]["pages"]).alias("id", "p"))
     extract = F.trim(F.regexp_replace(F.coalesce("p.extract", F.lit("")), r"\s+", " "))
     return pages.filter((F.col("p.title") != "") & F.col("p.fullurl").rlike("^https?://")).select(
         "query", F.coalesce("p.index", F.lit(99)).alias("pos"), F.col("p.title").alias("title"), F.col("p.fullurl").alias("url"),
         F.lit("Wikipédia").alias("outlet"), F.lit("wikipedia").alias("origin"), F.lit(None).cast("timestamp").alias("published"),
-        F.substring(extract, 1, max_chars).alias("snippet"), F.lit("resumo").alias("content_kind"),
+        (F.substring(extract, 1, max_chars) if max_chars else extract).alias("snippet"), F.lit("resumo").alias("content_kind"),
         F.lit("pt.wikipedia.org").alias("domain"),
         F.coalesce(F.map_contains_key("p.pageprops", "disambiguation"), F.lit(False)).alias("disambiguation"))

@@ -9,9 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-# --- fixed values: freshness per provider -----------------------------------------------------------------------------
-TTL = {"google_news": "10 minutes", "bing_news": "10 minutes", "bing_web": "30 minutes", "wikipedia": "6 hours", "page": "1 hour"}
-
+from evidence_spark.session import cut_lineage
 
 def event_stream(spark: SparkSession, root: str, schema, files_per_trigger: int = 1, glob: str = "events*.parquet") -> DataFrame:
     rows = spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_trigger).parquet(root)
@@ -50,19 +48,25 @@ def fresh_keys(stream: DataFrame, keys: Sequence[str], row_id: str, ts: str, sec
         keep, out, "kept long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def fresh_keys_batch(df: DataFrame, keys: Sequence[str], ts: str, seconds: int) -> DataFrame:
-    """Refreshing variant on a table: rows with no row of the same key in the ``seconds`` before them.
+def fresh_keys_batch(df: DataFrame, keys: Sequence[str], row_id: str, ts: str, seconds: int) -> DataFrame:
+    """The twin of ``fresh_keys`` on a table: keys and ``row_id`` of the rows that find no stored answer.
 
-    The look-back is a range frame over (key, time bucket); each row is also shown to the next bucket, so a hot key is
-    spread over its timeline.
+    Each row knows the next row that would be kept after it (the first of its key more than ``seconds`` later). The kept
+    ones are what the first row of a key reaches; steps are doubled each round, so the rounds follow the logarithm of the
+    longest chain and no key's rows are walked one by one.
     """
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
     width = seconds * 1_000_000
-    marked = df.withColumn("_t", at).withColumn("_home", F.floor(F.col("_t") / width)).withColumn(
-        "_b", F.explode(F.array(F.col("_home"), F.col("_home") + 1)))
-    frame = Window.partitionBy(*keys, "_b").orderBy("_t").rangeBetween(-width, -1)
-    seen = marked.withColumn("_seen", F.count(F.lit(1)).over(frame)).filter(F.col("_b") == F.col("_home"))
-    return seen.filter(F.col("_seen") == 0).drop("_t", "_home", "_b", "_seen")
+    rows = df.select(*keys, row_id, F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"))
+    key = Window.partitionBy(*keys)
+    later = key.orderBy("_t").rangeBetween(width + 1, Window.unboundedFollowing)
+    marked = rows.withColumns({"_next": F.min(F.struct("_t", row_id)).over(later)[row_id], "_first": F.min(F.struct("_t", row_id)).over(key)[row_id] == F.col(row_id)})
+    marked = cut_lineage(marked)
+    jumps = marked.filter("_next IS NOT NULL").select(F.col(row_id).alias("_a"), F.col("_next").alias("_b"))
+    kept = marked.filter("_first").select(F.col(row_id).alias("_a"))
+    while not jumps.isEmpty():
+        kept = cut_lineage(kept.union(kept.join(jumps, "_a").select("_b")).distinct())
+        jumps = cut_lineage(jumps.join(jumps.select(F.col("_a").alias("_b"), F.col("_b").alias("_c")), "_b").select("_a", F.col("_c").alias("_b")))
+    return marked.join(kept, F.col(row_id) == F.col("_a"), "left_semi").select(*keys, row_id)
 
 
 def latest_request_batch(df: DataFrame, user: str, generation: str, columns: Sequence[str]) -> DataFrame:
@@ -70,20 +74,37 @@ def latest_request_batch(df: DataFrame, user: str, generation: str, columns: Seq
     return df.groupBy(user).agg(F.max_by(F.struct(generation, *columns), generation).alias("_r")).select(user, "_r.*")
 
 
-def latest_request(stream: DataFrame, user: str, generation: str) -> DataFrame:
-    """Marks each answer ``current`` or ``late``: an answer older than the newest seen for its user is late."""
+def latest_request(stream: DataFrame, user: str, generation: str, ts: str, keep: str = "1 day") -> DataFrame:
+    """Marks each answer ``current`` or ``late``: late when a newer request of its user came before it (by ``ts``).
+
+    A trigger's rows of one user are judged in order of arrival against the running maximum, so neither chunks nor files
+    change the verdict. State is one number per user and leaves ``keep`` after the watermark has passed the last row.
+    """
     out = f"{user} long, {generation} long, status string"
+    hold = int(pd.Timedelta(keep).total_seconds() * 1000)
 
     def mark(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        newest = state.get[0] if state.exists else -1
-        for frame in frames:
-            top = max(newest, int(frame[generation].max()))
-            fresh = frame[generation] >= top
-            newest = top
-            yield pd.DataFrame({user: frame[user], generation: frame[generation], "status": fresh.map({True: "current", False: "late"})})
-        state.update((newest,))
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames)).sort_values(["_t", generation])
+        newest = rows[generation].cummax()
+        if state.exists:
+            newest = newest.clip(lower=state.get[0])
+        state.update((int(newest.iloc[-1]),))
+        state.setTimeoutTimestamp(max(int(rows["_t"].iloc[-1]) // 1000, state.getCurrentWatermarkMs()) + hold)
+        status = (rows[generation] >= newest).map({True: "current", False: "late"})
+        yield pd.DataFrame({user: rows[user], generation: rows[generation], "status": status})
+
+    marked = stream.withWatermark(ts, keep).withColumn("_t", F.unix_micros(ts)).select(user, generation, ts, "_t")
+    return marked.groupBy(user).applyInPandasWithState(mark, out, "newest long", "append", GroupStateTimeout.EventTimeTimeout)
+
 
-    return stream.select(user, generation).groupBy(user).applyInPandasWithState(mark, out, "newest long", "append", GroupStateTimeout.NoTimeout)
+def request_status_batch(df: DataFrame, user: str, generation: str, ts: str) -> DataFrame:
+    """The twin of ``latest_request`` on a table: a running maximum per user in order of arrival."""
+    before = Window.partitionBy(user).orderBy(ts, generation).rowsBetween(Window.unboundedPreceding, 0)
+    late = F.col(generation) < F.max(generation).over(before)
+    return df.select(user, generation, F.when(late, "late").otherwise("current").alias("status"))
 
 
 def drift_watch(df: DataFrame, ts: str, kind: str, value: str, window: str = "1 day", slide: str | None = None, watermark: str | None = None) -> DataFrame:
@@ -96,14 +117,18 @@ def drift_watch(df: DataFrame, ts: str, kind: str, value: str, window: str = "1
 
 
 def run_to_table(result: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Drain a streaming result into one parquet folder (each trigger replaces the preview) and return it as a table."""
+    """Drain a streaming result into parquet and return it as a table.
+
+    ``complete``: each trigger replaces the preview. Otherwise each trigger has a folder of its own, named by its number,
+    which a retry of the trigger replaces: no row is written twice.
+    """
 
     def replace(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+        batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/trigger={number}")
 
     query = (result.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(replace).start())
     query.awaitTermination()
-    return result.sparkSession.read.schema(result.schema).parquet(path)
+    return result.sparkSession.read.schema(result.schema).parquet(path).select(*result.columns)
 
 
 def preview_totals(df: DataFrame, key: str, value: str) -> DataFrame:

@@ -14,9 +14,11 @@ from evidence_spark.operators import dedupe as D
 from evidence_spark.operators import events as EV
 from evidence_spark.operators import evidence as E
 from evidence_spark.operators import pairmodel as PM
+from evidence_spark.operators import quality as Q
 from evidence_spark.operators import ranking as R
 from evidence_spark.operators import simjoin as SJ
 from evidence_spark.operators import splits as SP
+from evidence_spark.operators import training as TR
 from evidence_spark.sources import feeds, pages
 from evidence_spark.streaming import jobs as ST
 
@@ -41,7 +43,10 @@ def test_dates(spark):
     pub = datetime.datetime(2026, 9, 29)  # a Tuesday
     cases = [("nesta segunda-feira houve reunião", datetime.date(2026, 9, 28), "dia"), ("ontem houve reunião", datetime.date(2026, 9, 28), "dia"),
              ("em 3/9 houve reunião", datetime.date(2026, 9, 3), "dia"), ("foi em março de 2001", datetime.date(2001, 3, 1), "mes"),
-             ("subiu em agosto", datetime.date(2026, 8, 1), "mes"), ("nada aqui", pub.date(), "dia")]
+             ("subiu em agosto", datetime.date(2026, 8, 1), "mes"), ("em 3 de março de 2024 houve", datetime.date(2024, 3, 3), "dia"),
+             ("no dia 3 de março houve", datetime.date(2026, 3, 3), "dia"), ("no dia 1º de dezembro houve", datetime.date(2025, 12, 1), "dia"),
+             ("na terça-feira (22) houve", datetime.date(2026, 9, 22), "dia"), ("na segunda-feira (31) houve", datetime.date(2026, 8, 31), "dia"),
+             ("na quarta-feira (23/9) houve", datetime.date(2026, 9, 23), "dia"), ("nada aqui", pub.date(), "dia")]
     df = spark.createDataFrame([(i, t, pub) for i, (t, _, _) in enumerate(cases)], "id int, text string, pub timestamp")
     got = {r["id"]: (r["day"], r["granularity"]) for r in C.fact_dates(df, "id", "text", "pub").collect()}
     assert got == {i: (d, g) for i, (_, d, g) in enumerate(cases)}
@@ -59,6 +64,7 @@ def test_quantities(spark):
     df = spark.createDataFrame([(1, "O clube tem mais de 8 títulos nacionais"), (2, "A inflação subiu 5,2% em 2024"), (3, "Gastou R$ 3 milhões em obras"),
                                 (4, "Não tem 5 títulos"), (5, "É tricampeão do torneio"), (6, "Fechou em 2019")], "id int, text string")
     got = {r["id"]: r for r in C.quantities(df, ["id"], "text").collect()}
+    assert got[5]["unit_key"] == got[1]["unit_key"] == got[4]["unit_key"]
     assert (got[1]["value"], got[1]["comparator"], got[1]["quals"]) == (8.0, "min_excl", ["nacionais"])
     assert (got[2]["value"], got[2]["unit_key"]) == (5.2, "%")
     assert (got[3]["value"], got[3]["unit"]) == (3e6, "reais")
@@ -238,3 +244,53 @@ def test_freshness_stream_equals_greedy(spark, tmp_path):
     fresh = ST.fresh_keys(stream, ["k"], "event_id", "ts", 1800)
     got = {r["event_id"] for r in ST.run_to_table(fresh, str(tmp_path / "out"), str(tmp_path / "state"), "append").collect()}
     assert got == want
+
+
+def test_credit_lines(spark):
+    lines = ["Publicado originalmente no Folha X.", "Publicado originalmente na Folha X.", "publicado originalmente em folha x", "Fonte: Folha X", "Com informações da Folha X", "Folha X opina"]
+    rows = [(i, "http://a.com/1", "Folha X", "Título um dois", None, "http://b.com/2", "Outro", "b.com", "Nada parecido aqui", None, text) for i, text in enumerate(lines)]
+    df = spark.createDataFrame(rows, "i int, a_url string, a_outlet string, a_title string, a_published timestamp, url string, outlet string, domain string, title string, published timestamp, page_text string")
+    got = {r["i"]: r["independence"] for r in D.independence(df).collect()}
+    assert got == {i: "republicacao" for i in range(5)} | {5: "independente"}
+
+
+def test_number_audit_order(spark):
+    body = "Em 2023 foram 150 casos e 12.345 doses aplicadas, segundo o relatório publicado pela secretaria na semana passada."
+    df = spark.createDataFrame([(1, "Em 2024", body), (2, "Foram 1550 casos", body), (3, "Foram 152 casos", body), (4, "Foram 999 casos", body), (5, "Em 20223", body)], "id int, head string, body string")
+    got = {r["id"]: r["verdict"] for r in Q.headline_number_audit(df, "id", "head", "body").collect()}
+    assert got == {1: "year", 2: "near", 3: "near", 4: "missing", 5: "near"}
+
+
+def test_term_weights_have_the_one(spark):
+    import math
+    df = spark.createDataFrame([(["a", "b"], 0.0, 1.0), (["a", "a"], 1.0, 1.0), (["a", "c"], 1.0, 1.0)], "words array<string>, label double, weight double")
+    model = TR.train_text(df, "multinomial_nb", 1.0)
+    terms = model.stages[0].vocabulary
+    features = dict(zip(terms, model.transform(df).collect()[0]["features"].toArray()))
+    assert abs(features["a"] - 1.0) < 1e-12 and abs(features["b"] - (math.log(4 / 2) + 1)) < 1e-12 and features["c"] == 0.0
+
+
+def test_latest_request_on_one_and_many_files(spark, tmp_path):
+    rng = random.Random(3)
+    start = datetime.datetime(2026, 1, 1)
+    rows = [(rng.randint(0, 60), start + datetime.timedelta(minutes=m), rng.randint(0, 3)) for m in range(240)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp, k long")
+    want = sorted(tuple(r) for r in ST.request_status_batch(df, "k", "event_id", "ts").collect())
+    newest, slow = {}, []
+    for event_id, _, k in rows:
+        newest[k] = max(newest.get(k, -1), event_id)
+        slow.append((k, event_id, "late" if event_id < newest[k] else "current"))
+    assert want == sorted(slow)
+    for files in (1, 6):
+        step = len(rows) // files
+        for n in range(files):
+            spark.createDataFrame(rows[n * step:(n + 1) * step], df.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in{files}"))
+        stream = ST.event_stream(spark, str(tmp_path / f"in{files}"), df.schema, glob="*.parquet")
+        out = ST.run_to_table(ST.latest_request(stream, "k", "event_id", "ts"), str(tmp_path / f"out{files}"), str(tmp_path / f"state{files}"), "append")
+        assert sorted(tuple(r) for r in out.collect()) == want
+
+
+def test_feed_declarations_anywhere(spark):
+    xml = "<rss><channel><item><title>a</title></item>" + " " * 9000 + "<!DOCTYPE x></channel></rss>"
+    _, refused = feeds.read_feed_items(spark.createDataFrame([("q", xml)], "query string, xml string"))
+    assert refused.first()["reason"] == "doctype_or_entity"
