@@ -53,7 +53,7 @@ r as (select *, row_number() over (partition by doc_id order by round(weight,9)
 select doc_id, position::integer as position, term, round(weight,6) as weight from r where position <= 3""")
 def tfidf_top_terms(t):
     from evidence_spark.operators.ranking import top_per_key
-    weights = TI.tfidf_transform(counts(t), vocabulary(t), "doc_id", max_features=FEATURES)
+    weights = TI.tfidf_transform(counts(t), vocabulary(t), "doc_id")
     top = top_per_key(weights, ["doc_id"], [F.desc(F.round("weight", 9)), F.asc("term")], 3)
     return top.select("doc_id", "position", "term", F.round("weight", 6).alias("weight"))
 
@@ -128,7 +128,7 @@ w as (select doc_id, term, tf*idf/sqrt(sum(tf*idf*tf*idf) over (partition by doc
 p as (select doc_id as a_id, doc_id + 1 as b_id from documents)
 select a_id, b_id, count(*) as shared, round(sum(x.weight*y.weight),6) as cosine from p join w x on x.doc_id = a_id join w y on y.doc_id = b_id and y.term = x.term group by all""")
 def pair_word_product(t):
-    weights = TI.tfidf_transform(counts(t), vocabulary(t), "doc_id", max_features=FEATURES)
+    weights = TI.tfidf_transform(counts(t), vocabulary(t), "doc_id")
     near = t.documents.select(F.col("doc_id").alias("a_id"), (F.col("doc_id") + 1).alias("b_id"))
     product = TI.word_product(near, weights.withColumnRenamed("doc_id", "a_id"), weights.withColumnRenamed("doc_id", "b_id"), "a_id", "b_id")
     return product.groupBy("a_id", "b_id").agg(F.count(F.lit(1)).alias("shared"), F.round(F.sum("product"), 6).alias("cosine"))
