@@ -107,17 +107,16 @@ DECISION_CLASSES = ["aprovar", "proibir", "impor", "revogar", "rejeitar", "decid
 PLAN_CLASSES = ["propor", "anunciar"]
 OPPOSITE_CLASSES = ["alta", "queda"]
 # Ordered: ties on position go to the longer match, then to the earlier entry.
+COURT_PT = r"(?:stf|stj|tse|tst|stm|trf\d?|tj\w*|supremo|justica|tribunal|tribunais|corte|cortes|juiz|juiza|vara)"
 ACTIONS_PT = [
     ("justica", r"acion\w+|recorr\w+|contest(?:a|am|ou|aram)|ajuiz\w+|protocol\w+|petici\w+|impetr\w+|"
                 r"process(?:a|am|ou|aram|ara|ar)"),
     ("justica", r"(?:entr\w+|ingress\w+) com (?:uma |um |nova |novo |o |a )?(?:acao|acoes|pedido|pedidos|peticao|recurso|"
                 r"mandado|representacao|queixa|habeas)"),
-    ("justica", r"(?:pede|pedem|pediu|pediram|solicit\w+|requer\w*|cobr\w+) (?:ao|a|aos|junto ao) "
-                r"(?:stf|stj|tse|tst|stm|supremo|justica|tribunal|tribunais|corte|cortes|juiz|juiza|vara)"),
-    ("justica", r"ingress\w+ (?:em|na|no|numa|num|em uma) (?:\w+ ){0,2}(?:acao|processo|stf|stj|tse|supremo|justica|tribunal|corte)"),
+    ("justica", rf"ingress\w+ (?:em|na|no|numa|num|em uma) (?:\w+ ){{0,2}}(?:acao|processo|{COURT_PT})"),
     ("justica", r"(?:pede|pedem|pediu|pediram|pedido de) (?:ingresso)"),
-    ("justica", r"(?:vai|vao|foi|foram|ir|leva\w*|entr\w+|ingress\w+|recorre\w*) (?:ao|a|aos|na|no|junto ao) "
-                r"(?:stf|stj|tse|tst|stm|supremo|justica|tribunal|tribunais|corte|cortes|juiz|juiza|vara)"),
+    ("justica", rf"(?:vai|vao|foi|foram|ir|leva\w*|entr\w+|ingress\w+|recorre\w*) (?:ao|a|aos|na|no|junto ao) {COURT_PT}"),
+    ("justica", rf"(?:pede|pedem|pediu|pediram|solicit\w+|requer\w*|cobr\w+) (?:ao|a|aos|junto ao) {COURT_PT}"),
     ("rejeitar", r"(?:nega|negam|negou|negaram|rejeit\w+|arquiv\w+|indefer\w+) (?:o |a |os |as )?(?:recurso|recursos|"
                  r"pedido|pedidos|habeas|liminar|acao|mandado|denuncia)"),
     ("confirmar", r"confirm\w+|nega|negam|negou|negaram|desment\w+"),
@@ -148,7 +147,7 @@ ACTIONS_PT = [
     ("competir", r"venc\w+|derrot\w+|perd(?:e|em|eu|eram)|empat\w+|golei\w+|elimin\w+|classific\w+"),
     ("ocorrencia", r"transbord\w+|ating\w+|desab\w+|incendi\w+|alag\w+|explod\w+|colid\w+|morr\w+|mata|matou"),
     ("nomear", r"nome(?:a|ia|ou|iam)|nomead\w+|demit\w+|exoner\w+|renunci\w+|elege|elegem|elegeu|eleit(?:o|a|os|as)|"
-               r"empossad\w+|assum(?:e|em|iu|iram)"),
+               r"reeleit(?:o|a)|empossad\w+|assum(?:e|em|iu|iram)"),
     ("alta", r"sob(?:e|em)|subi\w*|aument(?:a|am|ou|aram)|cresc(?:e|em|eu|eram)|avanc(?:a|am|ou|aram)|dispar(?:a|am|ou)|"
              r"dobr(?:a|am|ou)"),
     ("alta", r"(?:bate|batem|bateu|atinge|atingem|atingiu|renova|renovou) (?:novo |um novo |o |nova )?(?:recorde|maxima|pico)"),
