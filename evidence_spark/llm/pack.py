@@ -88,28 +88,34 @@ class ChunkIds:
         if len(self.known) + len(new) > MAX_CACHED_CHUNKS:
             self.known.clear()
             new = list(chunks)
+        odd = []
         # A capital sigma has two lower-case forms, and characters that NFC changes may not stay letters.
         everything = " ".join(new)
-        fine = "Σ" not in everything and is_normalized("NFC", everything)
-        bare = [c.rstrip(STOPS) if fine or ("Σ" not in c and is_normalized("NFC", c)) else "" for c in new]
-        lower = [w.lower() for w in bare]
-        stop = [c[len(w):] for c, w in zip(new, bare)]
+        if "Σ" in everything or not is_normalized("NFC", everything):
+            odd = [c for c in new if "Σ" in c or not is_normalized("NFC", c)]
+            new = list(set(new).difference(odd))
+        lower = [c.rstrip(STOPS).lower() for c in new]
         wanted = set(lower)
         if len(self.words) + len(wanted) > MAX_CACHED_CHUNKS:
             self.words.clear()
         self._learn([w for w in wanted.difference(self.words) if w.isalpha()])
-        words = self.words
-        plain = {s for s, w in zip(stop, lower) if w in words}
-        if len(self.stops) > MAX_CACHED_CHUNKS:
-            self.stops.clear()
-        unknown = list(plain.difference(self.stops))
-        self.stops.update(zip(unknown, self._alone(unknown)))
-        stops = self.stops
-        self.known.update([(c, words[w] + stops[s]) for c, w, s in zip(new, lower, stop) if w in words])
-        odd = [c for c, w in zip(new, lower) if w not in words]
+        find, known, stops = self.words.get, self.known, self.stops
+        for chunk, word in zip(new, lower):  # letters keep their number in lower case, so what is left over are stops
+            ids = find(word)
+            if ids is None:
+                odd.append(chunk)
+            elif len(word) == len(chunk):
+                known[chunk] = ids
+            else:
+                stop = chunk[len(word):]
+                if stop not in stops:
+                    stops[stop] = self._alone([stop])[0]
+                known[chunk] = ids + stops[stop]
+        if len(stops) > MAX_CACHED_CHUNKS:
+            stops.clear()
         for begin in range(0, len(odd), 10_000):
             part = odd[begin:begin + 10_000]
-            self.known.update(zip(part, self._alone(part)))
+            known.update(zip(part, self._alone(part)))
 
 
 def token_bytes(texts: Iterable[str], ids: ChunkIds, end_id: int) -> Iterator[bytes]:
