@@ -5,7 +5,7 @@ N(g) the number of open bins whose gap is g, put a piece where the sum of N(g)^2
 ties take the smallest gap left, then an open bin before a new one. Pieces come largest first.
 
 At scale: token counts are made where the texts lie; only (id, piece, length) rows move. They are dealt by hash into
-groups of about ``group_rows`` pieces, each packed in its own task with an array of gap counts. The bins of a group that
+groups of about ``group_rows`` pieces (more if they are very short), each packed in its own task with an array of gap counts. The bins of a group that
 are not full enough are opened again, and their pieces dealt into fewer groups, until one group is left or nothing is
 open; so the waste of many small groups does not remain. No group grows with the input.
 """
@@ -27,6 +27,7 @@ from evidence_spark.llm.common import stored
 
 CAPACITY = 4096
 GROUP_ROWS = 2048
+GROUP_BINS = 64
 FULL = 0.999
 ROUNDS = 3
 MAX_CACHED_CHUNKS = 500_000
@@ -218,12 +219,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_RO
     base = 0
     shown = pieces.columns + ["sequence_id", "offset"]
     for level in range(rounds):
-        n = waiting.count()
+        n, tokens = waiting.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
         if n == 0 and placed is not None:
             break
-        groups = max(1, -(-n // group_rows))
+        # A group of very short pieces must still fill many bins: at most GROUP_BINS * capacity rows then.
+        groups = max(1, min(-(-n // group_rows), tokens // (GROUP_BINS * capacity)))
         last = level == rounds - 1 or groups == 1
-        stride = group_rows * 64  # more bins than any group can open, so that ids of groups never meet
+        stride = 1 << 32  # more bins than any group can open, so that ids of groups never meet
 
         dealt = waiting.withColumn("_group", F.pmod(F.xxhash64("_salt", F.lit(level)), F.lit(groups)))
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in waiting.schema.fields)
