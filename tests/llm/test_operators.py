@@ -271,6 +271,17 @@ def test_packing(spark):
     assert pack.pack(pack.token_pieces(spark.createDataFrame([], DOCS), tokenizer_path())).count() == 0
 
 
+def test_packing_in_groups(spark):
+    rng = random.Random(10)
+    rows = [(i, rng.randrange(1, 101)) for i in range(9000)]
+    got = pack.pack(spark.createDataFrame(rows, "doc_id bigint, length bigint"), capacity=100, group_rows=256).collect()
+    bins = collections.Counter()
+    for r in got:
+        bins[r.sequence_id] += r.length
+    assert len(got) == len(rows) and max(bins.values()) <= 100
+    assert len(bins) <= 1.06 * sum(n for _, n in rows) / 100
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header>Site</header><nav><a href=x>m</a></nav>
 <div class="ad">Buy</div><article><h1>Head &amp; line</h1><p>One <b>bo</b>ld<br>two &lt;x&gt;<p>Three   four<div class="comments"><p>Nice!</div>
 <form><input>Sign</form><script>var a="</p><p>no";</script></article><footer>&copy; me</footer>"""
