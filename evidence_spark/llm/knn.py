@@ -99,14 +99,15 @@ def visits(query_cells: list, data_cells: list, pivots: dict[int, np.ndarray], k
         p = pivots.get(d, np.zeros((1, d)))
         c = p[[r["cell"] for r in data]]
         c_norm, radius = np.sqrt((c * c).sum(1)), np.array([r["radius"] for r in data])
-        near = np.full((len(data), k + 1), np.inf)
+        near, there = np.zeros((len(data), k + 1)), np.zeros((len(data), k + 1), bool)
         for i, r in enumerate(data):
             near[i, :len(r["near"])] = r["near"]
+            there[i, :len(r["near"])] = True
         for q in (r for r in query_cells if r["dims"] == d):
             own, u = p[q["cell"]], q["radius"]
             middle, norm = c @ own, np.sqrt(own @ own)
             ceiling = middle + norm * radius + u * c_norm + u * radius
-            floors = (middle[:, None] - norm * near - (u * c_norm)[:, None] - u * near).ravel()
+            floors = np.where(there, middle[:, None] - norm * near - (u * c_norm)[:, None] - u * near, -np.inf).ravel()
             # One of the k+1 may be the query itself.
             floor = np.sort(floors)[::-1][k] if len(floors) > k else -np.inf
             slack = SLACK * (1 + np.abs(ceiling) + (abs(floor) if np.isfinite(floor) else 0))
