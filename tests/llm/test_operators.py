@@ -289,7 +289,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><b
 
 def test_page_text(spark):
     boiler = "Read our daily letter and never miss any of the big stories again"
-    loose = [(i, f"http://h.example/{i}", f"<html><body><p>{boiler}</p><p>Own text number {i} with words {i * 7} of its own {i * 3} only</p></body></html>") for i in range(10, 16)]
+    loose = [(i, f"http://h.example/{i}", f"<html><body><p>{boiler}</p><p>n{i} has text x{i * 7} of its own y{i * 3} only</p></body></html>") for i in range(10, 16)]
     rows = [(1, "http://h.example/a", PAGE), (2, None, None), (3, "x", ""), (4, "u", "plain < text & more"), (1, "http://h.example/a", PAGE), (5, "u", "<main><p>Main</p></main><p>out"),
             (6, "u", "<!-- never closed <p>a"), (7, "u", "<p>" * 20000 + "deep"), (8, "u", '<p title="a>b">t</p>')] + loose
     got = webtext.main_text(spark.createDataFrame([(*r, "c") for r in rows], "page_id bigint, url string, html string, text string")).collect()
@@ -299,7 +299,7 @@ def test_page_text(spark):
         assert r.n_chars == len(r.text)
     assert texts[1] == ["Head & line One bold two <x> Three four"] * 2
     assert [texts[i] for i in (2, 3, 4, 5, 6, 7, 8)] == [[""], [""], ["plain < text & more"], ["Main"], [""], ["deep"], ["t"]]
-    assert all(texts[i] == [f"Own text number {i} with words {i * 7} of its own {i * 3} only"] for i in range(10, 16))
+    assert all(texts[i] == [f"n{i} has text x{i * 7} of its own y{i * 3} only"] for i in range(10, 16))
     assert webtext.main_text(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
@@ -447,3 +447,19 @@ def test_stages_keep_columns(spark, corpus):
     assert kept == {d for d, (_, root) in groups.items() if d == root} | {None}
     packed = pipeline.packing_stage(spark, docs, "")
     assert packed.select("doc_id").distinct().count() == len(rows)
+
+
+def test_bounds_never_cut_a_needed_cell():
+    """Against all scores, with cells of one member and of several."""
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        pivots = rng.normal(size=(8, 3)) * rng.choice([1, 10])
+        x = np.concatenate([pivots[i] + rng.normal(size=(rng.integers(0, 4), 3)) * rng.choice([0.0, 0.01, 1.0]) for i in range(8)] + [pivots[:2]])
+        cell = ((x[:, None] - pivots[None]) ** 2).sum(2).argmin(1)
+        far = np.sqrt(((x - pivots[cell]) ** 2).sum(1))
+        cells = [{"dims": 3, "cell": int(c), "radius": far[cell == c].max(), "near": sorted(far[cell == c])[:3], "n": int((cell == c).sum())} for c in np.unique(cell)]
+        visited = {(q, c) for _, q, c in knn.visits(cells, cells, {3: pivots}, 2)}
+        scores = x @ x.T
+        np.fill_diagonal(scores, -np.inf)
+        for i, row in enumerate(scores):
+            assert all((cell[i], cell[j]) in visited for j in np.argsort(-row)[:2] if np.isfinite(row[j]))
