@@ -370,6 +370,34 @@ def test_near_passages_and_cut(spark):
     assert passages.repeated_passages(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def planted(rng, *middles):
+    """Rows of a text for each middle, with random words of its own around it."""
+    return [" ".join(words(rng, 60, 10**6) + m + words(rng, 60, 10**6)) for m in middles]
+
+
+def missed(spark, rows, wanted):
+    """Of the wanted (id, word), those that no reported passage covers."""
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    split = dict(rows)
+    for r in found:
+        a, b = split[r.doc_id].split()[r.start_word:r.end_word], split[r.source_doc_id].split()[r.source_start:r.source_end]
+        x, y = ({tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+        assert r.source_doc_id < r.doc_id and len(x & y) >= 0.8 * len(x | y)
+    return [(d, at) for d, at in wanted if not any(r.doc_id == d and r.start_word <= at < r.end_word for r in found)]
+
+
+def test_near_passages_behind_hubs_that_share_a_phrase(spark):
+    rng = random.Random(21)
+    rows, wanted = [], []
+    for i in range(60):
+        p = words(rng, 60, 10**6)
+        near = p[:30] + ["edit"] + p[31:]
+        texts = planted(rng, *[p[:30]] * 10, *[p[31:]] * 10, p, near)
+        rows += [(100 * i + k, t) for k, t in enumerate(texts)]
+        wanted.append((100 * i + len(texts) - 1, 90))
+    assert missed(spark, rows, wanted) == []
+
+
 def test_pieces_equal_the_library(spark):
     import sentencepiece
 
