@@ -398,6 +398,18 @@ def test_near_passages_behind_hubs_that_share_a_phrase(spark):
     assert missed(spark, rows, wanted) == []
 
 
+def test_passages_that_drift_from_version_to_version(spark):
+    rng = random.Random(22)
+    rows, wanted = [], []
+    for i in range(40):
+        v1 = words(rng, 60, 10**6)
+        v2 = v1[:20] + ["second"] + v1[21:]
+        v3 = v2[:40] + ["third"] + v2[41:]
+        rows += [(10 * i + k, t) for k, t in enumerate(planted(rng, v1, v2, v3))]
+        wanted += [(10 * i + 1, 90), (10 * i + 2, 90)]
+    assert missed(spark, rows, wanted) == []
+
+
 def test_pieces_equal_the_library(spark):
     import sentencepiece
 
