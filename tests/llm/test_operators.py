@@ -410,6 +410,16 @@ def test_passages_that_drift_from_version_to_version(spark):
     assert missed(spark, rows, wanted) == []
 
 
+def test_near_passages_at_the_threshold_are_met(spark):
+    rng = random.Random(23)
+    rows, wanted = [], []
+    for i in range(1500):
+        p = words(rng, 51, 10**6)  # one edit: similarity 42 / 52
+        rows += [(2 * i + k, t) for k, t in enumerate(planted(rng, p, p[:25] + ["edit"] + p[26:]))]
+        wanted.append((2 * i + 1, 85))
+    assert len(missed(spark, rows, wanted)) <= 0.002 * len(wanted)
+
+
 def test_pieces_equal_the_library(spark):
     import sentencepiece
 
