@@ -315,6 +315,21 @@ def test_covered_runs():
             assert mark.tolist() == want
 
 
+def test_boilerplate_of_few_pages_on_a_large_host(spark):
+    rng = random.Random(31)
+    notice, twice = words(rng, 12, 10**6), words(rng, 12, 10**6)
+    texts = [words(rng, 20, 10**6) for _ in range(900)]
+    for i in (5, 300, 600, 880):
+        texts[i] = texts[i][:10] + notice + texts[i][10:]
+    for i in (6, 700):
+        texts[i] += twice
+    texts[7] = list(texts[6])  # equal texts count once
+    pages = [(i, "http://large.example/page", f"<p>{' '.join(t)}</p>") for i, t in enumerate(texts)]
+    got = {r.page_id: r.text for r in webtext.main_text(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    want = {i: " ".join(w for w, m in zip(t, mark) if not m) for i, (t, mark) in enumerate(zip(texts, webtext.covered(texts)))}
+    assert got == want and notice[0] not in got[300].split() and twice[0] in got[700].split()
+
+
 def test_compact_windows():
     rng = np.random.default_rng(0)
     for _ in range(150):
