@@ -273,7 +273,7 @@ def reassess_with_page(t):
     claims = bench_claims(t)
     stems = t.documents.select("doc_id", F.array_distinct(F.transform(X.title_key("text", STOP), X.stem)).alias("stems"))
     wanted = claims.select("item_id", F.array_distinct(F.transform("terms", X.stem)).alias("stems"))
-    near = blocked_candidates(wanted, stems, "item_id", "doc_id", 60).drop("position")
+    near = blocked_candidates(wanted, stems, "item_id", "doc_id")
     read = J.keep_in(document_candidates(t), near.select("doc_id").distinct(), ["doc_id"])
     texts = F.array(F.struct(F.lit(1).alias("reading"), F.lit("").alias("snippet")),
                     F.struct(F.lit(2).alias("reading"), C.opening_of(X.stems("title"), F.col("snippet")).alias("snippet")))

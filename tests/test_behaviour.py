@@ -19,6 +19,7 @@ from evidence_spark.operators import ranking as R
 from evidence_spark.operators import simjoin as SJ
 from evidence_spark.operators import splits as SP
 from evidence_spark.operators import training as TR
+from evidence_spark.plans import load_all
 from evidence_spark.sources import feeds, pages
 from evidence_spark.streaming import jobs as ST
 
@@ -294,3 +295,12 @@ def test_feed_declarations_anywhere(spark):
     xml = "<rss><channel><item><title>a</title></item>" + " " * 9000 + "<!DOCTYPE x></channel></rss>"
     _, refused = feeds.read_feed_items(spark.createDataFrame([("q", xml)], "query string, xml string"))
     assert refused.first()["reason"] == "doctype_or_entity"
+
+
+def test_reassessment_reads_every_document_that_shares_a_stem(spark):
+    claims = spark.createDataFrame([(1, ["a", "b"])], "c int, stems array<string>")
+    docs = spark.createDataFrame([(i, ["a"]) for i in range(90)], "d int, stems array<string>")
+    assert SJ.blocked_candidates(claims, docs, "c", "d").count() == 90
+    assert SJ.blocked_candidates(claims, docs, "c", "d", 60).count() == 60
+    rows = load_all()["reassess_with_page"].run(spark, "/root/testdata/sf0.001")
+    assert rows.groupBy("item_id").count().agg(F.max("count")).first()[0] > 60
