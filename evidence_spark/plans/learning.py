@@ -238,7 +238,7 @@ def train_text_models(t):
     data = cut_lineage(labelled_words(t))
     parts = []
     for kind in TR.TEXT_MODELS:
-        fitted = TR.train_text(data.filter(~F.col("test")), kind, 2.0, 5000)
+        fitted = TR.train_text(data.filter(~F.col("test")), kind)
         parts.append(TR.accuracy(fitted.transform(data.filter("test")).select("label", "prediction")).withColumn("model", F.lit(kind)))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
@@ -246,7 +246,7 @@ def train_text_models(t):
 @query("word_char_union", "M-07")
 def word_char_union(t):
     data = labelled_words(t)
-    staged = TR.word_char_features(data, ~F.col("test"), 2000, 3000)
+    staged = TR.word_char_features(data, ~F.col("test"))
     fitted = TR.TEXT_MODELS["linear_svm"]().fit(staged.filter(~F.col("test")))
     return TR.accuracy(fitted.transform(staged.filter("test")).select("label", "prediction"))
 

@@ -1,8 +1,10 @@
 """Hand-written cases in Portuguese, one per behaviour, checked against brute force or stated answers."""
 
 import datetime
+import inspect
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from evidence_spark import lexicons as L
@@ -304,3 +306,22 @@ def test_reassessment_reads_every_document_that_shares_a_stem(spark):
     assert SJ.blocked_candidates(claims, docs, "c", "d", 60).count() == 60
     rows = load_all()["reassess_with_page"].run(spark, "/root/testdata/sf0.001")
     assert rows.groupBy("item_id").count().agg(F.max("count")).first()[0] > 60
+
+
+def test_training_queries_keep_the_operators_vocabulary(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def see(real):
+        def fake(*args, **named):
+            bound = inspect.signature(real).bind(*args, **named)
+            bound.apply_defaults()
+            raise Seen({n: v for n, v in bound.arguments.items() if n.startswith("max_")})
+        return fake
+
+    for name, wanted in (("train_text", {"max_features": 30_000}), ("word_char_features", {"max_words": 30_000, "max_chars": 50_000})):
+        monkeypatch.setattr(TR, name, see(getattr(TR, name)))
+        query = {"train_text": "train_text_models", "word_char_features": "word_char_union"}[name]
+        with pytest.raises(Seen) as error:
+            load_all()[query].run(spark, "/root/testdata/sf0.001")
+        assert error.value.args[0] == wanted
