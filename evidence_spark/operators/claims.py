@@ -514,9 +514,9 @@ def best_of_readings(judged: DataFrame, keys: Sequence[str]) -> DataFrame:
     return both.select(*keys, F.when(better, F.col("second")).otherwise(F.col("first")).alias("category"), better.alias("promoted"))
 
 
-def opening_of(title_stems: Column, text: Column) -> Column:
-    """Up to three early sentences that take up the title (two shared stems)."""
-    early = X.sentences(F.substring(text, 1, 4000), ".!?", 12)
+def opening_of(title_stems: Column, text: Column, chars: int | None = None) -> Column:
+    """The first three sentences that take up the title (two shared stems); ``chars`` limits the text that is read."""
+    early = X.sentences(F.substring(text, 1, chars) if chars else text, ".!?", 12)
     return F.array_join(F.slice(F.filter(early, lambda s: F.size(F.array_intersect(X.stems(s), title_stems)) >= 2), 1, 3), " ")
 
 

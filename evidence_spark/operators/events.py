@@ -16,6 +16,7 @@ from evidence_spark.functions import dates
 from evidence_spark.functions import numbers as N
 from evidence_spark.functions import text as X
 from evidence_spark.operators import claims as C
+from evidence_spark.operators.ranking import top_per_key
 
 SAME, DIVERGENT, CONTEXT, OTHER, UNCERTAIN = ("mesmo_acontecimento", "detalhe_divergente", "contexto_relacionado", "outro_acontecimento", "relacao_incerta")
 TOKEN = r"[0-9]+(?:[.,][0-9]+)*|[\p{L}\p{N}_]+"
@@ -132,19 +133,21 @@ def event_frames(df: DataFrame, keys: Sequence[str], sentence: str, lexicon: L.L
                     "negated", "stage", "attribution", F.col("_passive").alias("passive"))
 
 
-def original_events(claims: DataFrame, key: str, claim: str, body: str, published: str, lexicon: L.Lexicon = L.PT, opening: int = 4) -> DataFrame:
-    """The claim's frame, widened by the opening sentences of its article that share the agent or the action.
+def original_events(claims: DataFrame, key: str, claim: str, body: str, published: str, lexicon: L.Lexicon = L.PT, opening: int = 4,
+                    chars: int | None = None) -> DataFrame:
+    """The claim's frame, widened by the first ``opening`` sentences of its article that share the agent or the action.
 
-    At most ``opening`` sentences per article are read, so the group per claim is bounded.
+    ``chars`` limits the text that is read.
     """
     own = event_frames(claims, [key], claim, lexicon)
-    sents = claims.select(key, published, F.posexplode(F.slice(X.sentences(F.substring(body, 1, 900), ".!?", 12), 1, opening)).alias("n", "s"))
+    sents = claims.select(key, published, F.posexplode(X.sentences(F.substring(body, 1, chars) if chars else F.col(body), ".!?", 12)).alias("n", "s"))
     frames = event_frames(sents, [key, "n", published], "s", lexicon)
     lead = own.select(key, F.col("action").alias("_act"), F.array_union("agent_names", F.array_except("agent_words", X.words_array(L.GENERIC_HEADS_PT))).alias("_agent"))
     joined = frames.join(lead, key)
     same_action = F.coalesce(F.array_contains("actions", F.col("_act")), F.lit(False))
     same_agent = F.arrays_overlap(F.concat("names", "agent_words", "object_keys"), "_agent")
     joined = joined.withColumns({"_same": same_action, "_folded": dates.padded_fold("sentence")}).filter(same_agent | F.col("_same"))
+    joined = top_per_key(joined, [key], [F.asc("n")], opening)
     joined = joined.withColumn("_date", F.when(F.col("_same"), dates.fact_date("_folded", published)))
     extra = joined.groupBy(key).agg(
         F.array_distinct(F.flatten(F.collect_list("object_keys"))).alias("_obj"), F.array_distinct(F.flatten(F.collect_list("nouns"))).alias("_nouns"),

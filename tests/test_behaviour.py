@@ -325,3 +325,12 @@ def test_training_queries_keep_the_operators_vocabulary(spark, monkeypatch):
         with pytest.raises(Seen) as error:
             load_all()[query].run(spark, "/root/testdata/sf0.001")
         assert error.value.args[0] == wanted
+
+
+def test_lead_far_down_a_page(spark):
+    menu = "Assine a newsletter do portal. " * 200
+    text = f"{menu}Petrobras aumenta preço da gasolina em refinarias."
+    assert value(spark, C.opening_of(X.stems(F.lit("Petrobras aumenta gasolina")), F.lit(text))) == "Petrobras aumenta preço da gasolina em refinarias."
+    claim = spark.createDataFrame([(1, "Petrobras aumenta preço da gasolina", text, datetime.datetime(2026, 9, 1))], "id int, c string, b string, p timestamp")
+    assert any(k.startswith("refinari") for k in EV.original_events(claim, "id", "c", "b", "p").first()["object_keys"])
+    assert not any(k.startswith("refinari") for k in EV.original_events(claim, "id", "c", "b", "p", chars=900).first()["object_keys"])
