@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from evidence_spark.llm.clusters import CLUSTERS, DIMS, ROUNDS, SALT, SCALE
 from evidence_spark.llm.shards import BITS, BYTE_LIMIT
 from evidence_spark.llm.urlfilter import PATTERN_RULES, SITE_RULES
 
@@ -54,4 +55,30 @@ fits AS (SELECT depth, bucket FROM levels GROUP BY 1, 2 HAVING sum(n_bytes) <= {
 SELECT doc_id, n_bytes, depth, bucket, 0::BIGINT AS part FROM levels JOIN fits USING (depth, bucket)
 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY depth) = 1"""
 
-SQL: dict[str, str] = {"op1_minhash_near_dedup": NEAR_DUPLICATES, "op4_extendible_sharding": EXTENDIBLE, "op9_url_filter": _url_rules(), "op10_exact_top_k": TOP_K}
+
+
+def _clusters() -> str:
+    """Rounds unrolled; every distance computed, from exact integers in doubles."""
+    distance = "v.s + c.s - 2 * list_dot_product(v.e, c.e)"
+    square = "list_dot_product({0}, {0}) AS s"
+    parts = [f"""
+WITH v AS MATERIALIZED (SELECT r, vec_id, e, {square.format('e')} FROM (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)) AS e FROM embeddings
+  WHERE len(embedding) = {DIMS} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{SALT}' || vec_id), vec_id, e) - 1 AS c, e, s FROM v WHERE vec_id IS NOT NULL
+  QUALIFY row_number() OVER (ORDER BY sha256('{SALT}' || vec_id), vec_id, e) <= {CLUSTERS})"""]
+    for i in range(ROUNDS + 1):
+        parts.append(f"a{i} AS MATERIALIZED (SELECT v.r, min(({distance}, c.c)) AS best FROM v, c{i} c GROUP BY v.r)")
+        if i < ROUNDS:
+            parts.append(f"""m{i} AS (SELECT c, list(x ORDER BY pos) AS e FROM (
+  SELECT a.best[2] AS c, u.pos, floor(sum(v.e[u.pos]) / count(*)) AS x FROM a{i} a JOIN v USING (r), range(1, {DIMS + 1}) u(pos) GROUP BY 1, 2) GROUP BY c)""")
+            parts.append(f"c{i + 1} AS MATERIALIZED (SELECT c.c, coalesce(m.e, c.e) AS e, list_dot_product(coalesce(m.e, c.e), coalesce(m.e, c.e)) AS s FROM c{i} c LEFT JOIN m{i} m ON c.c = m.c)")
+    last = f"""
+SELECT v.vec_id, a.best[2]::INT AS cluster, a.best[1]::BIGINT AS distance, sum(a.best[1]) OVER (PARTITION BY a.best[2])::BIGINT AS cluster_inertia,
+       sum(a.best[1]) OVER ()::BIGINT AS inertia, sha256(array_to_string(list_transform(c.e, lambda x: x::BIGINT::VARCHAR), ',')) AS centroid_sha256
+FROM a{ROUNDS} a JOIN v USING (r) JOIN c{ROUNDS} c ON c.c = a.best[2]"""
+    return ",\n".join(parts) + last
+
+
+SQL: dict[str, str] = {"op1_minhash_near_dedup": NEAR_DUPLICATES, "op4_extendible_sharding": EXTENDIBLE, "op9_url_filter": _url_rules(), "op10_exact_top_k": TOP_K,
+                       "op11_centroid_clustering": _clusters()}

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidence_spark.llm import knn, minhash, pack, passages, pieces, pii, quality, shards, urlfilter, webtext
+from evidence_spark.llm import brown, clusters, knn, minhash, pack, passages, pieces, pii, quality, shards, urlfilter, webtext, whitening
 from evidence_spark.llm.common import table, tokenizer_path
 from evidence_spark.llm.oracles import SQL
 
+
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Settings(shingle=3, percent=85, width=4))
 
@@ -51,6 +52,19 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_brown_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_rules, op3_contextual_pii, op4_extendible_sharding, op5_best_fit_packing, op6_html_extraction, op7_compact_windows, op8_sentencepiece_viterbi, op9_url_filter, op10_exact_top_k)}
+    f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_rules, op3_contextual_pii, op4_extendible_sharding, op5_best_fit_packing, op6_html_extraction, op7_compact_windows, op8_sentencepiece_viterbi, op9_url_filter, op10_exact_top_k,
+                            op11_centroid_clustering, op12_embedding_whitening, op13_brown_scoring)}
 ORACLE_SQL = SQL
