@@ -31,10 +31,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidence_spark.llm.common import WordHashes, column_bytes, stored, word_hashes
+from evidence_spark.llm.common import WordHashes, column_bytes, discard, stored, word_hashes
 
 FOLDS, HELD_OUT = 5, 1
-CHUNK = 1_500_000  # tokens
+CHUNK = 1_000_000  # tokens
+GROUP = {"parquet.block.size": str(16 << 20)}  # rows are large: few of them in a writer's memory
 BUCKET = 1 << 17  # words of a bucket, as asked for by all chunks
 OUTER, INNER = 2, 2
 WEIGHT = 0.9  # of the class model; the rest are single words
@@ -459,10 +460,10 @@ def scores(docs: DataFrame, outer: int = OUTER, inner: int = INNER, weight: floa
     token. Equal words are told by 64-bit hashes.
     """
     spark = docs.sparkSession
-    chunks = stored(document_chunks(docs), "chunks")
+    chunks = stored(document_chunks(docs), "chunks", **GROUP)
     asked = chunks.agg(F.sum(F.col("n_words").cast("bigint")).alias("n")).first()["n"] or 0
     bits = max(0, int(np.ceil(np.log2(max(asked, 1) / BUCKET))))
-    vocab = stored(vocabulary(chunks, bits), "vocabulary")
+    vocab = stored(vocabulary(chunks, bits), "vocabulary", **GROUP)
     v, n = _size(vocab)
     n_classes = max(4, round(v ** (1 / 3)))
     start = np.array(frequent_words(vocab, n_classes - 2), np.uint64)
@@ -487,9 +488,13 @@ def scores(docs: DataFrame, outer: int = OUTER, inner: int = INNER, weight: floa
     for turn in range(outer):
         if turn:
             frame, classes_of, columns = delivered(chunks, classes, np.dtype("<u2"), OPEN_CLASS, bits), current, ["values"]
-        features = stored(contexts(frame, classes_of, n_classes, bits, columns), f"contexts{turn}")
-        classes = stored(exchange(features, n_classes, inner), f"classes{turn}")
-    coded = stored(delivered(chunks, _with_classes(vocab, classes), KNOWN, np.array((OPEN_CLASS, 0), KNOWN), bits).drop("words", "counts"), "coded")
+        features = stored(contexts(frame, classes_of, n_classes, bits, columns), f"contexts{turn}", **GROUP)
+        if classes is not None:
+            discard(classes)
+        classes = stored(exchange(features, n_classes, inner), f"classes{turn}", **GROUP)
+        discard(features)
+    coded = stored(delivered(chunks, _with_classes(vocab, classes), KNOWN, np.array((OPEN_CLASS, 0), KNOWN), bits).drop("words", "counts"), "coded", **GROUP)
+    discard(chunks, vocab, classes)
     model = ClassModel(transitions(coded, n_classes), n, v, weight)
     parts = score_chunks(coded, model)
     whole = parts.groupBy("task", "ordinal").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base_score", "score")])

@@ -51,13 +51,22 @@ def unboxed(rows: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.select(*[column(c) for c in docs.columns])
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: cuts lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Deletes what ``stored`` wrote for frames that no later job reads."""
+    for df in frames:
+        spark, files = df.sparkSession, df.inputFiles()
+        if files:
+            path = spark._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class WordHashes(dict):
     """64-bit hash of each word seen; emptied when full, so memory is bounded and values never depend on it."""
 
