@@ -15,6 +15,8 @@ from evidence_spark import lexicons as L
 from evidence_spark.functions import dates
 from evidence_spark.functions import numbers as N
 from evidence_spark.functions import text as X
+from evidence_spark.operators import blocking as B
+from evidence_spark.operators import context as CX
 from evidence_spark.operators import tokens as K
 
 # --- fixed patterns -----------------------------------------------------------------------------------------------------
@@ -306,13 +308,16 @@ def interpret(claims: DataFrame, key: str, text: str, now_year: int, lexicon: L.
     base = base.withColumn("relative", F.transform(F.regexp_extract_all(X.norm("original"), F.lit(RELATIVE), F.lit(2)), lambda w: w))
     base = base.withColumn("question", is_question("original")).withColumn("stage", act_stage("main"))
     banned = [*lexicon.stop, *lexicon.negations, *lexicon.generic, *lexicon.months]
-    own = lambda c: F.filter(X.tokens(c), lambda w: ~F.array_contains(F.col("_etoks"), w))
+    # A hyphenated word is one term ("sul africano"); its parts are looked for apart.
+    own = lambda c: F.filter(F.transform(X.literal_words(c), X.norm), lambda w: ~F.array_contains(F.col("_etoks"), w))
     ranked = K.rank_terms(base.select(key, own("main").alias("m"), own("rest").alias("r")), key, F.col("m"), F.col("r"), banned)
     terms = ranked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("position", "term"))).alias("t")).select(  # six per claim
         key, F.transform("t", lambda s: s["term"]).alias("terms"))
+    base = base.withColumn("durations", CX.durations_in("clean"))
     first = quantities(base, [key, "main"], "main", lexicon, exclude="_etoks").filter(~is_duration(F.col("main"), F.col("raw"), F.col("unit")))
     q = first.groupBy(key).agg(F.min_by(F.struct("pos", "raw", "value", "unit", "unit_key", "quals", "comparator", "negated"), "pos").alias("quantity"))
     out = base.join(terms, key, "left").join(q, key, "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
+    out = out.withColumn("parts", CX.clauses_of(F.col("main"), F.col("terms")))
     out = out.withColumn("claim_type", claim_type(F.col("main_norm"), F.col("quantity").isNotNull(), F.col("years"), now_year,
                                                   F.col("relative"), patterns))
     out = out.withColumn("incomplete", F.col("quantity").isNull() & (
@@ -416,56 +421,152 @@ CATEGORY_RANK = {"descartado": 0, "contexto": 1, "anterior": 2, "incerto": 3, "d
 RELATIVE_MAX_AGE_DAYS, REFERENCE_WINDOW_DAYS = 14, 21
 
 
-def prepare_candidates(candidates: DataFrame, lexicon: L.Lexicon) -> DataFrame:
-    """Word arrays of each candidate, computed once before it meets the claims. Reads title, snippet; keeps the rest."""
+def prepare_candidates(candidates: DataFrame, lexicon: L.Lexicon, with_acronyms: bool = True) -> DataFrame:
+    """What a candidate says, computed once before it meets the claims. Reads title, snippet; keeps the rest.
+
+    ``with_acronyms=False`` leaves out the initials of the names in the text; only all-capital names of claims need them
+    (``has_capital_names``).
+    """
     full = F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.coalesce("snippet", F.lit("")))
     out = candidates.withColumn("c_text", full)
     out = out.withColumns({"c_tokens": X.tokens("c_text"), "t_tokens": X.tokens("title"), "c_numbers": N.numbers_in("c_text")})
+    none = F.array().cast("array<string>")
+    initials = lambda c: acronyms_of(entities(c, lexicon), lexicon.connectors) if with_acronyms else none
     return out.withColumns({
         "c_norm": F.array_join("c_tokens", " "), "c_set": F.array_distinct("c_tokens"), "c_stems": X.stems_of_tokens(F.col("c_tokens")),
-        "t_norm": F.array_join("t_tokens", " "), "t_stems": X.stems_of_tokens(F.col("t_tokens"))})
+        "t_norm": F.array_join("t_tokens", " "), "t_stems": X.stems_of_tokens(F.col("t_tokens")),
+        "c_acronyms": initials("c_text"), "t_acronyms": initials("title"), "c_months": months_in(F.col("c_tokens"), lexicon),
+        "c_negated": X.has_any(F.col("c_tokens"), lexicon.negations)}).drop("c_text")
 
 
 def months_in(tokens: Column, lexicon: L.Lexicon) -> Column:
     return F.array_intersect(F.array_distinct(tokens), X.words_array(lexicon.months))
 
 
+def has_capital_names(claims: DataFrame) -> bool:
+    return not claims.filter(F.exists("entities", lambda e: e.rlike(r"^\p{Lu}{2,}$"))).isEmpty()
+
+
+# What a claim knows from its own article; absent columns count as empty.
+ARTICLE_COLUMNS = {"aliases": "array<struct<name:string,alias:string>>", "vocabulary": "array<string>", "topics": "array<string>"}
+STABLE_TYPES = ["contagem", "quantidade_periodo", "fato_historico"]
+SCORED_ENTITIES, SCORED_TERMS = 4, 5
+
+
+def _parts(term: Column) -> Column:
+    return F.filter(F.split(term, " "), lambda w: F.length(w) >= 3)
+
+
+def term_hit(term: Column, stems: Column) -> Column:
+    """The term's stem, or for a hyphenated term the stems of all its parts, are among ``stems``."""
+    parts = _parts(term)
+    return F.array_contains(stems, X.stem(term)) | ((F.size(parts) >= 2) & F.forall(parts, lambda w: F.array_contains(stems, X.stem(w))))
+
+
+def need_of(n_entities: Column, n_terms: Column, quantity: Column, stable: Column) -> Column:
+    """How many details a direct source shares with the claim."""
+    need = F.when(n_entities == 0, F.when(n_terms <= 3, n_terms).otherwise(F.floor((2 * n_terms + 2) / 3))).otherwise(F.when(n_terms <= 1, 1).otherwise(2))
+    return F.when(quantity.isNull() & ~stable & (n_terms >= 4), F.greatest(need, F.floor((n_terms * 3 + 4) / 5))).otherwise(need).cast("int")
+
+
+def with_article_columns(claims: DataFrame) -> DataFrame:
+    missing = {c: F.array().cast(kind) for c, kind in ARTICLE_COLUMNS.items() if c not in claims.columns}
+    return claims.withColumns(missing) if missing else claims
+
+
+def blocking_keys(claims: DataFrame) -> DataFrame:
+    """Adds ``keys`` and ``least`` (details a pair must share if no name does it) and ``names`` (name keys, one shared is enough).
+
+    Every pair that ``assess`` does not discard shares ``least`` of the keys or one name key. Terms, own vocabulary, numbers
+    and months are details; a hyphenated term is held by the first of its parts.
+    """
+    c = with_article_columns(claims)
+    terms, ents = F.slice("terms", 1, SCORED_TERMS), F.slice("entities", 1, SCORED_ENTITIES)
+    first = lambda t: X.stem(F.coalesce(F.get(_parts(t), F.lit(0)), t))
+    keys = F.array_distinct(F.concat(B.prefixed("t:", F.transform(terms, first)), B.prefixed("t:", F.transform("vocabulary", first)), B.prefixed("n:", F.col("numbers")),
+                                     B.prefixed("m:", F.col("_months"))))
+    nt, ne, stable = F.size(terms), F.size(ents), F.col("claim_type").isin(STABLE_TYPES)
+    need = need_of(ne, nt, F.col("quantity"), stable)
+    half = F.greatest(F.lit(2), F.ceil(nt / 2)).cast("int")
+    nameless = F.least(need, half, F.when(F.size("parts") > 0, F.lit(2)).otherwise(need))
+    # With names none of which is found: both core terms, or ``need`` terms.
+    unnamed = F.least(F.lit(2), F.greatest(need, F.lit(1)))
+    # Two terms may share a first part: the count of keys is the bound then.
+    least = F.greatest(F.lit(1), F.least(F.when(F.col("incomplete"), F.lit(1)).when(ne == 0, nameless).otherwise(unnamed), F.size("keys")))
+    return c.withColumn("keys", keys).withColumn("least", least)
+
+
+def name_keys(lexicon: L.Lexicon) -> Column:
+    """Words one of which stands in every text that mentions one of the claim's names, in full, by its words, its initials or an alias."""
+    link = X.words_array(lexicon.connectors)
+
+    def of(e: Column) -> Column:
+        words = F.filter(F.split(X.norm(e), " "), lambda w: w != "")
+        long = F.filter(words, lambda w: (F.length(w) >= 3) & ~F.array_contains(link, w))
+        initials = F.array_join(F.transform(long, lambda w: F.substring(w, 1, 1)), "")
+        return F.array(F.get(words, F.lit(0)), F.get(long, F.lit(0)), F.when(F.size(long) > 1, initials), F.when(e.rlike(r"^\p{Lu}{2,}$"), F.concat(F.lit("*"), X.norm(e))))
+
+    ents = F.slice("entities", 1, SCORED_ENTITIES)
+    known = F.filter("aliases", lambda a: F.array_contains(ents, a["name"]))
+    return F.array_compact(F.array_distinct(F.concat(F.flatten(F.transform(ents, of)), F.transform(known, lambda a: F.get(F.split(X.norm(a["alias"]), " "), F.lit(0))))))
+
+
+def candidate_pairs(claims: DataFrame, prepared: DataFrame, key: str, cand: str, lexicon: L.Lexicon) -> DataFrame:
+    """(key, cand) of every pair that ``assess`` may keep: no cap, no all-pairs. Reads ``interpret`` and ``prepare_candidates`` columns.
+
+    Encyclopedia candidates are kept for one shared detail already. A pair that shares no detail and no name is never kept.
+    """
+    c = claims.withColumn("_months", months_in(X.tokens("main"), lexicon))
+    c = blocking_keys(c).withColumn("names", name_keys(lexicon))
+    details = F.concat(B.prefixed("t:", F.col("c_stems")), B.prefixed("n:", F.col("c_numbers")), B.prefixed("m:", F.col("c_months")))
+    initials = B.prefixed("*", F.array_distinct(F.col("c_acronyms")))
+    held = prepared.select(cand, "origin", F.explode(details).alias("key"))
+    named = prepared.select(cand, F.explode(F.concat(F.col("c_set"), initials)).alias("key"))
+    ask = c.select(key, "keys", "least", "names")
+    met = B.shared_at_least(ask, held.filter("origin <> 'wikipedia'"), key, cand)
+    met = met.unionByName(B.any_shared(ask, held.filter("origin = 'wikipedia'"), key, cand))
+    by_name = B.any_shared(ask.filter(F.size("names") > 0).select(key, F.col("names").alias("keys")), named, key, cand)
+    return met.unionByName(by_name).distinct()
+
+
 def assess(pairs: DataFrame, now: Column, lexicon: L.Lexicon = L.PT) -> DataFrame:
     """Relevance of each candidate to its claim: coverage, score, category (direto, anterior, contexto, descartado), alerts.
 
     ``pairs`` joins ``interpret`` output with ``prepare_candidates`` output (plus origin, content_kind, published,
-    disambiguation).
+    disambiguation). From the claim's own article, where there is one: ``aliases`` (name, alias) count as the name,
+    ``vocabulary`` may stand for one missing term, ``topics`` are the words its clauses must hold.
     """
     none = F.array().cast("array<string>")
-    p = pairs.withColumns({"ents": F.slice("entities", 1, 4), "tms": F.slice("terms", 1, 5)})
-    # Only an all-capital name can meet an acronym, so the source's acronyms are read for such claims alone.
-    capital = F.exists("ents", lambda e: e.rlike(r"^\p{Lu}{2,}$"))
-    claim_months, cand_months = months_in(X.tokens("main"), lexicon), months_in(F.col("c_tokens"), lexicon)
-    p = p.withColumns({
-        "c_acronyms": F.when(capital, acronyms_of(entities("c_text", lexicon), lexicon.connectors)).otherwise(none),
-        "term_hits": F.filter("tms", lambda w: F.array_contains("c_stems", X.stem(w))), "core": F.slice("tms", 1, 2),
-        "num_hits": F.array_intersect("numbers", "c_numbers"), "month_hit": F.arrays_overlap(claim_months, cand_months),
-        "other_month": (F.size(claim_months) > 0) & ~F.arrays_overlap(claim_months, cand_months) & (F.size(cand_months) > 0)})
-    match = lambda e, n, s: entity_match(e, n, s, F.col("c_acronyms"), lexicon.connectors)
+    p = with_article_columns(pairs).withColumns({"ents": F.slice("entities", 1, SCORED_ENTITIES), "tms": F.slice("terms", 1, SCORED_TERMS)})
+    claim_months = months_in(X.tokens("main"), lexicon)
+    match = lambda e, n, s, a: entity_match(e, n, s, a, lexicon.connectors) | F.exists("aliases", lambda x: (x["name"] == e) & X.phrase_in(X.norm(x["alias"]), n))
     p = p.withColumns({
-        "ent_hits": F.filter("ents", lambda e: match(e, F.col("c_norm"), F.col("c_set"))),
-        "core_hit": (F.size("core") == 2) & (F.size(F.array_except("core", "term_hits")) == 0),
-        "title_hits": F.size(F.filter("ents", lambda e: match(e, F.col("t_norm"), F.col("t_tokens")))) + F.size(
-            F.filter("tms", lambda w: F.array_contains("t_stems", X.stem(w)))),
-        "near_neg": K.negated_near(F.col("c_tokens"), lexicon.negations, F.transform("core", X.stem))})
+        "direct_hits": F.filter("tms", lambda w: term_hit(w, F.col("c_stems"))), "core": F.slice("tms", 1, 2),
+        "num_hits": F.array_intersect("numbers", "c_numbers"), "month_hit": F.arrays_overlap(claim_months, "c_months"),
+        "other_month": (F.size(claim_months) > 0) & ~F.arrays_overlap(claim_months, "c_months") & (F.size("c_months") > 0),
+        "ent_hits": F.filter("ents", lambda e: match(e, F.col("c_norm"), F.col("c_set"), F.col("c_acronyms")))})
+    missing = F.get(F.array_except("tms", "direct_hits"), F.lit(0))
+    spoken = F.exists("vocabulary", lambda v: term_hit(v, F.col("c_stems"))) & missing.isNotNull() & (F.size("direct_hits") == 1)
+    p = p.withColumn("term_hits", F.when(spoken, F.concat("direct_hits", F.array(missing))).otherwise(F.col("direct_hits")))
+    p = p.withColumn("core_hit", (F.size("core") == 2) & (F.size(F.array_except("core", "term_hits")) == 0))
     ne, nt = F.size("ents"), F.size("tms")
     eh, th = F.size("ent_hits"), F.size("term_hits")
     rank = F.element_at(F.create_map(*[F.lit(v) for kv in CONTENT_RANK.items() for v in kv]), F.col("content_kind"))
-    stable = F.col("claim_type").isin("contagem", "quantidade_periodo", "fato_historico")
-    need = F.when(ne == 0, F.when(nt <= 3, nt).otherwise(F.floor((2 * nt + 2) / 3))).otherwise(F.when(nt <= 1, 1).otherwise(2))
-    need = F.when(F.col("quantity").isNull() & ~stable & (nt >= 4), F.greatest(need, F.floor((nt * 3 + 4) / 5))).otherwise(need)
+    stable = F.col("claim_type").isin(STABLE_TYPES)
     num_detail = (F.size("num_hits") > 0) & ((F.size("num_hits") == F.size("numbers")) | F.exists("num_hits", lambda n: F.length(n) >= 2))
     p = p.withColumns({
         "ent_cov": F.when(ne > 0, eh / ne).otherwise(F.lit(1.0)), "term_cov": F.when(nt > 0, th / nt).otherwise(F.lit(0.0)),
-        "need": need.cast("int"), "detail_hits": th + num_detail.cast("int") + F.col("month_hit").cast("int")})
+        "need": need_of(ne, nt, F.col("quantity"), stable), "detail_hits": th + num_detail.cast("int") + F.col("month_hit").cast("int")})
     full_ents = (ne == 0) | (F.col("ent_cov") == 1.0)
     dh = F.col("detail_hits")
-    direct = (full_ents & (dh >= F.col("need"))) | ((F.col("ent_cov") >= 0.5) & (dh >= F.col("need") + 1))
+    duration = F.get("durations", F.lit(0))
+    anchor = F.coalesce(N.number_key(F.get(F.split(duration, " "), F.lit(0))), F.get("numbers", F.lit(0)))
+    near_anchor = CX.terms_near_anchor(X.tokens("main"), anchor, F.col("tms"))
+    # Same actor, action and object; only words that say what the number is about are missing.
+    detail_only = anchor.isNotNull() & F.col("core_hit") & (ne > 0) & (F.col("ent_cov") == 1.0) & (F.size(F.array_except(F.array_except("tms", "term_hits"), near_anchor)) == 0)
+    on_topic = lambda part: (F.size("topics") == 0) | F.exists(part, lambda w: F.array_contains("topics", X.topic_key(w)))
+    clause = full_ents & F.exists("parts", lambda part: (F.size(F.array_except(part, F.col("term_hits"))) == 0) & on_topic(part))
+    direct = (full_ents & (dh >= F.col("need"))) | ((F.col("ent_cov") >= 0.5) & (dh >= F.col("need") + 1)) | detail_only | clause
     first = (F.when(F.col("origin") == "wikipedia",
                     F.when(F.col("disambiguation"), F.lit("descartado")).when(~stable & (th < 2), F.lit("descartado"))
                     .when((eh > 0) | (th > 0), F.lit("contexto")).otherwise(F.lit("descartado")))
@@ -479,18 +580,32 @@ def assess(pairs: DataFrame, now: Column, lexicon: L.Lexicon = L.PT) -> DataFram
              .otherwise(F.lit("descartado")))
     score = F.round(0.5 * F.col("ent_cov") + 0.5 * F.col("term_cov") + 0.1 * F.size("num_hits") + 0.02 * rank, 3)
     p = p.withColumns({"triage": first, "score": score})
+    # What follows reads titles and word order; only pairs that the triage calls direct need it.
+    is_direct = F.col("triage") == "direto_lexical"
+    on_title = F.size(F.filter("ents", lambda e: match(e, F.col("t_norm"), F.col("t_tokens"), F.col("t_acronyms")))) + F.size(
+        F.filter("tms", lambda w: F.array_contains("t_stems", X.stem(w))))
+    action = F.get("core", F.lit(0))
+    clause_stage = act_stage(CX.main_clause(F.col("title"), action))
+    other_stage = F.col("stage").isNull() | ~F.coalesce(clause_stage == F.col("stage"), F.lit(False))
+    detail_terms = F.when(anchor.isNotNull(), F.array_except(near_anchor, F.col("core"))).otherwise(F.slice("tms", 3, SCORED_TERMS))
+    told = F.size(F.filter(detail_terms, lambda w: F.array_contains("c_stems", X.stem(w))))
+    has_detail = (F.size("num_hits") > 0) | (told >= F.greatest(F.least(F.lit(2), F.size(detail_terms)), F.lit(1)))
+    aside = F.exists("core", lambda w: CX.only_subordinate(F.col("title"), w)) & other_stage & ~has_detail
+    p = p.withColumns({
+        "title_hits": F.when(is_direct, on_title).otherwise(F.lit(0)), "aside": F.when(is_direct, F.coalesce(aside, F.lit(False))).otherwise(F.lit(False)),
+        "near_neg": F.when(is_direct, K.negated_near(F.col("c_tokens"), lexicon.negations, F.transform("core", X.stem)))})
     pub, age = F.col("published"), F.datediff(now, F.col("published"))
     cited_year = F.exists("years", lambda y: F.contains(F.col("c_norm"), y.cast("string")))
     reference = F.col("reference_date") if "reference_date" in pairs.columns else F.lit(None).cast("timestamp")
     aged = (F.when((F.size("years") > 0) & ~F.array_contains("years", F.year(pub)) & ~cited_year, True)
             .when(reference.isNotNull() & (F.datediff(reference, pub) > REFERENCE_WINDOW_DAYS), True)
             .when((F.size("relative") > 0) & (age > RELATIVE_MAX_AGE_DAYS), True).otherwise(False))
-    category = (F.when(F.col("triage") != "direto_lexical", F.col("triage"))
-                .when(F.col("title_hits") < 2, F.lit("contexto"))
+    category = (F.when(~is_direct, F.col("triage"))
+                .when(F.col("aside"), F.lit("contexto")).when(F.col("title_hits") < 2, F.lit("contexto"))
                 .when(F.col("negated") != F.col("near_neg"), F.lit("contexto")).when(F.col("other_month"), F.lit("contexto"))
                 .when(pub.isNotNull() & aged, F.lit("anterior")).otherwise(F.lit("direto")))
     p = p.withColumn("category", category)
-    has_neg = X.has_any(F.col("c_tokens"), lexicon.negations)
+    has_neg = F.col("c_negated")
     plain_numbers = F.filter("c_numbers", lambda n: ~n.rlike("^(19|20)[0-9]{2}$"))
     alerts = F.filter(F.array(
         F.when(F.col("negated") & ~has_neg, F.lit("negation_only_in_claim")),

@@ -13,6 +13,7 @@ from evidence_spark.operators.ranking import best_per_key
 from evidence_spark.operators.simjoin import blocked_candidates
 from evidence_spark.plans import sqltext as S
 from evidence_spark.plans.registry import query
+from evidence_spark.session import cut_lineage
 
 LEX = L.EUROPEAN
 STOP, NEG = LEX.stop, LEX.negations
@@ -186,52 +187,52 @@ def document_candidates(t):
 
 
 def relevance_pairs(t):
+    """Claims with every document that some relevance class other than ``descartado`` may hold."""
     claims = bench_claims(t)
-    stems = t.documents.select("doc_id", F.array_distinct(F.transform(X.title_key("text", STOP), X.stem)).alias("stems"))
-    wanted = claims.select("item_id", F.array_distinct(F.transform("terms", X.stem)).alias("stems"))
-    near = blocked_candidates(wanted, stems, "item_id", "doc_id", 60).drop("position")
-    # Only documents that some claim reads are prepared, once each.
-    prepared = C.prepare_candidates(J.keep_in(document_candidates(t), near.select("doc_id").distinct(), ["doc_id"]), LEX)
-    return near.join(prepared, "doc_id").join(claims, "item_id")
+    candidates = document_candidates(t)
+    prepared = C.prepare_candidates(candidates, LEX, C.has_capital_names(claims))
+    near = cut_lineage(C.candidate_pairs(claims, prepared, "item_id", "doc_id", LEX))
+    # Only documents that some claim reads are joined, prepared before they meet the claims.
+    read = C.prepare_candidates(J.keep_in(candidates, near.select("doc_id").distinct(), ["doc_id"]), LEX, C.has_capital_names(claims))
+    return near.join(claims, "item_id").join(read, "doc_id")
 
 
 def assessed(t):
-    return C.assess(relevance_pairs(t), now(), LEX)
+    return C.assess(relevance_pairs(t), now(), LEX).filter(F.col("category") != "descartado")
 
 
 BAN = [*STOP, *NEG, *LEX.generic, *LEX.months]
+PARTS = "list_filter(string_split(t,' '), lambda w: length(w) >= 3)"
+
+
+def _term_hits(terms, stems):
+    return (f"list_filter({terms}, lambda t: list_contains({stems}, {S.stem('t')}) or (len({PARTS}) >= 2 and len(list_filter({PARTS}, lambda w: not list_contains({stems}, {S.stem('w')}))) = 0))")
+
+
+def _own_words(c):
+    return f"list_filter(list_transform({S.literal_words(c)}, lambda w: {S.norm('w')}), lambda w: not list_contains(etoks, w))"
+
+
+STAGE = "case " + " ".join(f"when regexp_matches(' ' || {S.norm('main')} || ' ', {S.q(' (' + p + ') ')}) then '{n}'" for n, p in L.STAGES_PT) + " end"
 REL = f"""with c as (select item_id, {S.sentences('text')} as s, text from benchmark),
 m as (select item_id, text, s, coalesce(list_filter(s, lambda x: len(list_filter({S.tokens('x')}, lambda w: not list_contains({S.words(STOP)}, w))) >= 3)[1], s[1], '') as main from c),
 en as (select k as item_id, list(n) as ents, flatten(list(string_split(n,' '))) as etoks from {ents_sql('benchmark', 'item_id', 'text')} group by k),
-me as materialized (select m.*, {S.tokens('main')} as mt, len(list_intersect({S.tokens('m.text')}, {S.words(NEG)})) > 0 as negated, regexp_matches({S.norm('m.text')},{S.q(C.RELATIVE)}) as relative,
+me as materialized (select m.*, {S.tokens('main')} as mt, {STAGE} as stage, len(list_intersect({S.tokens('m.text')}, {S.words(NEG)})) > 0 as negated, regexp_matches({S.norm('m.text')},{S.q(C.RELATIVE)}) as relative,
   {S.numbers_in('m.text')} as all_nums, coalesce(ents, []) as ents, coalesce(etoks, []) as etoks, array_to_string(list_filter(s, lambda x: x <> main),' ') as rest from m left join en using (item_id)),
-w as (select item_id, unnest(list_transform(list_filter({S.tokens('main')}, lambda w: not list_contains(etoks, w)), lambda w, i: {{'w': w, 'weight': 2, 'pos': i}})) as t from me
-  union all select item_id, unnest(list_transform(list_filter({S.tokens('rest')}, lambda w: not list_contains(etoks, w)), lambda w, i: {{'w': w, 'weight': 1, 'pos': i+1000000}})) from me),
+w as (select item_id, unnest(list_transform({_own_words('main')}, lambda w, i: {{'w': w, 'weight': 2, 'pos': i}})) as t from me
+  union all select item_id, unnest(list_transform({_own_words('rest')}, lambda w, i: {{'w': w, 'weight': 1, 'pos': i+1000000}})) from me),
 g as (select item_id, {S.stem('t.w')} as stem, sum(t.weight) as score, min(t.pos) as first, arg_min(t.w, t.pos) as term from w
   where length(t.w) >= 3 and not list_contains({S.words(BAN)}, t.w) and not regexp_matches(t.w,'^[0-9,]+$') group by 1, 2),
 r as (select *, row_number() over (partition by item_id order by score desc, first) as position from g),
-tm as (select item_id, list(stem order by position) as stems from r where position <= 6 group by 1),
-ds as (select doc_id, unnest(list_distinct(list_transform({S.title_key('text', STOP)}, lambda w: {S.stem('w')}))) as stem from documents),
-cs as (select item_id, unnest(stems) as stem from tm),
-p as (select item_id, doc_id, count(*) as shared from cs join ds using (stem) group by all),
-k as (select *, row_number() over (partition by item_id order by shared desc, doc_id) as position from p),
+tm as (select item_id, list(term order by position) as terms from r where position <= 6 group by 1),
 d as (select doc_id, string_split(text,chr(10))[1] || '. ' || text as full_text, string_split(text,chr(10))[1] as title from documents),
-f as materialized (select doc_id, {S.norm('title')} as tn, {S.norm('full_text')} as cn, {S.stems_of(S.tokens('full_text'))} as cst, {S.stems_of(S.tokens('title'))} as tst, {S.numbers_in('full_text')} as nums from d),
-x as (select k.item_id, k.doc_id, me.ents[1:4] as ents, tm.stems[1:5] as tms, f.*,
+f as materialized (select doc_id, title, {S.norm('title')} as tn, {S.norm('full_text')} as cn, {S.stems_of(S.tokens('full_text'))} as cst, {S.stems_of(S.tokens('title'))} as tst, {S.numbers_in('full_text')} as nums from d),
+x as (select me.item_id, f.*, me.stage, me.ents[1:4] as ents, tm.terms[1:5] as tms, list_transform(tm.terms[1:5], lambda t: {S.stem('t')}) as tmst,
    list_filter(me.all_nums, lambda n: n <> '' and not regexp_matches(n,'{C.YEAR}'))[1:4] as cnums
-   from k join me using (item_id) join tm using (item_id) join f using (doc_id) where k.position <= 60)
+   from me join tm using (item_id) cross join f),
 """
 
 
-@query("relevance_scores", "C-14", REL + """
-select item_id, doc_id, len(list_intersect(tms, cst))::integer as term_hits, round(0.5*(len(list_intersect(tms, cst))/len(tms)),3) as term_score,
-  len(list_intersect(cnums, nums))::integer as num_hits, len(list_intersect(tms, tst))::integer as title_term_hits from x""")
-def relevance_scores(t):
-    a = assessed(t)
-    return a.select("item_id", "doc_id", F.size("term_hits").alias("term_hits"), F.round(0.5 * F.col("term_cov"), 3).alias("term_score"),
-                    F.size("num_hits").alias("num_hits"), F.size(F.filter("tms", lambda w: F.array_contains("t_stems", X.stem(w)))).alias("title_term_hits"))
-
-
 def _names_in(cn, toks, bare):
     """How many of the claim's names a text mentions (no name of the given claims is a lone acronym)."""
     conn = S.words(LEX.connectors)
@@ -241,56 +242,77 @@ def _names_in(cn, toks, bare):
 
 
 _BARE = "array_to_string(list_filter(string_split({c},' '), lambda w: not list_contains({conn}, w)),' ')"
-CATEGORY = REL.rstrip() + f""",
+# The words before a title's word, and whether they end in subordinating words.
+_PIECE = rf"[^\p{{L}}\p{{N}}_]*{X.WORD}"
+_BEFORE = r"(array_to_string(pc[1:i-1],'') || regexp_extract(pc[i],'^([^\p{L}\p{N}_]*)',1))"
+_LEAD = S.q(C.CX.SUBORDINATE.replace("(?:^|(?<=[^\\p{L}\\d]))", "(?:^|[^\\p{L}\\d])") + "$")
+_ASIDE = f"""len(list_filter(tmst[1:2], lambda a: len(list_filter(range(1,len(pc)+1), lambda i: ps[i] = a)) > 0
+   and len(list_filter(range(1,len(pc)+1), lambda i: ps[i] = a and not regexp_matches({_BEFORE},{_LEAD}))) = 0)) > 0"""
+CATEGORY = REL.rstrip() + f"""
 z as materialized (select x.*, me.mt, string_split(cn,' ') as ct, string_split(tn,' ') as tt, {_BARE.format(c='cn', conn=S.words(LEX.connectors))} as bare, {_BARE.format(c='tn', conn=S.words(LEX.connectors))} as tbare, me.negated, me.relative,
-  date_diff('day', date '2023-12-01' + (x.doc_id % 200)::integer, date '2024-06-01') as age from x join me using (item_id)),
-h as (select *, len(ents) as ne, len(tms) as nt, len(list_intersect(tms,cst)) as th, {_names_in('cn', 'ct', 'bare')} as eh,
-  len(list_intersect(tms,tst)) + {_names_in('tn', 'tt', 'tbare')} as title_hits,
+  {_term_hits('tms', 'cst')} as hits, date_diff('day', date '2023-12-01' + (x.doc_id % 200)::integer, date '2024-06-01') as age from x join me using (item_id)),
+h as (select *, len(ents) as ne, len(tms) as nt, len(hits) as th, {_names_in('cn', 'ct', 'bare')} as eh, len(hits) >= 2 and len(list_intersect(tms[1:2], hits)) = 2 as core_hit,
   len(list_intersect(mt, {S.words(LEX.months)})) > 0 and len(list_intersect(mt, list_intersect(ct, {S.words(LEX.months)}))) > 0 as month_hit,
-  len(list_intersect(mt, {S.words(LEX.months)})) > 0 and len(list_intersect(ct, {S.words(LEX.months)})) > 0 as months_both,
-  case when len(list_intersect(ct, {S.words(NEG)})) = 0 then false when len(tms)=0 then true when len(list_intersect(tms[1:2], cst)) = 0 then false else len(list_filter(range(1,len(ct)+1), lambda i: list_contains({S.words(NEG)}, ct[i]) and len(list_intersect(
-    list_transform(ct[i+1:i+4], lambda w: {S.stem('w')}), tms[1:2])) > 0)) > 0 end as near_neg from z),
+  len(list_intersect(mt, {S.words(LEX.months)})) > 0 and len(list_intersect(ct, {S.words(LEX.months)})) > 0 as months_both from z),
 n as (select *, case when ne>0 then eh/ne else 1.0 end as ec, case when nt>0 then th/nt else 0.0 end as tc, th + month_hit::int as dh,
   greatest(case when ne=0 then case when nt<=3 then nt else (2*nt+2)//3 end else case when nt<=1 then 1 else 2 end end, case when nt>=4 then (nt*3+4)//5 else 0 end) as need from h),
 t as (select *, case when ne+nt<=1 then case when eh>0 or th>0 then 'contexto' else 'descartado' end when ne>0 and eh>0 and dh=0 then 'descartado'
   when ((ne=0 or ec=1) and dh>=need) or (ec>=0.5 and dh>=need+1) then 'direto_lexical' when eh>0 and th>0 then 'contexto' when eh>0 and dh>0 then 'descartado'
-  when ne=0 and th>=2 and tc>=0.5 then 'contexto' when ne>0 and eh=0 and ((th>=need and tc>=0.6) or (len(tms)>=2 and len(list_intersect(tms[1:2],cst))=2)) then 'contexto' else 'descartado' end as triage from n),
-k2 as (select item_id, doc_id, cn, title_hits, round(0.5*ec+0.5*tc+0.04,3) as score, case when triage <> 'direto_lexical' then triage when title_hits<2 then 'contexto' when negated<>near_neg then 'contexto'
-  when months_both and not month_hit then 'contexto' when relative and age>14 then 'anterior' else 'direto' end as category,
-  (ne=0 or ec=1) and ((ne>0 and len(list_intersect(tms[1:2],cst))=2) or dh>=need+1) as core_strong from t)"""
+  when ne=0 and th>=2 and tc>=0.5 then 'contexto' when ne>0 and eh=0 and ((th>=need and tc>=0.6) or core_hit) then 'contexto' else 'descartado' end as triage from n),
+o as (select *, regexp_extract_all(title,{S.q(_PIECE)}) as pc from t where triage <> 'descartado'),
+o2 as (select *, list_transform(pc, lambda p: {S.stem(S.norm('p'))}) as ps from o),
+o3 as (select *, len(list_intersect(tmst,tst)) + {_names_in('tn', 'tt', 'tbare')} as on_title, {_ASIDE} and stage is null and len(list_intersect(tmst[3:], cst)) < greatest(least(2, len(tms)-2), 1) as aside,
+  case when len(list_intersect(ct, {S.words(NEG)})) = 0 then false when len(tms)=0 then true when len(list_intersect(tmst[1:2], cst)) = 0 then false else len(list_filter(range(1,len(ct)+1), lambda i: list_contains({S.words(NEG)}, ct[i]) and len(list_intersect(
+    list_transform(ct[i+1:i+4], lambda w: {S.stem('w')}), tmst[1:2])) > 0)) > 0 end as near_neg from o2),
+k2 as (select item_id, doc_id, cn, len(hits)::integer as term_hits, len(list_intersect(cnums, nums))::integer as num_hits, len(list_intersect(tmst, tst))::integer as title_term_hits, round(0.5*tc,3) as term_score,
+  case when triage = 'direto_lexical' then on_title else 0 end as title_hits, round(0.5*ec+0.5*tc+0.04,3) as score, case when triage <> 'direto_lexical' then triage when aside then 'contexto' when on_title<2 then 'contexto' when negated<>near_neg then 'contexto'
+  when months_both and not month_hit then 'contexto' when relative and age>14 then 'anterior' else 'direto' end as category, (ne=0 or ec=1) and ((ne>0 and core_hit) or dh>=need+1) as core_strong from o3)"""
+
+
+@query("relevance_scores", "C-14", CATEGORY + """
+select item_id, doc_id, term_hits, term_score, num_hits, title_term_hits from k2""")
+def relevance_scores(t):
+    a = assessed(t)
+    return a.select("item_id", "doc_id", F.size("term_hits").alias("term_hits"), F.round(0.5 * F.col("term_cov"), 3).alias("term_score"),
+                    F.size("num_hits").alias("num_hits"), F.size(F.filter("tms", lambda w: F.array_contains("t_stems", X.stem(w)))).alias("title_term_hits"))
 
 
 @query("relevance", "C-14 T-06", CATEGORY + """
 select item_id, doc_id, score, category, title_hits::integer as title_hits, category='direto' and core_strong as strong from k2""")
 def relevance(t):
+    """Every pair of claim and document that has a relevance class."""
     return assessed(t).select("item_id", "doc_id", "score", "category", "title_hits", "strong")
 
 
 @query("reassess_with_page", "C-15")
 def reassess_with_page(t):
-    """First pass on titles only, second pass on the opening of the text: promotion only. Both passes prepare each
-    document once and meet the claims in one join."""
+    """First pass on titles only, second pass on the opening of the text: promotion only. Pairs that share a stem but that neither
+    pass can keep stay discarded without being read."""
     claims = bench_claims(t)
     stems = t.documents.select("doc_id", F.array_distinct(F.transform(X.title_key("text", STOP), X.stem)).alias("stems"))
     wanted = claims.select("item_id", F.array_distinct(F.transform("terms", X.stem)).alias("stems"))
-    near = blocked_candidates(wanted, stems, "item_id", "doc_id")
-    read = J.keep_in(document_candidates(t), near.select("doc_id").distinct(), ["doc_id"])
+    shared = blocked_candidates(wanted, stems, "item_id", "doc_id").select("item_id", "doc_id")
+    capital = C.has_capital_names(claims)
+    candidates = document_candidates(t)
+    near = cut_lineage(C.candidate_pairs(claims, C.prepare_candidates(candidates, LEX, capital), "item_id", "doc_id", LEX))
+    read = J.keep_in(candidates, near.select("doc_id").distinct(), ["doc_id"])
     texts = F.array(F.struct(F.lit(1).alias("reading"), F.lit("").alias("snippet")),
                     F.struct(F.lit(2).alias("reading"), C.opening_of(X.stems("title"), F.col("snippet")).alias("snippet")))
     twice = read.select(*[c for c in read.columns if c != "snippet"], F.inline(texts))
-    judged = C.assess(near.join(C.prepare_candidates(twice, LEX), "doc_id").join(claims, "item_id"), now(), LEX)
-    return C.best_of_readings(judged, ["item_id", "doc_id"])
+    judged = C.assess(near.join(claims, "item_id").join(C.prepare_candidates(twice, LEX, capital), "doc_id"), now(), LEX)
+    best = C.best_of_readings(judged, ["item_id", "doc_id"])
+    both = shared.unionByName(near).distinct().join(best, ["item_id", "doc_id"], "left")
+    return both.select("item_id", "doc_id", F.coalesce("category", F.lit("descartado")).alias("category"), F.coalesce("promoted", F.lit(False)).alias("promoted"))
 
 
 @query("claim_evidence", "J-07 C-14 W-01", CATEGORY + """,
-rk as (select *, case category when 'contexto' then 1 when 'anterior' then 2 when 'incerto' then 3 when 'direto' then 4 end as cr from k2 where category <> 'descartado'),
+rk as (select *, case category when 'contexto' then 1 when 'anterior' then 2 when 'incerto' then 3 when 'direto' then 4 end as cr from k2),
 b as (select *, row_number() over (partition by item_id, cn order by cr desc, score desc, doc_id) as rn from rk)
 select item_id, b.doc_id, category, score, source from b join documents using (doc_id) where rn = 1""")
 def claim_evidence(t):
     """Flagship: for every claim, its sources by relevance class - best class and score first, copies of a text counted once."""
-    judged = assessed(t).filter(F.col("category") != "descartado")
     rank = F.struct(C.category_rank("category"), "score", -F.col("doc_id"))
-    unique = best_per_key(judged.withColumn("copy_key", F.xxhash64("c_norm")), ["item_id", "copy_key"], rank, ["doc_id", "category", "score", "published", "source"])
+    unique = best_per_key(assessed(t).withColumn("copy_key", F.xxhash64("c_norm")), ["item_id", "copy_key"], rank, ["doc_id", "category", "score", "published", "source"])
     return unique.select("item_id", "doc_id", "category", "score", "source")
 
 

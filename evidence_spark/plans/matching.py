@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from evidence_spark.functions import numbers as N
 from evidence_spark.functions import text as X
 from evidence_spark.lexicons import EUROPEAN
+from evidence_spark.operators import blocking as B
 from evidence_spark.operators import dedupe as D
 from evidence_spark.operators import joins as J
 from evidence_spark.operators import quality as Q
@@ -320,16 +321,15 @@ def capture_scores(t):
 
 
 @query("claim_candidates", "J-07", f"""
-with b as (select item_id, {S.title_key('text', STOP)} as k from benchmark), d as (select doc_id, text from documents),
-bs as (select item_id, unnest(list_distinct(list_transform(k, lambda w: {S.stem('w')}))) as stem from b),
-ds as (select doc_id, unnest(list_distinct(list_transform({S.title_key('text', STOP)}, lambda w: {S.stem('w')}))) as stem from d),
-p as (select item_id, doc_id, count(*) as shared from bs join ds using (stem) group by all),
-r as (select *, row_number() over (partition by item_id order by shared desc, doc_id) as position from p)
-select item_id, doc_id, shared, position::integer as position from r where position <= 60""")
+with b as (select item_id, list_distinct(list_transform({S.title_key('text', STOP)}, lambda w: {S.stem('w')})) as k from benchmark),
+bs as (select item_id, greatest(2, ceil(len(k) / 3)) as least, unnest(k) as stem from b),
+ds as (select doc_id, unnest(list_distinct(list_transform({S.title_key('text', STOP)}, lambda w: {S.stem('w')}))) as stem from documents)
+select item_id, doc_id from bs join ds using (stem) group by item_id, doc_id, least having count(*) >= least""")
 def claim_candidates(t):
+    """All documents that share at least a third of a claim's stems, and two."""
     stems = lambda c: F.array_distinct(F.transform(X.title_key(c, STOP), X.stem))
-    return SJ.blocked_candidates(t.benchmark.select("item_id", stems("text").alias("stems")),
-                                 t.documents.select("doc_id", stems("text").alias("stems")), "item_id", "doc_id", 60)
+    claims = t.benchmark.select("item_id", stems("text").alias("keys")).withColumn("least", F.greatest(F.lit(2), F.ceil(F.size("keys") / 3)).cast("int"))
+    return B.shared_at_least(claims, t.documents.select("doc_id", F.explode(stems("text")).alias("key")), "item_id", "doc_id")
 
 
 @query("latest_message", "W-21 X-02", f"""
