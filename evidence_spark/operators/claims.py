@@ -680,21 +680,19 @@ def relate_detail(pairs: DataFrame, keys: Sequence[str], number: str, unit: str,
     return rows.select(*keys, status.alias("detail_status"), F.coalesce("_same.s", "_other.s").alias("sentence"))
 
 
-def alias_phrases(df: DataFrame, key: str, acronyms: str, words: str, lexicon: L.Lexicon = L.PT) -> DataFrame:
-    """Expansions of acronyms by the text's own words: runs of content words whose initials spell the acronym, counted.
-
-    Connectors inside a run are skipped; stop words and words under three letters break it.
-    """
-    link, stop = X.words_array(lexicon.connectors), X.words_array(lexicon.stop)
-    content = F.filter(F.col(words), lambda w: ~F.array_contains(link, X.norm(w)))
-    usable = lambda w: (F.length(w) >= 3) & ~F.array_contains(stop, X.norm(w))
-    initials = F.array_join(F.transform(content, lambda w: F.when(usable(w), F.substring(X.norm(w), 1, 1)).otherwise(F.lit("-"))), "")
-    rows = df.select(key, content.alias("c"), initials.alias("ini"), F.explode(acronyms).alias("acronym"))
-    low = F.lower("acronym")
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length("ini"), F.lit(1))), lambda i: F.substr(F.col("ini"), i, F.length(low)) == low)
-    phrases = rows.select(key, "acronym", F.explode(F.transform(starts, lambda i: F.lower(F.array_join(F.slice("c", i, F.length(low)), " ")))).alias("phrase"))
-    phrases = phrases.filter(F.length("phrase") > F.length("acronym") + 3)
-    return phrases.groupBy(key, "acronym", "phrase").agg(F.count(F.lit(1)).alias("n"))
+def with_article(interpreted: DataFrame, articles: DataFrame, key: str, title: str, body: str, lexicon: L.Lexicon = L.PT) -> DataFrame:
+    """Adds what a claim's own article knows: ``aliases``, ``vocabulary``, ``topics`` and ``detail_stems``; empty without an article."""
+    a = articles.select(key, F.col(title).alias("_title"), F.col(body).alias("_body"))
+    both = interpreted.join(a, key, "left").withColumns({"_text": F.concat_ws("\n", "_title", "_body"), "_claim": F.coalesce("main", "clean")})
+    both = both.withColumn("detail_stems", CX.detail_stems(F.col("_claim"), F.coalesce("_text", F.lit("")), lexicon))
+    known = CX.aliases(both, key, "clean", "_text", "entities", lexicon).groupBy(key).agg(F.collect_list(F.struct("name", "alias")).alias("aliases"))  # two an acronym
+    banned = both.join(known, key, "left").select(key, "_claim", "_body", F.flatten(F.transform(F.concat(
+        "entities", F.coalesce(F.transform("aliases", lambda x: x["alias"]), F.array().cast("array<string>"))), X.tokens)).alias("_exclude"))
+    words = CX.own_vocabulary(banned, key, "_claim", "_body", "_exclude", lexicon).groupBy(key).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("position", "word"))), lambda s: s["word"]).alias("vocabulary"))  # three a claim
+    topics = K.repeated_topics(a, key, F.col("_title"), F.col("_body"), lexicon.stop).groupBy(key).agg(F.collect_set("topic").alias("topics"))
+    out = both.drop("_text", "_claim", "_title", "_body").join(known, key, "left").join(words, key, "left").join(topics, key, "left")
+    return out.withColumns({c: F.coalesce(c, F.array().cast(kind)) for c, kind in ARTICLE_COLUMNS.items()})
 
 
 def senses(entries: DataFrame, keys: DataFrame, title: str, key: str) -> DataFrame:

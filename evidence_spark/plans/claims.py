@@ -8,6 +8,7 @@ from evidence_spark import lexicons as L
 from evidence_spark.functions import numbers as N
 from evidence_spark.functions import text as X
 from evidence_spark.operators import claims as C
+from evidence_spark.operators import context as CX
 from evidence_spark.operators import joins as J
 from evidence_spark.operators.ranking import best_per_key
 from evidence_spark.operators.simjoin import blocked_candidates
@@ -245,7 +246,7 @@ _BARE = "array_to_string(list_filter(string_split({c},' '), lambda w: not list_c
 # The words before a title's word, and whether they end in subordinating words.
 _PIECE = rf"[^\p{{L}}\p{{N}}_]*{X.WORD}"
 _BEFORE = r"(array_to_string(pc[1:i-1],'') || regexp_extract(pc[i],'^([^\p{L}\p{N}_]*)',1))"
-_LEAD = S.q(C.CX.SUBORDINATE.replace("(?:^|(?<=[^\\p{L}\\d]))", "(?:^|[^\\p{L}\\d])") + "$")
+_LEAD = S.q(CX.SUBORDINATE.replace("(?:^|(?<=[^\\p{L}\\d]))", "(?:^|[^\\p{L}\\d])") + "$")
 _ASIDE = f"""len(list_filter(tmst[1:2], lambda a: len(list_filter(range(1,len(pc)+1), lambda i: ps[i] = a)) > 0
    and len(list_filter(range(1,len(pc)+1), lambda i: ps[i] = a and not regexp_matches({_BEFORE},{_LEAD}))) = 0)) > 0"""
 CATEGORY = REL.rstrip() + f"""
@@ -395,12 +396,64 @@ def relate_detail(t):
     return C.relate_detail(pairs, ["doc_id", "other_id"], "number", "unit", "topic", "text").select("doc_id", "other_id", "detail_status")
 
 
-@query("claim_context", "C-08")
+@query("terms_near_anchor", "W-14", f"""
+with d as (select doc_id, {S.tokens('text')} as w, {S.title_key("string_split(text,chr(10))[1]", STOP)} as terms from documents),
+p as (select doc_id, w, terms, unnest(range(1, len(w)+1)) as i from d),
+a as (select doc_id, w, terms, i, {S.number_key('w[i]')} as anchor from p where regexp_matches(w[i],'[0-9]')),
+f as (select *, row_number() over (partition by doc_id, anchor order by i) as rn from a where anchor <> ''),
+s as (select doc_id, anchor, terms, list_transform(w[greatest(i-5,1):i-1], lambda x: {S.stem('x')}) as near from f where rn = 1)
+select doc_id, anchor, unnest(list_filter(terms, lambda t: list_contains(near, {S.stem('t')}))) as term from s""")
+def terms_near_anchor(t):
+    """Which words of its head line stand before each number of a document: what the number is about."""
+    rows = t.documents.select("doc_id", X.tokens("text").alias("words"), X.title_key(F.substring_index("text", "\n", 1), STOP).alias("terms"))
+    return CX.near_anchors(rows, ["doc_id"], "words", "terms")
+
+
+def _usable(w):
+    return f"length({w}) >= 3 and not list_contains({S.words(STOP)}, {S.norm(w)})"
+
+
+_INI = "array_to_string(list_transform(pl, lambda i: case when " + _usable("w[i]") + " then lower(substr(w[i],1,1)) else '-' end),'')"
+_AT = f"list_filter(range(1,len(w)+1), lambda i: not list_contains({S.words(LEX.connectors)}, {S.norm('w[i]')}))"
+ALIAS_EDGES = f"""with a as (select doc_id, text, list_distinct(list_filter(regexp_extract_all(text,'[\\p{{L}}\\p{{N}}]+'), lambda x: regexp_matches(x,'^\\p{{Lu}}{{2,6}}$'))) as acr from documents),
+a2 as (select * from a where len(acr) > 0),
+w1 as (select doc_id, acr, regexp_extract_all(text,'{CX.PLAIN_WORD}') as w from a2), w2 as (select *, {_AT} as pl from w1), w3 as (select *, {_INI} as ini from w2),
+i1 as (select doc_id, w, pl, ini, unnest(acr) as acronym from w3),
+i2 as (select doc_id, acronym, unnest(list_transform(list_filter(range(1, length(ini)-length(acronym)+2), lambda i: substr(ini,i,length(acronym)) = lower(acronym)),
+  lambda i: lower(array_to_string(w[pl[i]:pl[i+length(acronym)-1]],' ')))) as phrase, 1 as weight from i1),
+n1 as (select doc_id, acr, unnest(regexp_extract_all(text,{S.q(CX.NAMED_ACRONYM)})) as m from a2),
+n2 as (select doc_id, acr, regexp_extract(m,'\\(\\s*(\\p{{Lu}}{{2,6}})\\s*\\)$',1) as acronym, string_split_regex(trim(regexp_replace(m,'\\s*\\(\\s*\\p{{Lu}}{{2,6}}\\s*\\)$','')),'\\s+') as words from n1),
+n3 as (select doc_id, acronym, words[greatest(len(words)-length(acronym)-2,1):] as w from n2 where list_contains(acr, acronym)),
+n4 as (select *, {_AT} as pl from n3), n5 as (select *, {_INI} as ini from n4), n6 as (select *, instr(ini, lower(acronym)) as i from n5),
+n7 as (select doc_id, acronym, lower(array_to_string(w[pl[i]:pl[i+length(acronym)-1]],' ')) as phrase, 3 as weight from n6 where i > 0),
+edges as (select doc_id, acronym, phrase, sum(weight)::bigint as weight from (select * from i2 union all select * from n7) where length(phrase) > length(acronym) + 3 group by all)"""
+
+
+def alias_rows(t):
+    return t.documents.select("doc_id", "text")
+
+
+@query("claim_context", "C-08", ALIAS_EDGES + f""",
+ents as (select k as doc_id, p from {ents_sql('documents', 'doc_id', 'text')}),
+e2 as (select doc_id, p, list_filter(string_split_regex(p,'\\s+'), lambda x: not list_contains({S.words(LEX.connectors)}, {S.norm('x')})) as parts from ents),
+e3 as (select doc_id, p, upper(array_to_string(list_transform(parts, lambda x: substr(x,1,1)),'')) as acronym from e2 where len(parts) >= 2),
+best as (select doc_id, acronym, phrase, weight, row_number() over (partition by doc_id, acronym order by weight desc, phrase) as rn from edges)
+select doc_id, lower(acronym) as name, phrase as alias, weight from best where rn <= 2
+union all select distinct doc_id, {S.norm('p')}, acronym, null::bigint from e3 join documents using (doc_id) where list_contains(regexp_extract_all(text,'\\p{{L}}+'), acronym)""")
 def claim_context(t):
-    """Expansions, in the text itself, of the acronyms of each document."""
-    rows = t.documents.select("doc_id", X.literal_words("text").alias("w")).withColumn(
-        "acr", F.array_distinct(F.filter("w", lambda w: w.rlike(r"^\p{Lu}{2,6}$"))))
-    return C.alias_phrases(rows.filter(F.size("acr") > 0), "doc_id", "acr", "w", LEX)
+    """What each text itself says its acronyms stand for, and which of its long names it also shortens."""
+    rows = alias_rows(t).withColumn("names", C.entities("text", LEX))
+    found = CX.aliases(rows, "doc_id", "text", "text", "names", LEX)
+    return found.select("doc_id", X.norm("name").alias("name"), "alias", "weight")
+
+
+@query("alias_graph", "C-08", ALIAS_EDGES + """,
+whole as (select acronym, phrase, sum(weight)::bigint as weight, count(*) as n_texts from edges group by all),
+best as (select *, row_number() over (partition by acronym order by weight desc, phrase) as position from whole)
+select acronym, phrase, weight, n_texts, position::integer as position from best where position <= 2""")
+def alias_graph(t):
+    """The expansions of each acronym that the texts of the whole corpus agree on."""
+    return CX.alias_graph(CX.alias_edges(alias_rows(t), "doc_id", "text", "text", LEX)).select("acronym", "phrase", "weight", "n_texts", "position")
 
 
 @query("disambiguation_options", "C-20", f"""
