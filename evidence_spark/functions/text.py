@@ -34,6 +34,11 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` reads it (a lambda variable is never copied by the optimizer)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def words_array(words: Iterable[str]) -> Column:
     """Constant array of words: one folded literal, however long the list."""
     return F.split(F.lit("\u0002".join(words)), "\u0002")

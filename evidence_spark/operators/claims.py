@@ -113,15 +113,28 @@ def entities(c, lexicon: L.Lexicon = L.PT) -> Column:
     named = F.filter(named, lambda s: (F.length(s["n"]) >= 2) & ~F.array_contains(stop, s["n"]) & ~F.array_contains(
         X.words_array([*lexicon.months, "feira"]), s["n"]))
     shouting = F.filter(X.literal_words(text), lambda w: w.rlike(r"^\p{L}") & (F.length(w) >= 3))
-    loud = F.size(F.filter(shouting, lambda w: ~w.rlike(r"\p{Ll}"))) > F.size(shouting) * 0.6
-    return F.when(loud, F.array().cast("array<string>")).otherwise(_maximal(named))
+    loud = X.let(shouting, lambda words: F.size(F.filter(words, lambda w: ~w.rlike(r"\p{Ll}"))) > F.size(words) * 0.6)
+    return F.when(loud, F.array().cast("array<string>")).otherwise(X.let(named, _maximal))
 
 
 def _maximal(named: Column) -> Column:
-    """First literal of every normalised form that is not contained in a longer form."""
-    norms = F.array_distinct(F.transform(named, lambda s: s["n"]))
-    top = F.filter(norms, lambda n: ~F.exists(norms, lambda o: (F.length(o) > F.length(n)) & X.phrase_in(n, o)))
-    return F.transform(top, lambda n: F.get(F.filter(named, lambda s: s["n"] == n), F.lit(0))["p"])
+    """First literal of every normalised form that is not contained in a longer form.
+
+    Runs of a form's words, of the lengths that occur among the forms, are what it contains: a hash set difference, not all pairs.
+    """
+    def of(norms: Column) -> Column:
+        split = F.transform(norms, lambda n: F.split(n, " "))
+
+        def contained(words: Column) -> Column:
+            sizes = F.array_distinct(F.transform(words, F.size))
+            return X.let(sizes, lambda sizes: F.flatten(F.transform(words, lambda w: F.flatten(F.transform(F.filter(sizes, lambda k: k < F.size(w)), lambda k: F.transform(
+                F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.array_join(F.slice(w, i, k), " ")))))))
+
+        lists = F.struct(F.transform(named, lambda s: s["p"]).alias("p"), F.transform(named, lambda s: s["n"]).alias("n"))
+        top = F.array_except(norms, X.let(split, contained))
+        return X.let(lists, lambda x: F.transform(top, lambda n: F.get(x["p"], (F.array_position(x["n"], n) - 1).cast("int"))))
+
+    return X.let(F.array_distinct(F.transform(named, lambda s: s["n"])), of)
 
 
 def entity_match(entity: Column, cand_norm: Column, cand_tokens: Column, cand_acronyms: Column, connectors: Sequence[str]) -> Column:
@@ -421,30 +434,37 @@ CATEGORY_RANK = {"descartado": 0, "contexto": 1, "anterior": 2, "incerto": 3, "d
 RELATIVE_MAX_AGE_DAYS, REFERENCE_WINDOW_DAYS = 14, 21
 
 
-def prepare_candidates(candidates: DataFrame, lexicon: L.Lexicon, with_acronyms: bool = True) -> DataFrame:
+def prepare_candidates(candidates: DataFrame, lexicon: L.Lexicon, capitals: Sequence[str] | None = None) -> DataFrame:
     """What a candidate says, computed once before it meets the claims. Reads title, snippet; keeps the rest.
 
-    ``with_acronyms=False`` leaves out the initials of the names in the text; only all-capital names of claims need them
-    (``has_capital_names``).
+    ``capitals`` are the all-capital names of the claims (``capital_names``); the initials of a text's own names are read only
+    where the initials of its capitalised words spell one of them, and not at all if there are none. None: always.
     """
     full = F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.coalesce("snippet", F.lit("")))
     out = candidates.withColumn("c_text", full)
     out = out.withColumns({"c_tokens": X.tokens("c_text"), "t_tokens": X.tokens("title"), "c_numbers": N.numbers_in("c_text")})
-    none = F.array().cast("array<string>")
-    initials = lambda c: acronyms_of(entities(c, lexicon), lexicon.connectors) if with_acronyms else none
+    initials = acronyms_of(entities("c_text", lexicon), lexicon.connectors)
+    if capitals is not None:
+        spelled = F.array_join(F.transform(F.regexp_extract_all("c_text", F.lit(r"(?<![\p{L}\p{N}_'’\-])(\p{Lu})"), F.lit(1)), X.norm), "")
+        some = X.let(spelled, lambda s: F.exists(X.words_array(capitals), lambda a: F.instr(s, a) > 0)) if capitals else F.lit(False)
+        initials = F.when(some, initials).otherwise(F.array().cast("array<string>"))
     return out.withColumns({
         "c_norm": F.array_join("c_tokens", " "), "c_set": F.array_distinct("c_tokens"), "c_stems": X.stems_of_tokens(F.col("c_tokens")),
-        "t_norm": F.array_join("t_tokens", " "), "t_stems": X.stems_of_tokens(F.col("t_tokens")),
-        "c_acronyms": initials("c_text"), "t_acronyms": initials("title"), "c_months": months_in(F.col("c_tokens"), lexicon),
-        "c_negated": X.has_any(F.col("c_tokens"), lexicon.negations)}).drop("c_text")
+        "t_norm": F.array_join("t_tokens", " "), "t_stems": X.stems_of_tokens(F.col("t_tokens")), "c_acronyms": initials,
+        "c_months": months_in(F.col("c_tokens"), lexicon), "c_negated": X.has_any(F.col("c_tokens"), lexicon.negations)}).drop("c_text")
 
 
-def months_in(tokens: Column, lexicon: L.Lexicon) -> Column:
-    return F.array_intersect(F.array_distinct(tokens), X.words_array(lexicon.months))
+MAX_CAPITALS = 256
+
 
+def capital_names(claims: DataFrame) -> list[str] | None:
+    """Normalised all-capital names of the claims; None beyond ``MAX_CAPITALS`` of them."""
+    names = claims.select(F.explode(F.filter("entities", lambda e: e.rlike(r"^\p{Lu}{2,}$"))).alias("e")).select(X.norm("e").alias("n")).distinct().limit(MAX_CAPITALS + 1).collect()
+    return sorted(r["n"] for r in names) if len(names) <= MAX_CAPITALS else None
 
-def has_capital_names(claims: DataFrame) -> bool:
-    return not claims.filter(F.exists("entities", lambda e: e.rlike(r"^\p{Lu}{2,}$"))).isEmpty()
+
+def months_in(tokens: Column, lexicon: L.Lexicon) -> Column:
+    return F.array_intersect(F.array_distinct(tokens), X.words_array(lexicon.months))
 
 
 # What a claim knows from its own article; absent columns count as empty.
@@ -582,7 +602,9 @@ def assess(pairs: DataFrame, now: Column, lexicon: L.Lexicon = L.PT) -> DataFram
     p = p.withColumns({"triage": first, "score": score})
     # What follows reads titles and word order; only pairs that the triage calls direct need it.
     is_direct = F.col("triage") == "direto_lexical"
-    on_title = F.size(F.filter("ents", lambda e: match(e, F.col("t_norm"), F.col("t_tokens"), F.col("t_acronyms")))) + F.size(
+    capital = F.exists("ents", lambda e: e.rlike(r"^\p{Lu}{2,}$"))
+    t_acronyms = F.when(capital, acronyms_of(entities("title", lexicon), lexicon.connectors)).otherwise(none)
+    on_title = X.let(t_acronyms, lambda a: F.size(F.filter("ents", lambda e: match(e, F.col("t_norm"), F.col("t_tokens"), a)))) + F.size(
         F.filter("tms", lambda w: F.array_contains("t_stems", X.stem(w))))
     action = F.get("core", F.lit(0))
     clause_stage = act_stage(CX.main_clause(F.col("title"), action))

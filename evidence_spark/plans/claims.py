@@ -176,7 +176,8 @@ def fetch_plan(t):
 # --- relevance -----------------------------------------------------------------------------------------------------------------------
 
 def bench_claims(t):
-    return C.interpret(t.benchmark, "item_id", "text", 2024, LEX, C.EN_PATTERNS)
+    """The claims of the benchmark, written once: every step reads them again, and they are few beside the texts."""
+    return cut_lineage(C.interpret(t.benchmark, "item_id", "text", 2024, LEX, C.EN_PATTERNS))
 
 
 def document_candidates(t):
@@ -190,11 +191,11 @@ def document_candidates(t):
 def relevance_pairs(t):
     """Claims with every document that some relevance class other than ``descartado`` may hold."""
     claims = bench_claims(t)
-    candidates = document_candidates(t)
-    prepared = C.prepare_candidates(candidates, LEX, C.has_capital_names(claims))
+    candidates, capitals = document_candidates(t), C.capital_names(claims)
+    prepared = C.prepare_candidates(candidates, LEX, capitals)
     near = cut_lineage(C.candidate_pairs(claims, prepared, "item_id", "doc_id", LEX))
     # Only documents that some claim reads are joined, prepared before they meet the claims.
-    read = C.prepare_candidates(J.keep_in(candidates, near.select("doc_id").distinct(), ["doc_id"]), LEX, C.has_capital_names(claims))
+    read = C.prepare_candidates(J.keep_in(candidates, near.select("doc_id").distinct(), ["doc_id"]), LEX, capitals)
     return near.join(claims, "item_id").join(read, "doc_id")
 
 
@@ -293,14 +294,13 @@ def reassess_with_page(t):
     stems = t.documents.select("doc_id", F.array_distinct(F.transform(X.title_key("text", STOP), X.stem)).alias("stems"))
     wanted = claims.select("item_id", F.array_distinct(F.transform("terms", X.stem)).alias("stems"))
     shared = blocked_candidates(wanted, stems, "item_id", "doc_id").select("item_id", "doc_id")
-    capital = C.has_capital_names(claims)
-    candidates = document_candidates(t)
-    near = cut_lineage(C.candidate_pairs(claims, C.prepare_candidates(candidates, LEX, capital), "item_id", "doc_id", LEX))
+    candidates, capitals = document_candidates(t), C.capital_names(claims)
+    near = cut_lineage(C.candidate_pairs(claims, C.prepare_candidates(candidates, LEX, capitals), "item_id", "doc_id", LEX))
     read = J.keep_in(candidates, near.select("doc_id").distinct(), ["doc_id"])
     texts = F.array(F.struct(F.lit(1).alias("reading"), F.lit("").alias("snippet")),
                     F.struct(F.lit(2).alias("reading"), C.opening_of(X.stems("title"), F.col("snippet")).alias("snippet")))
     twice = read.select(*[c for c in read.columns if c != "snippet"], F.inline(texts))
-    judged = C.assess(near.join(claims, "item_id").join(C.prepare_candidates(twice, LEX, capital), "doc_id"), now(), LEX)
+    judged = C.assess(near.join(claims, "item_id").join(C.prepare_candidates(twice, LEX, capitals), "doc_id"), now(), LEX)
     best = C.best_of_readings(judged, ["item_id", "doc_id"])
     both = shared.unionByName(near).distinct().join(best, ["item_id", "doc_id"], "left")
     return both.select("item_id", "doc_id", F.coalesce("category", F.lit("descartado")).alias("category"), F.coalesce("promoted", F.lit(False)).alias("promoted"))
