@@ -244,3 +244,34 @@ def test_class_probabilities_sum_to_one():
     total = int(model.size[brown.OPEN_CLASS])
     assert np.isclose(model.emission(np.full(total + 1, brown.OPEN_CLASS), np.array([1] * total + [0])).sum(), 1)
     assert np.isclose(model.emission(np.array([3, 3]), np.array([2, model.size[3] - 2])).sum(), 1)
+
+
+def test_blank_runs_and_unigram_models(spark):
+    import itertools
+    import time
+
+    import sentencepiece
+
+    from evidence_spark.llm import pieces
+    from evidence_spark.llm.common import tokenizer_path
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    library, rows = sentencepiece.SentencePieceProcessor(model_file=path), pieces.load_pieces(path)
+    encoder = pieces.Pieces(rows)
+    texts = [" " * n + "the  cat" + " " * (n % 7) for n in [*range(0, 60), 1000, 4001]] + ["\n" * 50, "▁" * 33 + "x", "a" * 5000]
+    for text, ids in zip(texts, encoder.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text), len(text)
+    start = time.process_time()
+    list(encoder.encode([" " * 100_000 + "end"]))
+    assert time.process_time() - start < 10
+    # Without merges the path of the highest summed score wins, whatever its pieces.
+    vocabulary = [("<unk>", 0.0, 2)] + [(t, s, 1) for t, s in (("a", -2.0), ("b", -2.5), ("ab", -3.0), ("ba", -1.0), ("aba", -4.5), ("▁", -1.0), ("▁a", -2.5))]
+    plain = pieces.Pieces(vocabulary, merges=False)
+    score = {t: s for t, s, kind in vocabulary if kind == 1}
+    for size in range(1, 7):
+        for word in map("".join, itertools.product("ab", repeat=size)):
+            unit = "▁" + word
+            cuts = [[unit[i:j] for i, j in zip((0, *c), (*c, len(unit)))] for k in range(len(unit)) for c in itertools.combinations(range(1, len(unit)), k)]
+            best = max(sum(score[p] for p in c) for c in cuts if all(p in score for p in c))
+            ids = np.frombuffer(next(iter(plain.encode([word]))), "<u4")
+            assert "".join(plain.text[i] for i in ids) == unit and sum(score[plain.text[i]] for i in ids) == pytest.approx(best)
