@@ -275,3 +275,23 @@ def test_blank_runs_and_unigram_models(spark):
             best = max(sum(score[p] for p in c) for c in cuts if all(p in score for p in c))
             ids = np.frombuffer(next(iter(plain.encode([word]))), "<u4")
             assert "".join(plain.text[i] for i in ids) == unit and sum(score[plain.text[i]] for i in ids) == pytest.approx(best)
+
+
+PAGES = [
+    ("<article><div class='article-header'><h1>Title</h1></div><p>Body</p><div class='share-of-market'>Share of market fell</div></article>", "Title Body Share of market fell"),
+    ("<article><p>see <span class='label alert-level'>Level 3</span> now</p></article>", "see Level 3 now"),
+    ("<body><article>Teaser one</article><article>Teaser two</article><main><p>The story is told here, at length.</p></main></body>", "The story is told here, at length."),
+    ("<main><p>Latest</p><article>Short</article><article>The long article of the page</article></main>", "The long article of the page"),
+    ("<header>Site</header><article><header><h1>Headline</h1></header><p>Text</p><footer>Tags</footer></article>", "Headline Text"),
+    ("<article><p>One</p><div class='related-posts'>More</div><div class='comments'>Nice</div><p>Two</p></article>", "One Two"),
+    ("<article class='comment'>first!</article><article><p>Post</p></article>", "Post"),
+    ("<article><section><article>Inner</article> words</section></article>", "Inner words"),
+    ("<article></article><main>Only main</main>", "Only main"),
+    ("<div class='main-nav'>Menu</div><div class='text'>Loose</div>", None)]
+
+
+@pytest.mark.parametrize("html,want", PAGES)
+def test_articles_of_other_layouts(html, want):
+    from evidence_spark.llm import webtext
+
+    assert webtext.decided_text(webtext.blocks(html)) == want
