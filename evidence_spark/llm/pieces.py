@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from evidence_spark.llm.common import mix
 
-MAX_UNITS = 400_000
+MAX_UNITS = 800_000
 PAIR_BITS, PIECE_BITS = 20, 20  # slots of the table of known pairs, and of the filter before the search for a piece
 AT_ONCE = 500_000  # units of a group of documents looked up together
 BATCH = 200_000  # characters of units of one length that advance together
