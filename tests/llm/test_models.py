@@ -295,3 +295,39 @@ def test_articles_of_other_layouts(html, want):
     from evidence_spark.llm import webtext
 
     assert webtext.decided_text(webtext.blocks(html)) == want
+
+
+def test_personal_data_in_texts_with_many_hits(spark):
+    """20,000 numbers, or 6,000 phones among chunks, in one text: time grows with their number."""
+    import time
+
+    from evidence_spark.llm import pii
+
+    many = " ".join(f"{1000000 + 7 * i}" for i in range(20_000))
+    phones = " ".join(f"call +1 (800) 555-{1000 + i % 9000} or id{i}x{i * 31}" for i in range(6_000))
+    docs = spark.createDataFrame([(1, many, 1), (2, phones, 1)], "doc_id bigint, text string, n_chars bigint")
+    start = time.time()
+    rows = {r.doc_id: r for r in pii.report(docs).collect()}
+    redacted = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert time.time() - start < 120
+    assert rows[2].n_phone == 6_000 and redacted[2].startswith("call [PHONE] or ") and redacted[2].count("[PHONE]") >= 6_000
+    assert redacted[2].endswith("call [PHONE] or id5999x185969") or redacted[2].endswith("call [PHONE] or [PHONE]")
+
+
+def test_planted_secrets_are_found_by_their_contexts(spark):
+    from evidence_spark.llm import pii
+
+    rng = random.Random(9)
+    secret = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    prose = lambda n: " ".join(f"w{rng.choice('abcdefgh')}{rng.choice('ijklmnop')}" for _ in range(n))
+    keys = [secret() for _ in range(60)]
+    rows = [(i, f'{prose(30)} token = "{k}" {prose(20)}') for i, k in enumerate(keys)]
+    rows += [(100 + i, f'{prose(10)} token = "{word}" {prose(9)}') for i, word in enumerate(["hunter2hunter2", "abcdefgh12345678"])]  # no seeds by shape
+    rows += [(200 + i, f"{prose(8)} {secret()} {prose(8)}") for i in range(20)]  # long mixtures in no common context
+    rows += [(300 + i, prose(40)) for i in range(100)]
+    got = {r.doc_id: r for r in pii.report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    caught = sum(f"secret:{rows[i][1].index(keys[i])}:{rows[i][1].index(keys[i]) + 40}" == got[i].spans for i in range(60))
+    assert caught >= 54 and all("secret:" in got[100 + i].spans for i in range(2))
+    assert not any(got[i].spans for i in range(200, 220)) and not any(got[i].spans for i in range(300, 400))
+    text = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert 'token = "[SECRET]"' in text[0] and keys[0] not in text[0]
