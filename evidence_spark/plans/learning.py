@@ -16,8 +16,6 @@ from evidence_spark.plans.pairs import pairs
 from evidence_spark.plans.registry import query
 from evidence_spark.session import cut_lineage
 
-FEATURES = 3000
-
 
 def words(t):
     return t.documents.select("doc_id", X.tokens("text").alias("w"))
@@ -36,7 +34,7 @@ def n_docs(t):
 
 def vocabulary(t):
     if "vocabulary" not in t.__dict__:
-        t.vocabulary = cut_lineage(TI.tfidf_fit(counts(t), n_docs(t), 2, 0.9, FEATURES))
+        t.vocabulary = cut_lineage(TI.tfidf_fit(counts(t), n_docs(t), 2, 0.9))
     return t.vocabulary
 
 
@@ -44,7 +42,7 @@ TFIDF = f"""with tk as (select doc_id, len({S.split_words('text')}) as n_words,
 c as (select doc_id, term, count(*) as tf from (select doc_id, unnest(w) as term from tk) group by all),
 n as (select count(*) as n_docs from documents),
 v0 as (select term, sum(tf) as tf, count(*) as df from c group by term),
-v as (select term, df, ln((1+n_docs)/(1+df))+1 as idf from (select * from v0, n where df >= 2 and df <= 0.9*n_docs order by tf desc, term limit {FEATURES}))"""
+v as (select term, df, ln((1+n_docs)/(1+df))+1 as idf from v0, n where df >= 2 and df <= 0.9*n_docs)"""
 
 
 @query("tfidf_top_terms", "M-05", TFIDF + """,

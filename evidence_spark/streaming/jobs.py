@@ -58,7 +58,8 @@ def fresh_keys_batch(df: DataFrame, keys: Sequence[str], row_id: str, ts: str, s
     width = seconds * 1_000_000
     rows = df.select(*keys, row_id, F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"))
     key = Window.partitionBy(*keys)
-    later = key.orderBy("_t").rangeBetween(width + 1, Window.unboundedFollowing)
+    # Latest first: the frame of later rows only grows, and is not read anew for every row.
+    later = key.orderBy(F.desc("_t")).rangeBetween(Window.unboundedPreceding, -(width + 1))
     marked = rows.withColumns({"_next": F.min(F.struct("_t", row_id)).over(later)[row_id], "_first": F.min(F.struct("_t", row_id)).over(key)[row_id] == F.col(row_id)})
     marked = cut_lineage(marked)
     jumps = marked.filter("_next IS NOT NULL").select(F.col(row_id).alias("_a"), F.col("_next").alias("_b"))
