@@ -52,10 +52,13 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Integer inner products of all rows of ``a`` with all of ``b``, exact: in doubles while every sum stays below 2^53."""
+    """Integer inner products of all rows of ``a`` with all of ``b``, exact: in doubles while every sum stays below 2^53. Products that
+    could leave the range of a long are an error."""
     most = (np.abs(a).max(initial=0).astype(float) if a.size else 0.0) * (np.abs(b).max(initial=0).astype(float) if b.size else 0.0) * a.shape[1]
     if most < 2.0 ** 53:
         return (a.astype(float) @ b.astype(float).T).astype(np.int64)
+    if most >= 2.0 ** 63:
+        raise ValueError("scores could leave the range of a long")
     return a @ b.T
 
 

@@ -331,3 +331,12 @@ def test_planted_secrets_are_found_by_their_contexts(spark):
     assert not any(got[i].spans for i in range(200, 220)) and not any(got[i].spans for i in range(300, 400))
     text = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert 'token = "[SECRET]"' in text[0] and keys[0] not in text[0]
+
+
+def test_scores_beyond_a_long_are_an_error():
+    from evidence_spark.llm import knn
+
+    big = np.full((1, 128), 768_000_000)
+    with pytest.raises(ValueError, match="range of a long"):
+        knn.products(big, big)
+    assert knn.products(np.full((1, 2), 2 ** 28), np.full((1, 2), 2 ** 28)).tolist() == [[2 ** 57]]
