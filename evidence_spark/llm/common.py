@@ -65,6 +65,13 @@ def discard(*frames: DataFrame) -> None:
         if files:
             path = spark._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if frames:
+        release(frames[0].sparkSession)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets the cleaner remove shuffle files of finished jobs: it does so once the driver's collector has found their frames dead."""
+    spark._jvm.System.gc()
 
 
 class WordHashes(dict):

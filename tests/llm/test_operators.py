@@ -2,10 +2,12 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -346,6 +348,26 @@ def test_compact_windows():
         assert want == list(zip(*(x.tolist() for x in passages.compact_windows(h, 20))))
 
 
+def test_shared_positions_of_a_block():
+    rng = np.random.default_rng(1)
+    for _ in range(30):
+        words = [rng.integers(0, 3, rng.integers(1, 60)).astype("<u4") for _ in range(9)]
+        got = passages.shared_positions(pa.chunked_array([pa.array([x.tobytes() for x in words], pa.binary())]), 5)
+        shingles = [[tuple(x[k:k + 5]) for k in range(len(x) - 4)] for x in words]
+        for i, j in itertools.permutations(range(9), 2):
+            assert got[i, j] == sum(x in set(shingles[j]) for x in shingles[i])
+
+
+def test_verified_passages_of_texts_that_repeat_themselves():
+    """Every shingle of the member has several places in the hub: the nearest to the diagonal counts."""
+    unit = np.arange(1, 31, dtype=np.uint64)
+    hub = passages.Places(passages.shingle_hashes(np.concatenate([unit] * 6), 5))
+    member = passages.shingle_hashes(np.concatenate([unit] * 3), 5)
+    anchors = np.array([[40, 0, 85, 70, 0, 175], [40, 0, 85, 70, 0, 175], [40, 30, 60, 40, 0, 175]])
+    found, done = passages.verified(anchors, member, 0, hub, passages.Settings())
+    assert found == [(0, 85, 30, 115)] and done.all()
+
+
 def test_repeated_passages(spark, corpus):
     docs = dict(corpus)
     got = passages.repeated_passages(spark.createDataFrame([(*r, 1) for r in corpus], "doc_id bigint, text string, id int")).collect()
