@@ -114,7 +114,7 @@ ACTIONS_PT = [
     ("justica", r"(?:entr\w+|ingress\w+) com (?:uma |um |nova |novo |o |a )?(?:acao|acoes|pedido|pedidos|peticao|recurso|"
                 r"mandado|representacao|queixa|habeas)"),
     ("justica", rf"ingress\w+ (?:em|na|no|numa|num|em uma) (?:\w+ ){{0,2}}(?:acao|processo|{COURT_PT})"),
-    ("justica", r"(?:pede|pedem|pediu|pediram|pedido de) (?:ingresso)"),
+    ("justica", r"(?:pede|pedem|pediu|pediram|pedido de) ingresso"),
     ("justica", rf"(?:vai|vao|foi|foram|ir|leva\w*|entr\w+|ingress\w+|recorre\w*) (?:ao|a|aos|na|no|junto ao) {COURT_PT}"),
     ("justica", rf"(?:pede|pedem|pediu|pediram|solicit\w+|requer\w*|cobr\w+) (?:ao|a|aos|junto ao) {COURT_PT}"),
     ("rejeitar", r"(?:nega|negam|negou|negaram|rejeit\w+|arquiv\w+|indefer\w+) (?:o |a |os |as )?(?:recurso|recursos|"
@@ -127,18 +127,18 @@ ACTIONS_PT = [
     ("impor", r"(?:cria|criam|criou|criaram) (?:uma |nova |novas )?(?:taxa|tarifa|sobretaxa|cota|cotas|aliquota)"),
     ("organizar", r"organiz\w+|promov(?:e|em|eu|eram|ido|ida|idos|idas)|realiz(?:a|am|ou|aram|ado|ada|ados|adas)|"
                   r"oferec(?:e|em|eu|eram|ido|ida)"),
-    ("proibir", r"proib\w+|bane|baniu|banir|ved(?:a|am|ou|ar)|restring\w+"),
+    ("proibir", r"proib\w+|proibe|bane|baniu|banir|ved(?:a|am|ou|ar)|restring\w+"),
     ("revogar", r"revog\w+|suspend\w+|suspens\w+|derrub\w+|anul\w+|cancel\w+|interromp\w+|cass(?:a|am|ou|aram)|"
                 r"sust(?:a|am|ou|aram)|invalid\w+|revert(?:e|em|eu)"),
     ("rejeitar", r"rejeit\w+|arquiv\w+"),
     ("decidir", r"mand(?:a|am|ou|aram) (?:o |a |os |as |\w+ )?\w+(?:ar|er|ir)"),
     ("decidir", r"decid\w+|determin\w+|julg\w+|mantem|manteve|autoriz\w+|liber(?:a|am|ou|aram)|conden\w+|absolv\w+|"
-                r"decret\w+|ordena\w*|acat(?:a|am|ou|aram)|defer(?:e|em|iu)|restaur(?:a|am|ou)|restabelec\w+|preve|preveem|previu|estabelec(?:e|em|eu)"),
-    ("propor", r"propo\w+|propos\w*|sugere\w*|sugeriu|planej\w+|pretend\w+|articul\w+|prepar\w+|estud(?:a|am)|avali(?:a|am)|"
-               r"projeto de lei"),
+                r"decret\w+|ordena\w*|acat(?:a|am|ou|aram)|defer(?:e|em|iu)|restabelec\w+|restaur(?:a|am|ou)|preve|preveem|previu|estabelec(?:e|em|eu)"),
+    ("propor", r"propo\w+|propos\w*|sugere\w*|sugeriu|planej\w+|pretend\w+|articul\w+|prepar\w+|estud(?:a|am)|"
+               r"projeto de lei|avali(?:a|am)"),
     ("anunciar", r"anunci\w+|lanc(?:a|am|ou|aram)|divulg\w+"),
-    ("declarar", r"diz|dizem|disse|disseram|afirm\w+|declar\w+|defend\w+|critic\w+|coment\w+|manifest\w+|rebat\w+|"
-                 r"alert\w+|posicion\w+|reag\w+|cobr(?:a|am|ou)|elogi\w+|atac\w+"),
+    ("declarar", r"diz|dizem|disse|disseram|afirm\w+|declar\w+|defend\w+|critic\w+|coment\w+|posicion\w+|manifest\w+|"
+                 r"rebat\w+|alert\w+|reag\w+|cobr(?:a|am|ou)|elogi\w+|atac\w+"),
     ("pedir", r"pede|pedem|pediu|pediram|solicit\w+|requer\w*|reivindic\w+"),
     ("investigar", r"investig\w+|apur\w+|denunci\w+|indici\w+|prend\w+|preso|presos|presa|operacao"),
     ("visitar", r"visit\w+|inaugur\w+|particip\w+"),
@@ -148,7 +148,7 @@ ACTIONS_PT = [
     ("ocorrencia", r"transbord\w+|ating\w+|desab\w+|incendi\w+|alag\w+|explod\w+|colid\w+|morr\w+|mata|matou"),
     ("nomear", r"nome(?:a|ia|ou|iam)|nomead\w+|demit\w+|exoner\w+|renunci\w+|elege|elegem|elegeu|eleit(?:o|a|os|as)|"
                r"reeleit(?:o|a)|empossad\w+|assum(?:e|em|iu|iram)"),
-    ("alta", r"sob(?:e|em)|subi\w*|aument(?:a|am|ou|aram)|cresc(?:e|em|eu|eram)|avanc(?:a|am|ou|aram)|dispar(?:a|am|ou)|"
+    ("alta", r"sob(?:e|em)|subi\w*|subir|aument(?:a|am|ou|aram)|cresc(?:e|em|eu|eram)|avanc(?:a|am|ou|aram)|dispar(?:a|am|ou)|"
              r"dobr(?:a|am|ou)"),
     ("alta", r"(?:bate|batem|bateu|atinge|atingem|atingiu|renova|renovou) (?:novo |um novo |o |nova )?(?:recorde|maxima|pico)"),
     ("queda", r"cai|caem|caiu|recu(?:a|am|ou)|diminu(?:i|em|iu)|despenc\w+|reduz|reduzem|reduziu|encolh\w+"),

@@ -26,7 +26,7 @@ SEMANTIC_SAME, SEMANTIC_OTHER = 0.72, 0.55
 
 def ordered_actions() -> list[tuple[str, str]]:
     """Expressions of several words before single words: at one position the longer reading wins."""
-    several = [a for a in L.ACTIONS_PT if " (?:" in a[1]]
+    several = [a for a in L.ACTIONS_PT if " " in a[1]]
     return several + [a for a in L.ACTIONS_PT if a not in several]
 
 
