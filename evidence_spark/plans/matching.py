@@ -198,35 +198,35 @@ def adjudicate(t):
 
 # --- duplicates -----------------------------------------------------------------------------------------------------------
 
-@query("republication_clusters", "D-02 W-02")
+HEAD, BODY = "string_split(text, chr(10))[1]", "substr(text, length(string_split(text, chr(10))[1]) + 2)"
+REPUBLISHED = f"""
+with recursive d as (select doc_id, {HEAD} as title, {BODY} as snippet from documents),
+f as (select doc_id, length(title) as score, case when snippet = '' then 1 when length(snippet) <= 300 then 2 else 3 end as content,
+  length(snippet) > 60 as long, {S.title_key('title', STOP)} as k, {S.title_key('snippet', STOP)} as s, list_sort({S.numbers_in('title')}) as nums,
+  len(list_filter({S.tokens('title')}, lambda w: list_contains({S.words(EUROPEAN.negations)}, w))) > 0 as neg from d),
+o as materialized (select *, len(k) as nk, len(s) as ns, row_number() over (order by score desc, doc_id) as n from f),
+kw as materialized (select n, unnest(k) as w from o), sw as materialized (select n, unnest(s) as w from o),
+ks as (select x.n, y.n as m, count(*) as shared from kw x join kw y using (w) where y.n < x.n group by 1, 2),
+ss as (select x.n, y.n as m, count(*) as shared from sw x join sw y using (w) where y.n < x.n group by 1, 2),
+e as (select ks.n, m from ks join o x on x.n = ks.n join o y on y.n = m where x.neg = y.neg and x.nums = y.nums and shared / (x.nk + y.nk - shared) >= 0.7
+  union select ss.n, m from ss join o x on x.n = ss.n join o y on y.n = m where x.long and shared / (x.ns + y.ns - shared) >= 0.8),
+g as materialized (select n, list_sort(list(m)) as earlier, row_number() over (order by n) as i from e group by n),
+r as (select 0::bigint as i, [0]::bigint[] as joined, 0::bigint as n, 0::bigint as leader
+  union all select g.i, case when len(free) > 0 then list_append(r.joined, g.n) else r.joined end, g.n, coalesce(free[1], g.n)
+  from r join g on g.i = r.i + 1, lateral (select list_filter(g.earlier, lambda m: not list_contains(r.joined, m)) as free)),
+c as (select o.doc_id, coalesce(r.leader, o.n) as leader, o.content, o.score from o left join r on r.n = o.n)
+select c.doc_id, o.doc_id as leader, first_value(c.doc_id) over (partition by c.leader order by c.content desc, c.score desc, c.doc_id) as lead
+from c join o on o.n = c.leader"""
+
+
+@query("republication_clusters", "D-02 W-02", REPUBLISHED)
 def republication_clusters(t):
-    """Documents as candidates: head line as title; each distinct (title set, negation, numbers) joins the clustering once."""
-    heads = t.documents.select(
-        "doc_id", F.length("text").cast("long").alias("score"), X.title_key(F.substring_index("text", "\n", 1), STOP).alias("k"),
-        X.has_any(X.tokens(F.substring_index("text", "\n", 1)), EUROPEAN.negations).alias("neg"),
-        F.array_join(F.array_sort(N.numbers_in(F.substring_index("text", "\n", 1))), " ").alias("nums"))
-    return clusters_of(heads).select("doc_id", "leader")
-
-
-def clusters_of(heads, threshold: float = 0.7):
-    """Leader clusters of (doc_id, score, k, neg, nums); leaders are taken by score, then smallest id."""
-    keyed = heads.withColumn("k", F.array_sort("k"))
-    best = keyed.groupBy("k", "neg", "nums").agg(F.max_by("doc_id", F.struct("score", -F.col("doc_id"))).alias("rep"),
-                                                 F.max("score").alias("score"))
-    from evidence_spark.session import cut_lineage
-    best = cut_lineage(best)
-    sets = best.filter(F.size("k") > 0).groupBy(F.col("k").alias("tokens")).agg(F.min("rep").alias("set_id"))
-    near = SJ.jaccard_join(sets, None, threshold).select("a", "b")
-    near = near.union(sets.select(F.col("set_id").alias("a"), F.col("set_id").alias("b")))
-    member = best.join(sets.select(F.col("tokens").alias("k"), "set_id"), "k")
-    left = member.select(F.col("set_id").alias("a"), F.col("rep").alias("ra"), "neg", "nums")
-    right = member.select(F.col("set_id").alias("b"), F.col("rep").alias("rb"), "neg", "nums")
-    edges = near.join(left, "a").join(right, ["b", "neg", "nums"]).filter(F.col("ra") != F.col("rb")).select(
-        F.col("ra").alias("a"), F.col("rb").alias("b"))
-    ranked = best.select(F.col("rep").alias("doc_id"), F.struct((-F.col("score")).alias("s"), F.col("rep").alias("i")).alias("rank"))
-    state = D.leader_clusters(ranked, edges, "doc_id", "rank")
-    reps = best.select("k", "neg", "nums", "rep").join(state.withColumnRenamed("id", "rep"), "rep")
-    return keyed.join(reps.select("k", "neg", "nums", "leader"), ["k", "neg", "nums"])
+    """Documents as candidates: the head line is the title, all the text after it the snippet; longer titles are taken first."""
+    title = F.substring_index("text", "\n", 1)
+    parts = t.documents.select(F.col("doc_id").alias("id"), title.alias("title"), F.expr("substring(text, length(substring_index(text, '\n', 1)) + 2)").alias("snippet"))
+    kind = F.when(F.col("snippet") == "", "titulo").when(F.length("snippet") <= 300, "trecho").otherwise("completo")
+    found = D.republications(parts.select("*", F.length("title").alias("score"), kind.alias("content_kind")), EUROPEAN)
+    return found.withColumnRenamed("id", "doc_id")
 
 
 @query("claim_groups", "D-05", f"""
