@@ -2,27 +2,40 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from evidence_spark.session import cut_lineage
 
+
 def event_stream(spark: SparkSession, root: str, schema, files_per_trigger: int = 1, glob: str = "events*.parquet") -> DataFrame:
     rows = spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_trigger).parquet(root)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))  # event time must carry a zone
 
 
-def fresh_keys(stream: DataFrame, keys: Sequence[str], row_id: str, ts: str, seconds: int) -> DataFrame:
+def lifetime(provider: str, seconds: Mapping[str, int], default: int) -> Column:
+    """Seconds an answer of ``provider`` stays fresh."""
+    known = F.create_map(*[F.lit(v) for pair in seconds.items() for v in pair])
+    return F.coalesce(F.element_at(known, F.col(provider)), F.lit(default))
+
+
+def fresh_keys(stream: DataFrame, keys: Sequence[str], row_id: str, ts: str, seconds: int | Column, longest: int | None = None) -> DataFrame:
     """Rows that find no stored answer: the first of a key, then the first after each kept one has expired.
 
-    A skipped row does not refresh the stored one. State is one timestamp per key and leaves when the watermark passes its
-    expiry. A trigger's rows of one key are searched in order, jumping from kept row to kept row.
+    ``seconds`` is the lifetime of an answer, one for all or a column (``lifetime``) whose values do not exceed ``longest``, so
+    several providers live in one stream. A skipped row does not refresh the stored one. State is one expiry per key and leaves
+    when the watermark passes it. A trigger's rows of one key are searched in order, jumping from kept row to kept row; what the
+    stored answer covers is dropped as it arrives.
     """
-    micros = seconds * 1_000_000
+    if not isinstance(seconds, Column):
+        seconds, longest = F.lit(seconds), seconds
+    if longest is None:
+        raise ValueError("a column of lifetimes needs the longest one: late rows are awaited that long")
     fields = {f.name: f.dataType.simpleString() for f in stream.schema}
     out = ", ".join(f"{c} {fields[c]}" for c in [*keys, row_id])
 
@@ -30,39 +43,45 @@ def fresh_keys(stream: DataFrame, keys: Sequence[str], row_id: str, ts: str, sec
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(frames)).sort_values(["_t", row_id])
-        times = rows["_t"].to_numpy()
-        last = state.get[0] if state.exists else None
-        at = 0 if last is None else int(times.searchsorted(last + micros, side="right"))
-        kept = []
+        expires = state.get[0] if state.exists else None
+        parts = [f if expires is None else f[f["_t"] > expires] for f in frames]
+        rows = pd.concat(parts).sort_values(["_t", row_id])
+        times, ends = rows["_t"].to_numpy(), rows["_e"].to_numpy()
+        at, kept = 0, []
         while at < len(times):
             kept.append(at)
-            last = int(times[at])
-            at = int(times.searchsorted(last + micros, side="right"))
-        state.update((last,))
-        state.setTimeoutTimestamp(max((last + micros) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+            expires = int(ends[at])
+            at = int(times.searchsorted(expires, side="right"))
+        state.update((expires,))
+        state.setTimeoutTimestamp(max(expires // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         yield rows.iloc[kept][[*keys, row_id]]
 
-    marked = stream.withWatermark(ts, f"{seconds} seconds").withColumn("_t", F.unix_micros(ts))
-    return marked.select(*keys, row_id, ts, "_t").groupBy(*keys).applyInPandasWithState(
-        keep, out, "kept long", "append", GroupStateTimeout.EventTimeTimeout)
+    marked = stream.filter(F.col(ts).isNotNull()).withWatermark(ts, f"{longest} seconds").withColumn("_t", F.unix_micros(ts))
+    marked = marked.withColumn("_e", F.col("_t") + seconds.cast("long") * 1_000_000)
+    return marked.select(*keys, row_id, ts, "_t", "_e").groupBy(*keys).applyInPandasWithState(
+        keep, out, "expires long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def fresh_keys_batch(df: DataFrame, keys: Sequence[str], row_id: str, ts: str, seconds: int) -> DataFrame:
+def fresh_keys_batch(df: DataFrame, keys: Sequence[str], row_id: str, ts: str, seconds: int | Column) -> DataFrame:
     """The twin of ``fresh_keys`` on a table: keys and ``row_id`` of the rows that find no stored answer.
 
-    Each row knows the next row that would be kept after it (the first of its key more than ``seconds`` later). The kept
-    ones are what the first row of a key reaches; steps are doubled each round, so the rounds follow the logarithm of the
-    longest chain and no key's rows are walked one by one.
+    Each row knows the next row that would be kept after it (the first of its key after its expiry): its expiry is sorted
+    among the rows of its key, latest first, and sees the last row before it. The kept ones are what the first row of a key
+    reaches; steps are doubled each round, so the rounds follow the logarithm of the longest chain and no key's rows are
+    walked one by one. A row without a time is never fresh.
     """
-    width = seconds * 1_000_000
-    rows = df.select(*keys, row_id, F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"))
+    life = (seconds if isinstance(seconds, Column) else F.lit(seconds)).cast("long") * 1_000_000
+    rows = df.select(*keys, row_id, F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"), life.alias("_life"))
+    rows = rows.filter("_t is not null")
     key = Window.partitionBy(*keys)
-    # Latest first: the frame of later rows only grows, and is not read anew for every row.
-    later = key.orderBy(F.desc("_t")).rangeBetween(Window.unboundedPreceding, -(width + 1))
-    marked = rows.withColumns({"_next": F.min(F.struct("_t", row_id)).over(later)[row_id], "_first": F.min(F.struct("_t", row_id)).over(key)[row_id] == F.col(row_id)})
-    marked = cut_lineage(marked)
-    jumps = marked.filter("_next IS NOT NULL").select(F.col(row_id).alias("_a"), F.col("_next").alias("_b"))
+    first = F.min(F.struct("_t", row_id)).over(key)[row_id] == F.col(row_id)
+    marked = cut_lineage(rows.withColumn("_first", first))
+    answers = marked.select(*keys, F.col("_t").alias("_at"), F.lit(1).alias("_row"), F.col(row_id).alias("_id"))
+    expiries = marked.select(*keys, (F.col("_t") + F.col("_life")).alias("_at"), F.lit(0).alias("_row"), F.col(row_id).alias("_id"))
+    # Latest first, at one moment the expiries before the rows (a row must be later); of rows at one moment the smallest id is seen last.
+    order = key.orderBy(F.desc("_at"), "_row", F.desc("_id")).rowsBetween(Window.unboundedPreceding, 0)
+    seen = answers.unionByName(expiries).withColumn("_b", F.last(F.when(F.col("_row") == 1, F.col("_id")), ignorenulls=True).over(order))
+    jumps = cut_lineage(seen.filter("_row = 0 and _b is not null").select(F.col("_id").alias("_a"), "_b"))
     kept = marked.filter("_first").select(F.col(row_id).alias("_a"))
     while not jumps.isEmpty():
         kept = cut_lineage(kept.union(kept.join(jumps, "_a").select("_b")).distinct())
@@ -135,3 +154,27 @@ def run_to_table(result: DataFrame, path: str, checkpoint: str, mode: str = "com
 def preview_totals(df: DataFrame, key: str, value: str) -> DataFrame:
     """Totals shown while results still arrive; the last preview equals the batch answer."""
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.max(value).alias("best"), F.min(value).alias("worst"))
+
+
+def run_to_upserts(result: DataFrame, keys: Sequence[str], path: str, checkpoint: str) -> DataFrame:
+    """Drain an aggregate in update mode and return the newest row of each key.
+
+    Each trigger writes only the keys it changed, into a folder named by its number; a retry of the trigger replaces the
+    folder, so nothing counts twice. Readers merge: at any time ``newest_rows`` is the preview as of the last whole trigger.
+    """
+    spark, schema = result.sparkSession, result.schema
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/trigger={number}")
+
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/trigger=-1")  # readable before the first trigger
+    query = result.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+    query.awaitTermination()
+    return newest_rows(spark, keys, path, schema)
+
+
+def newest_rows(spark: SparkSession, keys: Sequence[str], path: str, schema: StructType) -> DataFrame:
+    """Merge on read of what ``run_to_upserts`` wrote: per key the row of the highest trigger, one combinable aggregate."""
+    rows = spark.read.schema(StructType([*schema.fields, StructField("trigger", LongType())])).parquet(path)
+    values = [c for c in schema.names if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "trigger").alias("_v")).select(*keys, "_v.*").select(*schema.names)
