@@ -34,22 +34,42 @@ def quantity_relation(claim: dict[str, Column], found: dict[str, Column], contex
             .when(both, F.lit("apoia")).otherwise(F.lit("contradiz")))
 
 
+def _page_name(title: Column) -> Column:
+    return F.trim(F.regexp_replace(title, r"\s*\(.*?\)\s*$", ""))
+
+
+def source_entity(entity: Column, title: Column, lexicon: L.Lexicon = L.PT) -> Column:
+    """The name an encyclopedia page is about when it is a longer one that holds ``entity`` ("Santos" and "Santos Laguna"); else null.
+
+    A bracket at the end of a title is no part of the name; a list or topic page about the entity ("Lista de ...") is about itself.
+    """
+    name = _page_name(title)
+    own, other = X.norm(entity), X.norm(name)
+    holds = C.entity_match(entity, other, F.split(other, " "), C.acronyms_of(C.entities(name, lexicon), lexicon.connectors), lexicon.connectors)
+    topic = F.get(F.split(other, " "), F.lit(0)).isin(list(L.ARTICLE_TYPE_WORDS_PT))
+    return F.when(~topic & (own != other) & (F.length(other) > F.length(own)) & holds, name)
+
+
 def quantity_evidence(claims: DataFrame, sentences: DataFrame, lexicon: L.Lexicon = L.PT) -> DataFrame:
     """Quantities of the claim's unit in source sentences, with their relation to the claim.
 
     claims: claim_id, value, comparator, negated, unit, unit_key, qual_keys, years, entity, prop_stems.
-    sentences: claim_id, url, cluster_id, kind, title, sentence (+ context_only). Joined on (claim, unit key).
+    sentences: claim_id, url, cluster_id, kind, title, sentence, optionally encyclopedia (whether the page is one of an
+    encyclopedia, whose title names its subject). Joined on (claim, unit key).
     """
+    if "encyclopedia" not in sentences.columns:
+        sentences = sentences.withColumn("encyclopedia", F.lit(False))
     sents = sentences.withColumn("s_norm", X.norm("sentence"))
-    found = C.quantities(sents, ["claim_id", "url", "cluster_id", "kind", "title", "sentence", "s_norm"], "sentence", lexicon)
-    found = found.select("claim_id", "url", "cluster_id", "kind", "title", "sentence", "s_norm", "unit_key", "raw", F.col("value").alias("x_value"),
+    found = C.quantities(sents, ["claim_id", "url", "cluster_id", "kind", "title", "encyclopedia", "sentence", "s_norm"], "sentence", lexicon)
+    found = found.select("claim_id", "url", "cluster_id", "kind", "title", "encyclopedia", "sentence", "s_norm", "unit_key", "raw", F.col("value").alias("x_value"),
                          F.col("comparator").alias("x_comparator"), F.col("negated").alias("x_negated"), C.qualifier_keys(F.col("quals")).alias("x_quals"),
                          C.years_in("sentence").alias("x_years"))
     joined = found.join(claims, ["claim_id", "unit_key"])
     none = F.array().cast("array<string>")
     match = lambda text_norm: C.entity_match(F.col("entity"), text_norm, F.split(text_norm, " "), none, lexicon.connectors)
     in_sentence, in_title = match(F.col("s_norm")), match(X.norm("title"))
-    joined = joined.withColumn("explicit", F.col("entity").isNull() | in_sentence)
+    is_page = F.col("encyclopedia") & (X.norm(_page_name(F.col("title"))) == X.norm("entity"))
+    joined = joined.withColumn("explicit", F.col("entity").isNull() | in_sentence | is_page)
     joined = joined.filter(F.col("explicit") | in_title)
     generic = (F.col("unit_key") == "%") | X.norm("unit").isin(L.GENERIC_UNITS_PT) | F.col("entity").isNull()
     stems = X.stems_of_tokens(F.split("s_norm", " "))
@@ -59,7 +79,8 @@ def quantity_evidence(claims: DataFrame, sentences: DataFrame, lexicon: L.Lexico
         {"value": F.col("x_value"), "comparator": F.col("x_comparator"), "negated": F.col("x_negated"), "qual_keys": F.col("x_quals"), "years": F.col("x_years")},
         F.lit(None).cast("string"))
     return joined.select("claim_id", "url", "cluster_id", "kind", "sentence", "raw", F.col("x_value").alias("value"),
-                         F.array_max("x_years").alias("period"), "explicit", relation.alias("relation"))
+                         F.array_max("x_years").alias("period"), "explicit", relation.alias("relation"),
+                         F.when(F.col("encyclopedia"), source_entity(F.col("entity"), F.col("title"), lexicon)).alias("source_entity"))
 
 
 def year_evidence(pairs: DataFrame, keys: Sequence[str], sentence: str, term_stems: str, years: str, reach: int = 15) -> DataFrame:
@@ -76,14 +97,17 @@ def year_evidence(pairs: DataFrame, keys: Sequence[str], sentence: str, term_ste
 def representatives(evidence: DataFrame) -> DataFrame:
     """One value per independent group: sentences naming the entity first, then the most frequent value, the smallest, the first address.
 
-    evidence: claim_id, evidence_group, url, kind, relation, value, explicit, period. Counts combine before the shuffle.
+    evidence: claim_id, evidence_group, url, kind, relation, value, explicit, period, optionally source_entity. Counts combine
+    before the shuffle.
     """
+    if "source_entity" not in evidence.columns:
+        evidence = evidence.withColumn("source_entity", F.lit(None).cast("string"))
     strong = evidence.filter(F.col("relation").isin(COMPARABLE) & F.col("kind").isin(STRONG))
     counts = strong.groupBy("claim_id", "evidence_group", "explicit", "value").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("url", "relation", "period")).alias("first"))
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("url", "relation", "period", "source_entity")).alias("first"))
     order = F.struct(F.col("explicit").cast("int"), "n", -F.col("value"))
     return best_per_key(counts, ["claim_id", "evidence_group"], order, ["explicit", "value", "first"]).select(
-        "claim_id", "evidence_group", "explicit", "value", "first.url", "first.relation", "first.period")
+        "claim_id", "evidence_group", "explicit", "value", "first.url", "first.relation", "first.period", "first.source_entity")
 
 
 def synthesise(claims: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -92,16 +116,29 @@ def synthesise(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     claims: claim_id, claim_type, has_value, comparable (a quantity or a dated historical fact), detail_negated, direct_count.
     All numbers of a claim are reduced to minima, maxima and counts: values agree within tolerance exactly when the
     smallest and the largest do.
+
+    A source about a longer name is no evidence about the claim's own. ``reason`` says why nothing was compared: other_entity
+    (every value belongs to a longer name), not_named (no sentence names the entity), ambiguous_name (several longer names
+    with different values); else null.
     """
     reps = representatives(evidence)
-    named = reps.filter("explicit")
+    other = F.col("explicit") & F.col("source_entity").isNotNull()
+    theirs = lambda c: F.when(other, F.col(c))
+    names = reps.groupBy("claim_id").agg(
+        ((F.count("source_entity") == F.count(F.lit(1))) & (F.min("source_entity") == F.max("source_entity"))).alias("one_other"),
+        (F.count_if("explicit") == 0).alias("unnamed"), F.count_if(other).alias("n_other"), F.count_if(F.col("explicit") & ~other).alias("n_own"),
+        ((F.min(theirs("source_entity")) < F.max(theirs("source_entity"))) & (F.min(theirs("value")) < F.max(theirs("value")))).alias("ambiguous"))
+    reason = (F.when(F.coalesce("one_other", F.lit(False)), "other_entity").when(F.col("unnamed"), "not_named")
+              .when(F.coalesce("ambiguous", F.lit(False)), "ambiguous_name").when((F.col("n_other") > 0) & (F.col("n_own") == 0), "other_entity"))
+    reasons = names.select("claim_id", reason.alias("reason"))
+    named = reps.filter("explicit and source_entity is null").join(reasons.filter("reason is null").select("claim_id"), "claim_id", "left_semi")
     per = named.groupBy("claim_id").agg(
         F.count(F.lit(1)).alias("n_reps"), F.count_if(F.col("relation") == "apoia").alias("support"), F.count_if(F.col("relation") == "contradiz").alias("against"),
         N.same_value(F.min("value"), F.max("value")).alias("one_value"), F.count_if(F.col("period").isNull()).alias("undated"))
     by_period = named.filter(F.col("period").isNotNull()).groupBy("claim_id", "period").agg(
         (N.same_value(F.min("value"), F.max("value")) & (F.min("relation") == F.max("relation"))).alias("agrees"), F.min("relation").alias("relation"))
     newest = by_period.groupBy("claim_id").agg(F.max_by(F.struct("agrees", "relation"), "period").alias("newest"))
-    joined = claims.join(per, "claim_id", "left").join(newest, "claim_id", "left")
+    joined = claims.join(per, "claim_id", "left").join(newest, "claim_id", "left").join(reasons, "claim_id", "left")
     changing = F.col("claim_type").isin("contagem", "acontecimento_recente")
     dated = changing & ~F.col("one_value") & (F.col("undated") == 0) & F.coalesce("newest.agrees", F.lit(False))
     raw = (F.when(F.col("claim_type").isin("opiniao", "previsao"), F.lit("nao_verificavel"))
@@ -114,7 +151,8 @@ def synthesise(claims: DataFrame, evidence: DataFrame) -> DataFrame:
            .when((F.col("support") > 0) & (F.col("against") == 0), F.lit("apoiam")).otherwise(F.lit("divergentes")))
     swapped = (F.when(F.col("detail_negated") & (raw == "apoiam"), F.lit("contradizem"))
                .when(F.col("detail_negated") & (raw == "contradizem"), F.lit("apoiam")).otherwise(raw))
-    return joined.select("claim_id", swapped.alias("situation"), F.coalesce("n_reps", F.lit(0)).alias("n_reps"), "has_value")
+    asked = F.col("comparable") & ~F.col("claim_type").isin("opiniao", "previsao")
+    return joined.select("claim_id", swapped.alias("situation"), F.coalesce("n_reps", F.lit(0)).alias("n_reps"), "has_value", F.when(asked, F.col("reason")).alias("reason"))
 
 
 def indicate(syntheses: DataFrame) -> DataFrame:

@@ -75,6 +75,37 @@ def indication(t):
     return EV.indicate(EV.synthesise(order_claims(t), line_evidence(t))).select("claim_id", "label", "single_source")
 
 
+NAMED_SQL = f"""(select l_orderkey as claim_id, (l_suppkey%4)::varchar as evidence_group, l_partkey::varchar as url, case when l_linenumber%3=0 then 'trecho' else 'completo' end as kind,
+ case when floor(l_quantity/10)*10>=30 then 'apoia' else 'contradiz' end as relation, floor(l_quantity/10)*10 as value, list_contains(string_split(title,' '), entity) as explicit,
+ case when l_tax<0.07 then year(l_shipdate) end as period, case when l_returnflag <> 'R' and title <> entity and list_contains(string_split(title,' '), entity) then title end as source_entity
+ from (select *, case when l_suppkey % 2 = 0 then p_name else string_split(p_name,' ')[2] end as title from lineitem join part on p_partkey = l_partkey)
+ join (select l_orderkey as k, arg_min(string_split(p_name,' ')[2], row(l_linenumber, l_partkey)) as entity from lineitem join part on p_partkey = l_partkey group by 1) on k = l_orderkey)"""
+NAMED = SYN.replace(LINES_SQL, NAMED_SQL).replace("'period': period}", "'period': period, 'source_entity': source_entity}").replace(
+    "first.url as url from", "first.url as url, first.source_entity as source_entity from").replace("nm as (select * from reps where explicit)", """
+nn as (select claim_id, case when coalesce(count(source_entity) = count(*) and min(source_entity) = max(source_entity), false) then 'other_entity' when count(*) filter (where explicit) = 0 then 'not_named'
+  when count(distinct source_entity) filter (where explicit) > 1 and count(distinct value) filter (where explicit and source_entity is not null) > 1 then 'ambiguous_name'
+  when count(*) filter (where explicit and source_entity is null) = 0 then 'other_entity' end as reason from reps group by 1),
+nm as (select reps.* from reps join nn using (claim_id) where explicit and source_entity is null and reason is null)""")
+
+
+@query("synthesis_by_name", "E-04 E-08", NAMED + f""" select y.claim_id, situation, n_reps, case when comparable and claim_type not in ('opiniao','previsao') then reason end as reason
+from y join {CLAIMS_SQL} c using (claim_id) left join nn using (claim_id)""")
+def synthesis_by_name(t):
+    """Each line is a source about a part, a claim is about the thing its first line names; titles are that thing or a longer name."""
+    thing = F.element_at(F.split("p_name", " "), 2)
+    lines = t.lineitem.join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
+    asked = lines.groupBy("l_orderkey").agg(F.min_by(thing, F.struct("l_linenumber", "l_partkey")).alias("entity"))
+    titled = lines.withColumn("title", F.when(F.col("l_suppkey") % 2 == 0, F.col("p_name")).otherwise(thing)).join(asked, "l_orderkey")
+    v = F.floor(F.col("l_quantity") / 10) * 10
+    words = F.split(X.norm("title"), " ")
+    rows = titled.select(
+        F.col("l_orderkey").alias("claim_id"), (F.col("l_suppkey") % 4).cast("string").alias("evidence_group"), F.col("l_partkey").cast("string").alias("url"),
+        F.when(F.col("l_linenumber") % 3 == 0, "trecho").otherwise("completo").alias("kind"), F.when(v >= 30, "apoia").otherwise("contradiz").alias("relation"),
+        v.cast("double").alias("value"), F.array_contains(words, X.norm("entity")).alias("explicit"), F.when(F.col("l_tax") < 0.07, F.year("l_shipdate")).alias("period"),
+        F.when(F.col("l_returnflag") != "R", EV.source_entity(F.col("entity"), F.col("title"), EUROPEAN)).alias("source_entity"))
+    return EV.synthesise(order_claims(t), rows).select("claim_id", "situation", "n_reps", "reason")
+
+
 REL_SQL = """with q as (select l_orderkey as claim_id, l_linenumber, o_totalprice/10000 as v, case o_orderkey%3 when 0 then 'approx' when 1 then 'eq' else 'min' end as cmp, o_custkey%5=0 as neg, l_quantity as xv,
  case l_linenumber%4 when 0 then 'max' else 'eq' end as xc, l_tax>0.07 as xn, case when o_orderkey%4=0 then [] else [l_returnflag] end as cq, case when l_partkey%3=0 then [] else [l_linestatus] end as xq,
  case when o_orderkey%2=0 then [year(o_orderdate)] else [] end as cy, case when l_partkey%2=0 then [year(l_shipdate)] else [] end as xy, o_orderkey%17=0 as novalue from lineitem join orders on l_orderkey=o_orderkey),
