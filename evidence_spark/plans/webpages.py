@@ -8,6 +8,7 @@ from evidence_spark.functions import dates, urls
 from evidence_spark.functions import text as X
 from evidence_spark.lexicons import EUROPEAN, FACT_CHECKERS, SCIENCE_DOMAINS, SOCIAL_DOMAINS
 from evidence_spark.operators import dedupe as D
+from evidence_spark.operators import joins as J
 from evidence_spark.operators.ranking import exact_quantiles, top_per_key
 from evidence_spark.plans import sqltext as S
 from evidence_spark.plans.registry import query
@@ -221,37 +222,28 @@ def pages_to_read(t):
     return top_per_key(per_cluster, ["category"], order, 8).select("category", "position", "page_id", "cluster")
 
 
+TITLED = f"""x as (select *, {S.title_key('title', STOP)} as k, list_sort({S.numbers_in('title')}) as nums, {S.norm('title')} as n from {ART}),
+y as (select x.*, not contains(url, '?') as direct, length(regexp_replace(html,'<[^>]*>','','g')) as chars from x join (select page_id, html from pages) using (page_id))"""
+
+
 @query("own_article_join", "J-18", f"""
-with x as (select *, {S.title_key('title', STOP)} as k, {S.numbers_in('title')} as nums from {ART}),
-art as (select page_id as article_id, * from x where page_id % 5 = 0), cand as (select * from x where page_id % 5 <> 0),
-h as (select article_id, cand.page_id as c_id, 1 as how, 1.0 as j from art join cand using (canon)
-  union all select article_id, cand.page_id, 2, {S.jaccard('art.k', 'cand.k')} from art join cand using (d)
-    where {S.jaccard('art.k', 'cand.k')} >= 0.6 and list_sort(art.nums) = list_sort(cand.nums)),
-r as (select *, row_number() over (partition by article_id order by how, j desc, c_id) as rn from h)
+with {TITLED},
+art as (select page_id as article_id, * from y where page_id % 5 = 0), cand as (select * from y where page_id % 5 <> 0 and chars >= 500),
+p as (select article_id, cand.page_id as c_id, art.canon = cand.canon as address, art.d = cand.d as near, cand.direct, art.nums = cand.nums and len(art.k) > 0 and len(cand.k) > 0 as likely,
+  {S.jaccard('art.k', 'cand.k')} as j, art.n = cand.n as eq, len(art.k) < 4 or len(cand.k) < 4 as short from art, cand),
+h as (select article_id, c_id, 1 as how, 0 as pref, 0.0 as j from p where address
+  union all select article_id, c_id, 2, case when direct and near then 0 when direct then 1 else 2 end, 0.0 from p where likely and case when short then eq else j >= 0.85 end
+  union all select article_id, c_id, 3, 0, j from p where likely and near and j >= 0.6),
+r as (select *, row_number() over (partition by article_id order by how, pref, j desc, c_id) as rn from h)
 select article_id, c_id, how from r where rn = 1""")
 def own_article_join(t):
-    """The article's own page among the candidates: same address first, else a title match inside the same domain."""
+    """The article's own page among the pages with enough text: same address, else the same title, else a like title of its domain."""
     base = t.pages.select(
-        "page_id", urls.canonical_url("url").alias("canon"), urls.domain("url").alias("domain"),
-        G.plain_text(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"))
-    return own_article(base.filter(F.col("page_id") % 5 == 0).withColumnRenamed("page_id", "article_id"),
-                       base.filter(F.col("page_id") % 5 != 0).withColumnRenamed("page_id", "c_id"))
-
-
-def own_article(articles_, candidates):
-    from evidence_spark.functions import numbers as N
-    from evidence_spark.operators.ranking import best_per_key
-
-    keyed = lambda df, p: df.select(*[c for c in df.columns if c.endswith("_id")], F.col("canon").alias(f"{p}_canon"),
-                                    F.col("domain").alias(f"{p}_domain"), X.title_key("title", STOP).alias(f"{p}_key"),
-                                    F.array_sort(N.numbers_in("title")).alias(f"{p}_nums"))
-    a, c = keyed(articles_, "a"), keyed(candidates, "c")
-    by_address = a.join(c, F.col("a_canon") == F.col("c_canon")).select("article_id", "c_id", F.lit(1).alias("how"), F.lit(1.0).alias("j"))
-    overlap = X.jaccard(F.col("a_key"), F.col("c_key"))
-    by_title = a.join(c, (F.col("a_domain") == F.col("c_domain")) & (F.col("a_nums") == F.col("c_nums")) & (overlap >= 0.6)).select(
-        "article_id", "c_id", F.lit(2).alias("how"), overlap.alias("j"))
-    both = by_address.unionByName(by_title)
-    return best_per_key(both, ["article_id"], F.struct(-F.col("how"), F.col("j"), -F.col("c_id")), ["c_id", "how"])
+        "page_id", urls.canonical_url("url").alias("canon"), urls.domain("url").alias("domain"), (~F.contains("url", F.lit("?"))).alias("direct"),
+        F.length(F.regexp_replace("html", "<[^>]*>", "")).alias("chars"), G.plain_text(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"))
+    found = J.own_article(base.filter(F.col("page_id") % 5 == 0).withColumnRenamed("page_id", "article_id"),
+                          base.filter((F.col("page_id") % 5 != 0) & (F.col("chars") >= 500)).withColumnRenamed("page_id", "c_id"), EUROPEAN)
+    return found.select("article_id", "c_id", "how")
 
 
 def _feed(t):
