@@ -19,6 +19,12 @@ def numbers_in(c) -> Column:
     return F.array_distinct(F.transform(found, number_key))
 
 
+def numbers_with_unit(c) -> Column:
+    """``number unit`` for each number a word follows: its key and the word in lower case."""
+    found = F.regexp_extract_all(F.coalesce(_col(c), F.lit("")), F.lit(rf"({NUMBER}\s+\p{{L}}+)"), F.lit(1))
+    return F.array_distinct(F.transform(found, lambda m: F.concat_ws(" ", number_key(m), F.lower(F.regexp_extract(m, r"(\p{L}+)$", 1)))))
+
+
 def to_double(raw) -> Column:
     """``1.234,5`` and ``1,234`` style numbers as doubles."""
     c = _col(raw)

@@ -15,10 +15,15 @@ from evidence_spark.functions import text as X
 def headline_number_audit(df: DataFrame, key: str, head: str, body: str, min_body: int = 80) -> DataFrame:
     """Numbers of the head that the body does not repeat: near (a doubled digit lost, or one digit away), year, or missing. Row-local work.
 
-    A year is near only to a number it gives by a doubled digit: other years differ from it by a digit without any slip.
+    A year is near only to a number it gives by a doubled digit: other years differ from it by a digit without any slip. A
+    number with a unit (the word after it) is near only to numbers that the body gives with the same unit.
     """
-    rows = df.filter(F.length(body) >= min_body).select(key, N.numbers_in(head).alias("heads"), N.numbers_in(body).alias("known"))
-    rows = rows.select(key, "known", F.explode(F.array_except("heads", "known")).alias("number"))
+    rows = df.filter(F.length(body) >= min_body).select(
+        key, N.numbers_in(head).alias("heads"), N.numbers_in(body).alias("known"), N.numbers_with_unit(head).alias("asked"), N.numbers_with_unit(body).alias("said"))
+    rows = rows.select(key, "known", "asked", "said", F.explode(F.array_except("heads", "known")).alias("number"))
+    unit = F.substring_index(F.get(F.filter("asked", lambda a: F.startswith(a, F.concat("number", F.lit(" ")))), F.lit(0)), " ", -1)
+    alike = F.filter("known", lambda k: F.col("unit").isNull() | F.array_contains("said", F.concat_ws(" ", k, F.col("unit"))))
+    rows = rows.withColumn("unit", unit).select(key, "number", alike.alias("known"))
     digits = lambda c: F.regexp_replace(c, "[^0-9]", "")
     near = F.filter("known", lambda k: (F.length(digits(F.col("number"))) >= 3)
                     & (F.levenshtein(digits(k), digits(F.col("number"))) == 1))

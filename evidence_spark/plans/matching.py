@@ -261,11 +261,15 @@ def _slips(long: str, short: str) -> str:
 
 
 SLIPS_A, SLIPS_B = _slips("number", "k"), _slips("k", "number")
+WITH_UNIT = "list_transform(regexp_extract_all({c},'[0-9]+(?:[.,][0-9]+)*\\s+\\p{{L}}+'), lambda m: {key} || ' ' || lower(regexp_extract(m,'(\\p{{L}}+)$',1)))"
+UNITS = {c: WITH_UNIT.format(c=c, key=S.number_key("m")) for c in ("head", "body")}
 HEAD_NUMBERS = f"""with d as (select doc_id, string_split(text,chr(10))[1] as head, substr(text,length(string_split(text,chr(10))[1])+2) as body from documents),
-h as (select doc_id, unnest({S.numbers_in('head')}) as number, {S.numbers_in('body')} as known, length(body) as n_body from d),
+h0 as (select doc_id, unnest({S.numbers_in('head')}) as number, {S.numbers_in('body')} as all_known, {UNITS['head']} as asked, {UNITS['body']} as said, length(body) as n_body from d),
+h1 as (select *, string_split(list_filter(asked, lambda a: starts_with(a, number || ' '))[1], ' ')[2] as unit from h0 where not list_contains(all_known, number)),
+h as (select *, list_filter(all_known, lambda k: unit is null or list_contains(said, k || ' ' || unit)) as known from h1),
 m as (select doc_id, number, len(list_filter(known, lambda k: length(regexp_replace(number,'[^0-9]','','g')) >= 3 and levenshtein(regexp_replace(k,'[^0-9]','','g'), regexp_replace(number,'[^0-9]','','g')) = 1)) as n_near,
   len(list_filter(known, lambda k: list_contains(list_concat({SLIPS_A}, {SLIPS_B}), true))) > 0 as slip
-  from h where n_body >= 80 and not list_contains(known, number))"""
+  from h where n_body >= 80)"""
 
 
 @query("number_audit", "Q-02 F-20", HEAD_NUMBERS + """

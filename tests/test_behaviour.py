@@ -259,9 +259,11 @@ def test_credit_lines(spark):
 
 def test_number_audit_order(spark):
     body = "Em 2023 foram 150 casos e 12.345 doses aplicadas, segundo o relatório publicado pela secretaria na semana passada."
-    df = spark.createDataFrame([(1, "Em 2024", body), (2, "Foram 1550 casos", body), (3, "Foram 152 casos", body), (4, "Foram 999 casos", body), (5, "Em 20223", body)], "id int, head string, body string")
-    got = {r["id"]: r["verdict"] for r in Q.headline_number_audit(df, "id", "head", "body").collect()}
-    assert got == {1: "year", 2: "near", 3: "near", 4: "missing", 5: "near"}
+    df = spark.createDataFrame([(1, "Em 2024", body), (2, "Foram 1550 casos", body), (3, "Foram 152 casos", body), (4, "Foram 999 casos", body), (5, "Em 20223", body), (6, "Foram 152 mortes", body), (7, "Foram 152 CASOS", body), (8, "Foram 12.344 doses e 1500 doses", body)], "id int, head string, body string")
+    found = Q.headline_number_audit(df, "id", "head", "body").collect()
+    got = {r["id"]: r["verdict"] for r in found if r["id"] != 8}
+    assert got == {1: "year", 2: "near", 3: "near", 4: "missing", 5: "near", 6: "missing", 7: "near"}  # 152 deaths are no slip of 150 cases
+    assert {(r["number"], r["verdict"]) for r in found if r["id"] == 8} == {("12344", "near"), ("1500", "missing")}
 
 
 def test_term_weights_have_the_one(spark):
