@@ -191,6 +191,17 @@ def best_accuracy_threshold(df: DataFrame, y: str, score: str) -> DataFrame:
                       F.max_by("fp", best).alias("accepted_by_mistake"), F.max_by("fn", best).alias("lost"))
 
 
+def errors_at_best_accuracy(df: DataFrame, y: str, score: str, key: str) -> DataFrame:
+    """The rows that the cut of ``best_accuracy_threshold`` decides wrongly: key, score, error (accepted_by_mistake or lost).
+
+    The cut is one broadcast row; the lists are as long as they are, spread over the partitions of ``df``.
+    """
+    cut = F.broadcast(best_accuracy_threshold(df, y, score).select("cut"))
+    accepted, true = F.col(score) >= F.col("cut"), F.col(y)
+    error = F.when(accepted & ~true, "accepted_by_mistake").when(~accepted & true, "lost")
+    return df.join(cut).select(key, score, error.alias("error")).filter("error is not null")
+
+
 def hybrid_decider(df: DataFrame, y: str, compared: str, rule: str, score: str, floor: float) -> DataFrame:
     """Rule where it compared, score elsewhere, with the loosest cut at which the whole still reaches the floor."""
     yes = F.col(y)

@@ -180,6 +180,13 @@ def best_accuracy_threshold(t):
     return E.best_accuracy_threshold(pairs(t), "y", "score")
 
 
+@query("errors_at_best_accuracy", "W-09", f"""
+with r as (select cut, (tp + (n_rows - positives - fp))/n_rows as accuracy from {CURVE}), b as (select arg_max(cut, row(accuracy,cut)) as cut from r)
+select pair_id, score, case when y then 'lost' else 'accepted_by_mistake' end as error from {PAIRS}, b where y <> (score >= cut)""")
+def errors_at_best_accuracy(t):
+    return E.errors_at_best_accuracy(pairs(t), "y", "score", "pair_id")
+
+
 @query("hybrid_decider", "M-17", f"""
 with f as (select count(*) filter (where compared and rule) as rs, count(*) filter (where compared and rule and y) as rt, count(*) filter (where y) as pos from {PAIRS}),
 c as (select cut, sum(n) over (order by cut desc) as shown, sum(p) over (order by cut desc) as tp from (
