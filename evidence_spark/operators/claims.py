@@ -66,6 +66,10 @@ EN_PATTERNS = ClaimPatterns(
     recent=_words("today", "yesterday", "now", "this week", "recently"), how_many="^how many( |$)")
 
 
+# Fixed value: the author's line at the start of a line or sentence.
+BYLINE = r"(?m)(^|[.\n])\s*(?:Por|By)\s+[A-ZÀ-Ý][\p{L}\p{N}_'’]+(?:\s+(?:d[aeo]s?\s+)?[A-ZÀ-Ý][\p{L}\p{N}_'’]+)*\s*[,|–-]?"
+
+
 def clean_claim(c, max_chars: int | None = None) -> Column:
     """Input (cut only if ``max_chars`` is given) without framing, attention marks and media lead-ins, fused short words split."""
     t = F.replace(F.coalesce(X._col(c), F.lit("")), F.lit("\r"), F.lit("\n"))
@@ -339,9 +343,9 @@ def interpret(claims: DataFrame, key: str, text: str, now_year: int, lexicon: L.
 
 
 def split_claims(df: DataFrame, key: str, text: str, lexicon: L.Lexicon = L.PT, limit: int = 3) -> DataFrame:
-    """Up to ``limit`` sentences with a claim of their own; one without a name inherits the names of the first."""
+    """Up to ``limit`` sentences with a claim of their own, bylines left out; one without a name inherits the names of the first."""
     stop = X.words_array(lexicon.stop)
-    sents = df.select(key, F.posexplode(X.sentences(clean_claim(text))).alias("sent", "sentence"))
+    sents = df.select(key, F.posexplode(X.sentences(F.trim(F.regexp_replace(clean_claim(text), BYLINE, "$1 ")))).alias("sent", "sentence"))
     content = F.size(F.filter(X.tokens("sentence"), lambda w: (F.length(w) >= 3) & ~F.array_contains(stop, w)))
     counted = quantities(sents, [key, "sent"], "sentence", lexicon).select(key, "sent").distinct().withColumn("counted", F.lit(True))
     kept = sents.withColumn("content", content).join(counted, [key, "sent"], "left").filter((F.col("content") >= 4) | F.col("counted"))

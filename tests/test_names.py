@@ -44,3 +44,14 @@ OWN, LAGUNA, LAGOA = "O Santos tem 8 títulos nacionais.", "O Santos Laguna tem
 ])
 def test_situation_by_name(spark, pages, want):
     assert situation(spark, pages) == want
+
+
+def test_bylines_are_no_claim(spark):
+    texts = ["Por Ana de Souza | O governo aumentou imposto sobre bebidas importadas.", "O governo aumentou imposto sobre bebidas importadas.\nBy John O'Neil\nA medida começa amanhã em todas capitais.",
+             "O imposto foi criado Por Decreto federal ontem."]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {}
+    for r in C.split_claims(df, "id", "text").orderBy("id", "position").collect():
+        got.setdefault(r["id"], []).append(r["sentence"])
+    assert got == {0: ["O governo aumentou imposto sobre bebidas importadas."],
+                   1: ["O governo aumentou imposto sobre bebidas importadas.", "A medida começa amanhã em todas capitais."], 2: [texts[2]]}
