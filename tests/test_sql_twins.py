@@ -35,3 +35,8 @@ def turns(*texts):
 def test_an_acronym_with_accents_keeps_them(spark, tmp_path):
     rows = same(spark, tmp_path, "claim_context", documents=documents("On cite une étude nationale annuelle (ÉNA) ici. La suite."))
     assert ("étude nationale annuelle", "éna") in [(r[0], r[2]) for r in rows]
+
+
+def test_a_name_is_not_met_by_a_chance_word_of_its_initials(spark, tmp_path):
+    texts = ["We met Erein Evan today\nErein Evan came.", "The erein said ee to all.", "Now erein evan again.", "None.", "None."]
+    assert same(spark, tmp_path, "entity_match", documents=documents(*texts)) == [("erein evan", 2.0)]
