@@ -40,3 +40,10 @@ def test_an_acronym_with_accents_keeps_them(spark, tmp_path):
 def test_a_name_is_not_met_by_a_chance_word_of_its_initials(spark, tmp_path):
     texts = ["We met Erein Evan today\nErein Evan came.", "The erein said ee to all.", "Now erein evan again.", "None.", "None."]
     assert same(spark, tmp_path, "entity_match", documents=documents(*texts)) == [("erein evan", 2.0)]
+
+
+FUSED = "Y en asadora queas ueueez las cionado adomi adotaar. Adota queas adora. Lla forai."
+
+
+def test_a_turn_is_interpreted_as_it_stands(spark, tmp_path):
+    assert same(spark, tmp_path, "interpret_claims", conversations=turns(FUSED, "How many of the 4500 cats left in 2019?"))[0][2] == 52.0
