@@ -47,3 +47,7 @@ FUSED = "Y en asadora queas ueueez las cionado adomi adotaar. Adota queas adora.
 
 def test_a_turn_is_interpreted_as_it_stands(spark, tmp_path):
     assert same(spark, tmp_path, "interpret_claims", conversations=turns(FUSED, "How many of the 4500 cats left in 2019?"))[0][2] == 52.0
+
+
+def test_claims_are_split_from_the_turn_as_it_stands(spark, tmp_path):
+    assert [r[:2] for r in same(spark, tmp_path, "split_claims", conversations=turns(FUSED, "Adora queas lloran, adota.", "Il a 12 chats."))] == [(0.0, 52.0), (1000.0, 26.0)]
