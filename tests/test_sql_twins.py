@@ -51,3 +51,13 @@ def test_a_turn_is_interpreted_as_it_stands(spark, tmp_path):
 
 def test_claims_are_split_from_the_turn_as_it_stands(spark, tmp_path):
     assert [r[:2] for r in same(spark, tmp_path, "split_claims", conversations=turns(FUSED, "Adora queas lloran, adota.", "Il a 12 chats."))] == [(0.0, 52.0), (1000.0, 26.0)]
+
+
+def test_times_are_near_to_the_nearest_second(spark, tmp_path):
+    at = lambda day, second, micro: datetime.datetime(2024, 1, day, 0, 0, second, micro)
+    events = "event_id long, user_id long, event_type string, ts timestamp", [
+        (1, 1, "signup", at(1, 10, 400_000)), (2, 1, "purchase", at(8, 10, 600_000)),   # 7 days and a second when rounded, 7 days when cut
+        (3, 2, "signup", at(1, 10, 600_000)), (4, 2, "purchase", at(8, 11, 400_000)),   # 7 days when rounded, a second more when cut
+        (5, 3, "signup", at(1, 10, 500_000)), (6, 3, "purchase", at(8, 11, 500_000)),   # halves go to the even second
+        (50, 3, "signup", at(1, 10, 0))]
+    assert same(spark, tmp_path, "near_in_time", events=events) == [(3.0, 1.0), (50.0, 1.0)]
