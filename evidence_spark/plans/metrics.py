@@ -145,7 +145,7 @@ CURVE = f"""(select cut, shown, tp, shown - tp as fp, positives, n_rows, tp_here
 select cut, shown::bigint as shown, tp::bigint as tp, round(precision,6) as precision, round(recall,6) as recall from {CURVE}""")
 def pr_curve(t):
     curve = E.pr_curve(pairs(t), "y", "score")
-    return curve.select("cut", "shown", "tp", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+    return curve.select("cut", "shown", "tp", N.rounded("precision", 6).alias("precision"), N.rounded("recall", 6).alias("recall"))
 
 
 @query("average_precision", "W-06 E-22", f"""

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evidence_spark.functions import numbers as N
 from evidence_spark.functions import text as X
 from evidence_spark.plans import sqltext as S
 
@@ -16,7 +17,7 @@ def pairs(t):
     words = X.word_count("text").cast("double")
     frame = t.documents.join(t.labels, "doc_id").select(
         F.col("doc_id").alias("pair_id"), F.col("source").alias("grp"), "lang", (F.col("toxic") == 1).alias("y"),
-        F.col("quality"), F.round(symbols / (symbols + words), 4).alias("score"), words.alias("n_words"))
+        F.col("quality"), N.rounded(symbols / (symbols + words), 4).alias("score"), words.alias("n_words"))
     frame = frame.withColumn("rule", (F.col("quality") == 0) | (F.col("n_words") < 60))
     frame = frame.withColumn("model", F.col("score") >= 0.2).withColumn("compared", F.col("pair_id") % 3 == 0)
     return frame.withColumn("size_band", F.when(F.col("n_words") < 60, "short").when(F.col("n_words") < 300, "medium")

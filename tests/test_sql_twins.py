@@ -61,3 +61,10 @@ def test_times_are_near_to_the_nearest_second(spark, tmp_path):
         (5, 3, "signup", at(1, 10, 500_000)), (6, 3, "purchase", at(8, 11, 500_000)),   # halves go to the even second
         (50, 3, "signup", at(1, 10, 0))]
     assert same(spark, tmp_path, "near_in_time", events=events) == [(3.0, 1.0), (50.0, 1.0)]
+
+
+def test_scores_are_rounded_on_their_binary_value(spark, tmp_path):
+    # 57 of 800 is 0.07125 in decimal spelling, and less than that in binary: 0.0712.
+    texts = ["a! " * 57 + "a " * 686, "a! b c d", "a b!! c", "a b c d e f g h i j k!"]
+    labels = "doc_id long, quality int, toxic int", [(i, 1, i % 2) for i in range(len(texts))]
+    assert len(same(spark, tmp_path, "pr_curve", documents=documents(*texts), labels=labels)) == 4
