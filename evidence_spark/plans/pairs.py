@@ -13,7 +13,7 @@ from evidence_spark.plans import sqltext as S
 
 
 def pairs(t):
-    symbols = F.regexp_count("text", F.lit(r"[^\p{L}\p{N}\s]")).cast("double")
+    symbols = F.regexp_count("text", F.lit(r"[^\p{L}\p{N} \t\n\f\r]")).cast("double")
     words = X.word_count("text").cast("double")
     frame = t.documents.join(t.labels, "doc_id").select(
         F.col("doc_id").alias("pair_id"), F.col("source").alias("grp"), "lang", (F.col("toxic") == 1).alias("y"),

@@ -68,3 +68,15 @@ def test_scores_are_rounded_on_their_binary_value(spark, tmp_path):
     texts = ["a! " * 57 + "a " * 686, "a! b c d", "a b!! c", "a b c d e f g h i j k!"]
     labels = "doc_id long, quality int, toxic int", [(i, 1, i % 2) for i in range(len(texts))]
     assert len(same(spark, tmp_path, "pr_curve", documents=documents(*texts), labels=labels)) == 4
+
+
+ODD = ["Le chat noir mange la souris 4500 grise.\u00a0\nLe chat noir mange la souris 4500 grise sur la route verte.\u00a0\nUne fin.",
+       "Version chat noir.\u000b The version holds 12 tokens with licence\r\nand more of the same chat noir words to be long.\r",
+       "\u3000Le chat 7 with.\u2009\n\u2003The chat with a token of 7 is told here and goes on for long.\u2028\nEncore! \u00a0Oui 7"]
+
+
+def test_odd_spaces_end_sentences_as_in_sql(spark, tmp_path):
+    for name in ("sentence_stats", "top_excerpts", "relate_detail", "token_counts"):
+        assert same(spark, tmp_path, name, documents=documents(*ODD))
+    assert same(spark, tmp_path, "interpret_claims", conversations=turns(*ODD, "Le chat ?\u00a0"))
+    assert same(spark, tmp_path, "split_claims", conversations=turns(*ODD))
