@@ -185,12 +185,8 @@ def page_independence(t):
         "page_id", "url", urls.domain("url").alias("domain"),
         G.plain_text(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"),
         (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval((F.col("page_id") % 30).cast("int"))).alias("published"))
-    titled = titled.withColumn("outlet", F.substring_index("domain", ".", 1)).withColumn("key", X.norm("title"))
-    a = titled.select(F.col("page_id").alias("a_id"), "key", F.col("url").alias("a_url"), F.col("outlet").alias("a_outlet"),
-                      F.col("title").alias("a_title"), F.col("published").alias("a_published"))
-    c = titled.select(F.col("page_id").alias("c_id"), "key", "url", "outlet", "domain", "title", "published",
-                      F.lit("").alias("page_text"))
-    judged = D.independence(a.join(c, "key").filter(F.col("a_id") < F.col("c_id")), EUROPEAN)
+    titled = titled.withColumn("outlet", F.substring_index("domain", ".", 1))
+    judged = D.independence_by_title(titled, "page_id", EUROPEAN)
     return judged.select("a_id", "c_id", F.col("independence").alias("kind"), "reason")
 
 

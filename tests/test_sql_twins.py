@@ -80,3 +80,13 @@ def test_odd_spaces_end_sentences_as_in_sql(spark, tmp_path):
         assert same(spark, tmp_path, name, documents=documents(*ODD))
     assert same(spark, tmp_path, "interpret_claims", conversations=turns(*ODD, "Le chat ?\u00a0"))
     assert same(spark, tmp_path, "split_claims", conversations=turns(*ODD))
+
+
+def test_copies_of_a_title_are_judged_in_slices(spark, tmp_path, monkeypatch):
+    from evidence_spark.operators import dedupe
+
+    monkeypatch.setattr(dedupe, "PAIRS_A_TASK", 2)
+    urls = ["http://www.gazeta.com/a", "http://m.gazeta.com/a/", "http://jornal.com.br/x", "http://gazetadosul.com/y", "http://blog.gazeta.net/z?q=1", "http://x.org/1"]
+    title = "<title>Chat noir mange la souris {n} grise</title>"
+    rows = [(i, u, title.format(n=n)) for i, (u, n) in enumerate((u, n) for n in (4, 5) for u in urls)] + [(99, "http://x.org/2", "<title></title>")]
+    assert len(same(spark, tmp_path, "page_independence", pages=("page_id long, url string, html string", rows))) == 30
