@@ -90,3 +90,10 @@ def test_copies_of_a_title_are_judged_in_slices(spark, tmp_path, monkeypatch):
     title = "<title>Chat noir mange la souris {n} grise</title>"
     rows = [(i, u, title.format(n=n)) for i, (u, n) in enumerate((u, n) for n in (4, 5) for u in urls)] + [(99, "http://x.org/2", "<title></title>")]
     assert len(same(spark, tmp_path, "page_independence", pages=("page_id long, url string, html string", rows))) == 30
+
+
+def test_a_sentence_keeps_the_digit_of_its_place(spark, tmp_path):
+    # A function of two parameters handed to a transform took a sentence's place for the characters to trim.
+    texts = ["Le chat noir mange la souris grise\n1 chat noir mange la souris grise sur la route 1\nPage 2", "0 fin\n1", "Licence 4\n \nThe version is 1"]
+    for name in ("sentence_stats", "top_excerpts", "relate_detail"):
+        same(spark, tmp_path, name, documents=documents(*texts))
