@@ -104,3 +104,9 @@ def test_token_counts_of_repeated_ids_without_a_row_per_word(spark, tmp_path):
     assert len(same(spark, tmp_path, "token_counts", documents=(schema, [*rows, (0, "Le Chat dort.", "fr", "s", 1)]))) == 2
     plan = load_all()["token_counts"].run(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "Expand" not in plan
+
+
+def test_vectors_are_paired_as_in_sql(spark, tmp_path):
+    vectors = [[2.0, 1.0], [1.0, 0.0], [2.0, 1.0], [0.0, 0.0], [-1.0, 0.5], [0.4, 0.0], [0.4, 0.84**0.5], None]
+    rows = same(spark, tmp_path, "cosine_pairs", embeddings=("vec_id long, embedding array<float>", list(enumerate(vectors))))
+    assert [r[:2] for r in rows if 3.0 in r[:2]] == [(0.0, 3.0), (1.0, 3.0), (3.0, 4.0), (3.0, 5.0), (3.0, 6.0)]  # no number: as in SQL
