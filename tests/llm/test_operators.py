@@ -358,6 +358,30 @@ def test_shared_positions_of_a_block():
             assert got[i, j] == sum(x in set(shingles[j]) for x in shingles[i])
 
 
+def test_rows_of_a_block_follow_its_nodes_not_its_pairs(spark):
+    """Versions of one text: every pair holds passages, one or few rows a version tell all their words."""
+    s, rng = passages.Settings(), np.random.default_rng(5)
+    base = rng.integers(1, 2**32, 120).astype("<u4")
+    versions = []
+    for _ in range(40):
+        version = base.copy()
+        version[rng.integers(0, 120, 2)] = rng.integers(1, 2**32, 2)
+        versions.append(version)
+    nodes = spark.createDataFrame([(1, i, 60, 0, 115, True, True) for i in range(40)], "key long, id long, c int, l int, r int, open boolean, candidate boolean")
+    texts = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(versions)], "id long, seq binary")
+    rows = passages._block_passages(nodes, texts, s).collect()
+    told, brute = {}, {}
+    for r in rows:
+        told.setdefault(r["id"], set()).update(range(r["start_word"], r["end_word"]))
+    shingles = [passages.shingle_hashes(v.astype(np.uint64), s.shingle) for v in versions]
+    for i in range(40):
+        for j in range(i):
+            for x in passages.verified(np.array([[60, 0, 115, 60, 0, 115]]), shingles[i], 0, passages.Places(shingles[j]), s)[0]:
+                brute.setdefault(i, set()).update(range(x[0], x[1] + s.shingle))
+    assert told == brute and len(brute) == 39
+    assert len(rows) <= 3 * 39  # of 780 pairs
+
+
 def test_verified_passages_of_texts_that_repeat_themselves():
     """Every shingle of the member has several places in the hub: the nearest to the diagonal counts."""
     unit = np.arange(1, 31, dtype=np.uint64)
