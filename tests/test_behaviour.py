@@ -180,6 +180,30 @@ def test_jaccard_join_equals_brute_force(spark):
         assert got == brute_jaccard({i: s for s, i in unique.items()}, t)
 
 
+def test_jaccard_join_equals_brute_force_on_long_sets(spark):
+    """Versions of long texts around the threshold, some with more tokens than bits or counters, and a few that share only common words."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(6000)]
+    sets = {}
+    for family, size in enumerate((30, 300, 2600)):
+        first = rng.sample(words, size)
+        for version in range(9):
+            swapped = version * max(1, int(size * 0.03))
+            sets[family * 10 + version] = frozenset(first[swapped:] + rng.sample(words, swapped))
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id int, k array<string>")
+    single = SJ.distinct_sets(df, "id", "k")
+    for t in (0.7, 0.8):
+        assert {(r["a"], r["b"]) for r in SJ.jaccard_join(single, None, t).collect()} == brute_jaccard(sets, t)
+
+
+def test_jaccard_join_shuffles_no_words_to_order_them(spark):
+    """Words are ordered by rarity in the row: only counters, keys and what the bounds leave are shuffled."""
+    rng = random.Random(10)
+    sets = spark.createDataFrame([(i, [f"w{rng.randrange(40000)}" for _ in range(60)]) for i in range(400)], "set_id int, tokens array<string>")
+    plan = SJ._by_rarity(sets.withColumn("side", F.lit(0)), sets)._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
 def test_cosine_join_equals_brute_force(spark):
     rng = random.Random(6)
     vectors = {i: [rng.gauss(0, 1) for _ in range(5)] for i in range(150)}
