@@ -17,6 +17,7 @@ from evidence_spark.functions import numbers as N
 from evidence_spark.functions import text as X
 from evidence_spark.operators import claims as C
 from evidence_spark.operators.ranking import top_per_key
+from evidence_spark.session import kept
 
 SAME, DIVERGENT, CONTEXT, OTHER, UNCERTAIN = ("mesmo_acontecimento", "detalhe_divergente", "contexto_relacionado", "outro_acontecimento", "relacao_incerta")
 TOKEN = r"[0-9]+(?:[.,][0-9]+)*|[\p{L}\p{N}_]+"
@@ -43,9 +44,12 @@ def action_at(words: Column, i: Column) -> Column:
 
 
 def find_actions(words: Column) -> Column:
-    """All action hits of a sentence as (i, cls)."""
+    """All action hits of a sentence as (i, cls). Places are tried only in a sentence that holds some action expression."""
     hits = F.transform(words, lambda w, i: F.struct(i.alias("i"), action_at(words, i).alias("cls")))
-    return F.filter(hits, lambda h: h["cls"].isNotNull())
+    found = F.filter(hits, lambda h: h["cls"].isNotNull())
+    some = " (?:" + "|".join(f"(?:{p})" for _, p in L.ACTIONS_PT) + ") "
+    whole = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    return F.when(whole.rlike(some), found).when(words.isNotNull(), F.array().cast("array<struct<i:int,cls:string>>"))
 
 
 def main_action(words: Column, hits: Column) -> Column:
@@ -95,11 +99,16 @@ def numbers_with_unit(sentence: Column, lexicon: L.Lexicon) -> Column:
 ATTRIBUTION = r"(?iu)(?:segundo|conforme|de acordo com|diz|dizem|mostra|mostram|aponta|apontam|revela|indica)\s+(?:os? dados d[oa]s?\s+|o |a |os |as )?(\p{Lu}[\p{L}\p{N}.&\-]*(?:\s+\p{Lu}[\p{L}\p{N}.&\-]*){0,3})"
 
 
+def plain_norm(word: Column) -> Column:
+    """``X.norm`` of one word; plain letters and digits need no folding."""
+    return F.when(word.rlike("^[A-Za-z0-9]+$"), F.lower(word)).otherwise(X.norm(word))
+
+
 def event_frames(df: DataFrame, keys: Sequence[str], sentence: str, lexicon: L.Lexicon = L.PT) -> DataFrame:
     """One frame per row's sentence, built in stages so that no expression is evaluated twice."""
     s = F.col(sentence)
     f = df.select(*keys, s.alias("sentence"))
-    f = f.withColumn("_lit", F.regexp_extract_all("sentence", F.lit(f"({TOKEN})"), F.lit(1))).withColumn("_w", F.transform("_lit", X.norm))
+    f = f.withColumn("_lit", F.regexp_extract_all("sentence", F.lit(f"({TOKEN})"), F.lit(1))).withColumn("_w", F.transform("_lit", plain_norm))
     f = f.withColumns({"_hits": find_actions(F.col("_w")), "names": name_tokens(F.col("sentence"), F.col("_lit"), lexicon)})
     f = f.withColumn("_a", main_action(F.col("_w"), F.col("_hits")))
     a0, size = F.col("_a.i"), F.size("_w")
@@ -133,15 +142,22 @@ def event_frames(df: DataFrame, keys: Sequence[str], sentence: str, lexicon: L.L
                     "negated", "stage", "attribution", F.col("_passive").alias("passive"))
 
 
+def frames_of_distinct(df: DataFrame, keys: Sequence[str], sentence: str, lexicon: L.Lexicon = L.PT) -> DataFrame:
+    """``event_frames`` where sentences repeat: each distinct one is read once, then joined to its rows."""
+    frames = kept(event_frames(df.select(F.col(sentence).alias("_s")).distinct(), ["_s"], "_s", lexicon), "frames")
+    joined = df.select(*keys, F.col(sentence).alias("_own")).join(frames, F.col("_own").eqNullSafe(F.col("_s")))
+    return joined.drop("_own", "_s")
+
+
 def original_events(claims: DataFrame, key: str, claim: str, body: str, published: str, lexicon: L.Lexicon = L.PT, opening: int = 4,
                     chars: int | None = None) -> DataFrame:
     """The claim's frame, widened by the first ``opening`` sentences of its article that share the agent or the action.
 
     ``chars`` limits the text that is read.
     """
-    own = event_frames(claims, [key], claim, lexicon)
+    own = frames_of_distinct(claims, [key], claim, lexicon)
     sents = claims.select(key, published, F.posexplode(X.sentences(F.substring(body, 1, chars) if chars else F.col(body), ".!?", 12)).alias("n", "s"))
-    frames = event_frames(sents, [key, "n", published], "s", lexicon)
+    frames = frames_of_distinct(sents, [key, "n", published], "s", lexicon)
     lead = own.select(key, F.col("action").alias("_act"), F.array_union("agent_names", F.array_except("agent_words", X.words_array(L.GENERIC_HEADS_PT))).alias("_agent"))
     joined = frames.join(lead, key)
     same_action = F.coalesce(F.array_contains("actions", F.col("_act")), F.lit(False))

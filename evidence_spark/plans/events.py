@@ -85,7 +85,7 @@ def compare_events(t):
     o = o.select("o_orderkey", *[F.col(c).alias(f"o_{c}") for c in ("action", "agent_names", "agent_words", "object_keys", "nouns", "names", "numbers", "negated",
                                                                  "attribution", "other_actions", "date", "date_explicit")])
     titles = t.orders.select("o_orderkey", headline(F.col("o_orderkey")).alias("title"), F.to_date("o_orderdate").alias("published"))
-    frames = EV.event_frames(titles, ["o_orderkey", "published"], "title")
+    frames = EV.frames_of_distinct(titles, ["o_orderkey", "published"], "title")
     c = frames.select(F.col("o_orderkey").alias("c_id"), F.col("published").alias("c_published"),
                       F.struct(F.col("published").alias("day"), F.lit("dia").alias("granularity")).alias("c_date"), F.lit(False).alias("c_date_explicit"),
                       *[F.col(n).alias(f"c_{n}") for n in ("action", "agent_names", "agent_words", "object_keys", "nouns", "names", "target", "numbers", "negated", "attribution")])

@@ -360,3 +360,23 @@ def test_lead_far_down_a_page(spark):
     claim = spark.createDataFrame([(1, "Petrobras aumenta preço da gasolina", text, datetime.datetime(2026, 9, 1))], "id int, c string, b string, p timestamp")
     assert any(k.startswith("refinari") for k in EV.original_events(claim, "id", "c", "b", "p").first()["object_keys"])
     assert not any(k.startswith("refinari") for k in EV.original_events(claim, "id", "c", "b", "p", chars=900).first()["object_keys"])
+
+
+def test_frames_of_repeated_sentences_are_read_once(spark):
+    """The same rows as reading every sentence, a null one too, from one frame for each distinct sentence."""
+    from evidence_spark.operators import events as EV
+    said = ["Senado aprova a lei das apostas", "Ministério da Saúde não anuncia a vacina", None, "Nada aqui", "Senado, que diz que aprova, suspende o contrato de 30 dias"]
+    df = spark.createDataFrame([(i, said[i % 5]) for i in range(40)], "id int, s string")
+    rows = lambda frames: sorted(map(repr, frames.select("id", "sentence", "action", "actions", "agent_names", "object_keys", "nouns", "names", "numbers", "negated", "stage", "passive").collect()))
+    once = EV.frames_of_distinct(df, ["id"], "s")
+    assert rows(once) == rows(EV.event_frames(df, ["id"], "s"))
+    assert "regexp_extract_all" not in once._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_actions_are_found_at_every_place(spark):
+    from evidence_spark.operators import events as EV
+    said = ["senado aprova", "aprova", "nada aqui", "", "o senado  diz que aprova a lei e suspende", "reaprova aprovar", "entra com acao contra o banco"]
+    df = spark.createDataFrame([(x, x.split(" ")) for x in said], "s string, w array<string>")
+    hits = F.transform("w", lambda w, i: F.struct(i.alias("i"), EV.action_at(F.col("w"), i).alias("cls")))
+    got = df.select(EV.find_actions(F.col("w")).alias("got"), F.filter(hits, lambda h: h["cls"].isNotNull()).alias("want"), "s").collect()
+    assert all(r["got"] == r["want"] for r in got) and sum(len(r["got"]) for r in got) >= 4
