@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -44,9 +45,14 @@ def fresh_keys(stream: DataFrame, keys: Sequence[str], row_id: str, ts: str, sec
             state.remove()
             return
         expires = state.get[0] if state.exists else None
-        parts = [f if expires is None else f[f["_t"] > expires] for f in frames]
-        rows = pd.concat(parts).sort_values(["_t", row_id])
-        times, ends = rows["_t"].to_numpy(), rows["_e"].to_numpy()
+        parts = [[f[c].to_numpy() for c in ("_t", "_e", row_id)] for f in frames]
+        times, ends, ids = parts[0] if len(parts) == 1 else (np.concatenate(column) for column in zip(*parts))
+        if expires is not None:
+            new = times > expires
+            times, ends, ids = times[new], ends[new], ids[new]
+        if len(times) > 1:
+            order = np.lexsort((ids, times))
+            times, ends, ids = times[order], ends[order], ids[order]
         at, kept = 0, []
         while at < len(times):
             kept.append(at)
@@ -54,7 +60,8 @@ def fresh_keys(stream: DataFrame, keys: Sequence[str], row_id: str, ts: str, sec
             at = int(times.searchsorted(expires, side="right"))
         state.update((expires,))
         state.setTimeoutTimestamp(max(expires // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield rows.iloc[kept][[*keys, row_id]]
+        if kept:
+            yield pd.DataFrame({**dict(zip(keys, key)), row_id: ids[kept]})
 
     marked = stream.filter(F.col(ts).isNotNull()).withWatermark(ts, f"{longest} seconds").withColumn("_t", F.unix_micros(ts))
     marked = marked.withColumn("_e", F.col("_t") + seconds.cast("long") * 1_000_000)
