@@ -380,3 +380,12 @@ def test_actions_are_found_at_every_place(spark):
     hits = F.transform("w", lambda w, i: F.struct(i.alias("i"), EV.action_at(F.col("w"), i).alias("cls")))
     got = df.select(EV.find_actions(F.col("w")).alias("got"), F.filter(hits, lambda h: h["cls"].isNotNull()).alias("want"), "s").collect()
     assert all(r["got"] == r["want"] for r in got) and sum(len(r["got"]) for r in got) >= 4
+
+
+def test_fold_of_plain_and_accented_texts(spark):
+    """Plain texts skip the table of accents; the result is the same, line breaks, empty and null texts included."""
+    said = ["Plain Text 5.2\n", "São Paulo e CORAÇÃO", "a\u0301\u0302B", "\u212aelvin", "", None, "tab\tX"]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "i int, s string")
+    long = F.regexp_replace(F.translate(F.lower(F.coalesce("s", F.lit(""))), X.FOLD_FROM, X.FOLD_TO), r"\p{M}+", "")
+    assert all(r["got"] == r["want"] for r in df.select(X.fold("s").alias("got"), long.alias("want")).collect())
+    assert "octet_length" in df.select(X.fold("s"))._jdf.queryExecution().optimizedPlan().toString()
