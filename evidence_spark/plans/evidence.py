@@ -11,6 +11,7 @@ from evidence_spark.operators import claims as C
 from evidence_spark.operators import evidence as EV
 from evidence_spark.plans import sqltext as S
 from evidence_spark.plans.registry import query
+from evidence_spark.session import kept
 
 TYPES = ["contagem", "acontecimento_recente", "quantidade_periodo", "fato_historico", "opiniao", "acontecimento"]
 
@@ -97,12 +98,15 @@ def synthesis_by_name(t):
     asked = lines.groupBy("l_orderkey").agg(F.min_by(thing, F.struct("l_linenumber", "l_partkey")).alias("entity"))
     titled = lines.withColumn("title", F.when(F.col("l_suppkey") % 2 == 0, F.col("p_name")).otherwise(thing)).join(asked, "l_orderkey")
     v = F.floor(F.col("l_quantity") / 10) * 10
-    words = F.split(X.norm("title"), " ")
-    rows = titled.select(
+    # Names repeat: what a title says about a thing is read once for each two of them.
+    named = titled.groupBy("entity", "title").agg(F.lit(0).alias("_n")).select(
+        F.col("entity").alias("_e"), F.col("title").alias("_t"), F.array_contains(F.split(X.norm("title"), " "), X.norm("entity")).alias("explicit"),
+        EV.source_entity(F.col("entity"), F.col("title"), EUROPEAN).alias("longer"))
+    read = titled.join(kept(named, "named"), F.col("entity").eqNullSafe(F.col("_e")) & F.col("title").eqNullSafe(F.col("_t")))
+    rows = read.select(
         F.col("l_orderkey").alias("claim_id"), (F.col("l_suppkey") % 4).cast("string").alias("evidence_group"), F.col("l_partkey").cast("string").alias("url"),
         F.when(F.col("l_linenumber") % 3 == 0, "trecho").otherwise("completo").alias("kind"), F.when(v >= 30, "apoia").otherwise("contradiz").alias("relation"),
-        v.cast("double").alias("value"), F.array_contains(words, X.norm("entity")).alias("explicit"), F.when(F.col("l_tax") < 0.07, F.year("l_shipdate")).alias("period"),
-        F.when(F.col("l_returnflag") != "R", EV.source_entity(F.col("entity"), F.col("title"), EUROPEAN)).alias("source_entity"))
+        v.cast("double").alias("value"), "explicit", F.when(F.col("l_tax") < 0.07, F.year("l_shipdate")).alias("period"), F.when(F.col("l_returnflag") != "R", F.col("longer")).alias("source_entity"))
     return EV.synthesise(order_claims(t), rows).select("claim_id", "situation", "n_reps", "reason")
 
 
