@@ -66,7 +66,7 @@ def sentence_actions(t):
 
 
 def originals(t):
-    claims = t.orders.filter(F.col("o_orderkey") % 2 == 0).select("o_orderkey", headline(F.col("o_orderkey")).alias("claim"), F.concat(
+    claims = t.orders.select("o_orderkey", headline(F.col("o_orderkey")).alias("claim"), F.concat(
         headline(F.col("o_orderkey")), F.lit(". O texto trata de "), F.col("o_orderpriority"), F.lit(".")).alias("body"), F.col("o_orderdate").alias("published"))
     return EV.original_events(claims, "o_orderkey", "claim", "body", "published")
 
@@ -89,7 +89,7 @@ def compare_events(t):
     c = frames.select(F.col("o_orderkey").alias("c_id"), F.col("published").alias("c_published"),
                       F.struct(F.col("published").alias("day"), F.lit("dia").alias("granularity")).alias("c_date"), F.lit(False).alias("c_date_explicit"),
                       *[F.col(n).alias(f"c_{n}") for n in ("action", "agent_names", "agent_words", "object_keys", "nouns", "names", "target", "numbers", "negated", "attribution")])
-    near = t.orders.filter(F.col("o_orderkey") % 2 == 0).select("o_orderkey", F.explode(F.array(*[F.col("o_orderkey") + d for d in (1, 2, 6, 42, 210)])).alias("c_id"))
+    near = t.orders.select("o_orderkey", F.explode(F.array(*[F.col("o_orderkey") + d for d in (1, 2, 6, 42, 210)])).alias("c_id"))
     return EV.compare_events(near.join(o, "o_orderkey").join(c, "c_id"), ["o_orderkey", "c_id"])
 
 

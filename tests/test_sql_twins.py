@@ -110,3 +110,11 @@ def test_vectors_are_paired_as_in_sql(spark, tmp_path):
     vectors = [[2.0, 1.0], [1.0, 0.0], [2.0, 1.0], [0.0, 0.0], [-1.0, 0.5], [0.4, 0.0], [0.4, 0.84**0.5], None]
     rows = same(spark, tmp_path, "cosine_pairs", embeddings=("vec_id long, embedding array<float>", list(enumerate(vectors))))
     assert [r[:2] for r in rows if 3.0 in r[:2]] == [(0.0, 3.0), (1.0, 3.0), (3.0, 4.0), (3.0, 5.0), (3.0, 6.0)]  # no number: as in SQL
+
+
+def test_every_order_is_an_original(spark, tmp_path):
+    orders = "o_orderkey long, o_orderpriority string, o_orderdate timestamp", [(k, "1-URGENT", datetime.datetime(1996, 1, 1 + k)) for k in range(5)]
+    spark.createDataFrame(orders[1], orders[0]).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    ids = lambda name: sorted(r["o_orderkey"] for r in load_all()[name].run(spark, str(tmp_path)).collect())
+    assert ids("original_events") == [0, 1, 2, 3, 4]
+    assert ids("compare_events") == [0, 0, 1, 1, 2, 2, 3]  # one and two orders on
