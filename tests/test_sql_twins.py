@@ -118,3 +118,8 @@ def test_every_order_is_an_original(spark, tmp_path):
     ids = lambda name: sorted(r["o_orderkey"] for r in load_all()[name].run(spark, str(tmp_path)).collect())
     assert ids("original_events") == [0, 1, 2, 3, 4]
     assert ids("compare_events") == [0, 0, 1, 1, 2, 2, 3]  # one and two orders on
+
+
+def test_a_turn_is_split_into_all_its_claims(spark, tmp_path):
+    said = " ".join(f"Adora queas lloran adota {w}." for w in ("lenta", "verde", "negra", "clara", "larga"))
+    assert [r[2] for r in same(spark, tmp_path, "split_claims", conversations=turns(said))] == [1.0, 2.0, 3.0, 4.0, 5.0]
