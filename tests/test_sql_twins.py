@@ -123,3 +123,11 @@ def test_every_order_is_an_original(spark, tmp_path):
 def test_a_turn_is_split_into_all_its_claims(spark, tmp_path):
     said = " ".join(f"Adora queas lloran adota {w}." for w in ("lenta", "verde", "negra", "clara", "larga"))
     assert [r[2] for r in same(spark, tmp_path, "split_claims", conversations=turns(said))] == [1.0, 2.0, 3.0, 4.0, 5.0]
+
+
+def test_texts_without_a_signal_have_a_row(spark, tmp_path):
+    texts = ["chat noir souris " * 30, "chat noir", "", "route " * 70, "souris " * 200]
+    labels = "doc_id long, quality int, toxic int", [(0, 1, 1), (1, 1, 0), (4, 1, 1)]
+    rows = same(spark, tmp_path, "text_signal", documents=documents(*texts), labels=labels)
+    told = {r[1]: (r[0], r[3]) for r in rows}
+    assert len(told) == 5 and told[1.0][0] == told[2.0][0] == "texto_curto" and told[3.0] == ("sem_sinal", 0.5)  # no known term
