@@ -131,3 +131,19 @@ def test_texts_without_a_signal_have_a_row(spark, tmp_path):
     rows = same(spark, tmp_path, "text_signal", documents=documents(*texts), labels=labels)
     told = {r[1]: (r[0], r[3]) for r in rows}
     assert len(told) == 5 and told[1.0][0] == told[2.0][0] == "texto_curto" and told[3.0] == ("sem_sinal", 0.5)  # no known term
+
+
+def signal_tables():
+    texts = [f"{w} noir souris la chat chat {w}x{i % 7} " * (4 + i % 23) for i, w in enumerate(("verde", "grise", "route", "claire") * 8)]
+    labels = "doc_id long, quality int, toxic int", [(i, 1, int(i % 3 == 0)) for i in range(0, 32, 2)]
+    return {"documents": documents(*texts), "labels": labels}
+
+
+def test_bands_are_calibrated_in_the_row_as_term_by_term(spark, tmp_path, monkeypatch):
+    from evidence_spark.operators import tfidf
+
+    one = same(spark, tmp_path, "calibrate_bands", **signal_tables())
+    plan = load_all()["calibrate_bands"].run(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(one) == 3 and "Generate" not in plan  # no row for each word of a text
+    monkeypatch.setattr(tfidf.hashed_scores, "__defaults__", (*tfidf.hashed_scores.__defaults__[:-1], 0))
+    assert same(spark, tmp_path, "calibrate_bands", **signal_tables()) == one
