@@ -147,3 +147,15 @@ def test_bands_are_calibrated_in_the_row_as_term_by_term(spark, tmp_path, monkey
     assert len(one) == 3 and "Generate" not in plan  # no row for each word of a text
     monkeypatch.setattr(tfidf.hashed_scores, "__defaults__", (*tfidf.hashed_scores.__defaults__[:-1], 0))
     assert same(spark, tmp_path, "calibrate_bands", **signal_tables()) == one
+
+
+def test_passages_meet_every_document(spark, tmp_path, monkeypatch):
+    from evidence_spark.operators import tfidf
+
+    schema, rows = documents("chat noir verde", "chat grise", "route", "noir noir chat grise", "lent")
+    rows = [*rows, (0, "grise route", "fr", "s", 11)]  # an id twice
+    tables = {"documents": (schema, rows), "benchmark": ("item_id long, text string", [(7, "Chat grise chat."), (9, "noir"), (11, "inconnu")])}
+    found = same(spark, tmp_path, "pair_word_product", **tables)
+    assert [r[:2] for r in found] == [(7.0, 0.0), (7.0, 1.0), (7.0, 3.0), (9.0, 0.0), (9.0, 3.0)]
+    monkeypatch.setattr(tfidf.hashed_product, "__defaults__", (0,))
+    assert same(spark, tmp_path, "pair_word_product", **tables) == found
