@@ -159,3 +159,19 @@ def test_passages_meet_every_document(spark, tmp_path, monkeypatch):
     assert [r[:2] for r in found] == [(7.0, 0.0), (7.0, 1.0), (7.0, 3.0), (9.0, 0.0), (9.0, 3.0)]
     monkeypatch.setattr(tfidf.hashed_product, "__defaults__", (0,))
     assert same(spark, tmp_path, "pair_word_product", **tables) == found
+
+
+def test_names_meet_texts_without_pairs(spark, tmp_path, monkeypatch):
+    from evidence_spark.operators import phrases
+
+    heads = ["We met Erein Evan de Souza today", "x", "x", "x", "x", "Then Marie de la Tour came, said UNESCO Paris", "x", "x", "x", "x", "Near Evan Souza"]
+    bodies = ["Erein evan souza", "marie tour", "unesco de paris la", "souza evan", "evan de souza e marie la tour", "paris unesco", "tour", "unesco", "", "erein", "evan souza"]
+    schema, rows = documents(*[f"{h}\n{b}." for h, b in zip(heads, bodies)])
+    rows = [*rows, (2, "Unesco Paris again.", "fr", "s", 1)]  # an id twice
+    found = same(spark, tmp_path, "entity_match", documents=(schema, rows))
+    assert len(found) >= 3
+    plan = load_all()["entity_match"].run(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "phrase" not in plan and "instr" not in plan  # no text is searched once for each name
+    monkeypatch.setattr(phrases, "NAMES", 1)  # a pass for each name
+    monkeypatch.setattr(phrases, "SLICE", 2)
+    assert same(spark, tmp_path, "entity_match", documents=(schema, rows)) == found
