@@ -15,9 +15,11 @@ from evidence_spark.plans import sqltext as S
 def pairs(t):
     symbols = F.regexp_count("text", F.lit(r"[^\p{L}\p{N} \t\n\f\r]")).cast("double")
     words = X.word_count("text").cast("double")
+    # A text with nothing to count has no number for a score, as in SQL; dividing by zero would end the query.
+    density = F.when(symbols + words > 0, symbols / (symbols + words)).when(symbols + words == 0, F.lit(float("nan")))
     frame = t.documents.join(t.labels, "doc_id").select(
         F.col("doc_id").alias("pair_id"), F.col("source").alias("grp"), "lang", (F.col("toxic") == 1).alias("y"),
-        F.col("quality"), N.rounded(symbols / (symbols + words), 4).alias("score"), words.alias("n_words"))
+        F.col("quality"), N.rounded(density, 4).alias("score"), words.alias("n_words"))
     frame = frame.withColumn("rule", (F.col("quality") == 0) | (F.col("n_words") < 60))
     frame = frame.withColumn("model", F.col("score") >= 0.2).withColumn("compared", F.col("pair_id") % 3 == 0)
     return frame.withColumn("size_band", F.when(F.col("n_words") < 60, "short").when(F.col("n_words") < 300, "medium")

@@ -175,3 +175,11 @@ def test_names_meet_texts_without_pairs(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(phrases, "NAMES", 1)  # a pass for each name
     monkeypatch.setattr(phrases, "SLICE", 2)
     assert same(spark, tmp_path, "entity_match", documents=(schema, rows)) == found
+
+
+def test_a_text_without_words_or_symbols_ends_no_evaluation(spark, tmp_path):
+    texts = ["", "a! b c d", "a b!! c !!", "a b c d e f g h i j k!", " \n", "b !! c", "d e ! !"]
+    labels = "doc_id long, quality int, toxic int", [(i, 1, i % 2) for i in range(len(texts))]
+    labels[1].append((7, 0, 1))
+    for name in ("agreement_kappa", "lookalike_negatives", "worst_errors"):
+        assert same(spark, tmp_path, name, documents=documents(*texts, ""), labels=labels), name
