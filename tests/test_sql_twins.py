@@ -183,3 +183,11 @@ def test_a_text_without_words_or_symbols_ends_no_evaluation(spark, tmp_path):
     labels[1].append((7, 0, 1))
     for name in ("agreement_kappa", "lookalike_negatives", "worst_errors"):
         assert same(spark, tmp_path, name, documents=documents(*texts, ""), labels=labels), name
+
+
+def test_every_number_of_a_document_is_related(spark, tmp_path):
+    texts = ["The licence holds 12 tokens and 45 versions.\nNothing else with 7.", "The version is of 45 tokens here.", "None."]
+    rows = same(spark, tmp_path, "relate_detail", documents=documents(*texts))
+    assert {(r[1], r[2], r[3]): r[0] for r in rows if r[1] == 0} == {
+        (0, "12", 0): "cita_detalhe", (0, "45", 0): "cita_detalhe", (0, "7", 0): "cita_detalhe",
+        (0, "12", 1): "nao_cita_detalhe", (0, "45", 1): "cita_detalhe", (0, "7", 1): "nao_cita_detalhe"}
